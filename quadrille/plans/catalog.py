@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quadrille.sources import fixtures as fx
 from quadrille.sources.readers import normalize_boxes
 from quadrille.operators.range_query import range_query
+from quadrille.operators.spatial_join import spatial_join, spatial_join_lines
+from quadrille.operators.hull import convex_hull, farthest_pair
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,22 @@ def q_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_query(fx.f1_boxes(spark, sf_dir), FLAGSHIP_WINDOW)
 
 
+def q_spatial_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial_join(fx.f2_pairs(spark, sf_dir), fx.f1_boxes(spark, sf_dir), "inner")
+
+
+def q_spatial_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial_join_lines(fx.f2_pairs(spark, sf_dir), fx.f1_boxes(spark, sf_dir))
+
+
+def q_convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convex_hull(fx.f3_points(spark, sf_dir))
+
+
+def q_farthest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return farthest_pair(fx.f3_points(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Oracle SQL (DuckDB dialect; tables are pre-registered views)
 # --------------------------------------------------------------------------
@@ -70,6 +88,47 @@ F4_SQL = """
   SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y
   FROM lineitem"""
 
+STRICT_SQL = """r.xmin < p.x1 AND p.x1 < r.xmax AND r.xmin < p.x2 AND p.x2 < r.xmax
+   AND r.ymin < p.y1 AND p.y1 < r.ymax AND r.ymin < p.y2 AND p.y2 < r.ymax"""
+
+def distinct_points_sql(src: str) -> str:
+    return f"SELECT DISTINCT x, y FROM ({src}) s WHERE isfinite(x) AND isfinite(y)"
+
+
+def hull_sql(src: str) -> str:
+    """Strict hull vertices by the edge test: p is a vertex when some q
+    leaves every point left of p->q or on the closed segment [p, q]."""
+    cr = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
+    return f"""
+  WITH pts AS ({distinct_points_sql(src)}),
+  hv AS (
+    SELECT DISTINCT p.x, p.y FROM pts p JOIN pts q ON (p.x <> q.x OR p.y <> q.y)
+    WHERE NOT EXISTS (
+      SELECT 1 FROM pts r
+      WHERE {cr} < 0
+         OR ({cr} = 0 AND ((r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) < 0
+                        OR (r.x - q.x) * (p.x - q.x) + (r.y - q.y) * (p.y - q.y) < 0)))
+  ),
+  v0 AS (SELECT x, y FROM hv ORDER BY x, y LIMIT 1)
+  SELECT row_number() OVER (ORDER BY (hv.x = v0.x AND hv.y = v0.y) DESC,
+                                     atan2(hv.y - v0.y, hv.x - v0.x) DESC) - 1 AS seq,
+         hv.x AS x, hv.y AS y
+  FROM hv CROSS JOIN v0"""
+
+
+def pair_sql(src: str, farthest: bool) -> str:
+    le = "<=" if farthest else "<"
+    order = "d2 DESC" if farthest else "d2"
+    return f"""
+  WITH pts AS ({distinct_points_sql(src)}),
+  pr AS (
+    SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2,
+           (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+    FROM pts a JOIN pts b ON (a.x < b.x OR (a.x = b.x AND a.y {le} b.y)))
+  SELECT x1, y1, x2, y2, d2, sqrt(d2) AS dist FROM pr
+  ORDER BY {order}, x1, y1, x2, y2 LIMIT 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "load_points": F3_SQL,
     "load_boxes_normalized": F1N_SQL,
@@ -77,10 +136,26 @@ ORACLE_SQL: dict[str, str] = {
   SELECT * FROM ({F1_SQL}) f1
   WHERE least(x1, x2) >= -0.1 AND greatest(x1, x2) <= 0.1
     AND least(y1, y2) >= -0.1 AND greatest(y1, y2) <= 0.1""",
+    "spatial_join_pairs": f"""
+  SELECT p.*, r.id AS rect_id, r.xmin AS rect_xmin, r.ymin AS rect_ymin,
+         r.xmax AS rect_xmax, r.ymax AS rect_ymax
+  FROM ({F2_SQL}) p JOIN ({F1N_SQL}) r
+    ON {STRICT_SQL}""",
+    "spatial_join_lines": f"""
+  SELECT p.id || ': ' || coalesce(string_agg(r.id, ',' ORDER BY r.xmin, r.id), '') AS line
+  FROM ({F2_SQL}) p LEFT JOIN ({F1N_SQL}) r
+    ON {STRICT_SQL}
+  GROUP BY p.id, p.x1, p.y1, p.x2, p.y2""",
+    "convex_hull": hull_sql(F3_SQL),
+    "farthest_pair": pair_sql(F3_SQL, farthest=True),
 }
 
 QUERIES: dict[str, QueryFn] = {
     "load_points": q_load_points,
     "load_boxes_normalized": q_load_boxes_normalized,
     "range_query": q_range_query,
+    "spatial_join_pairs": q_spatial_join_pairs,
+    "spatial_join_lines": q_spatial_join_lines,
+    "convex_hull": q_convex_hull,
+    "farthest_pair": q_farthest_pair,
 }
