@@ -17,6 +17,7 @@ from quadrille.sources.readers import normalize_boxes
 from quadrille.operators.range_query import range_query
 from quadrille.operators.spatial_join import spatial_join, spatial_join_lines
 from quadrille.operators.hull import convex_hull, farthest_pair
+from quadrille.operators.closest_pair import closest_pair
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +53,14 @@ def q_farthest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return farthest_pair(fx.f3_points(spark, sf_dir))
 
 
+def q_closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closest_pair(fx.f3_points(spark, sf_dir))
+
+
+def q_closest_pair_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closest_pair(fx.f4_points(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Oracle SQL (DuckDB dialect; tables are pre-registered views)
 # --------------------------------------------------------------------------
@@ -129,6 +138,26 @@ def pair_sql(src: str, farthest: bool) -> str:
   ORDER BY {order}, x1, y1, x2, y2 LIMIT 1"""
 
 
+def banded_closest_sql(src: str) -> str:
+    """Closest pair by an x-banded self-join.  The band is the distance of
+    a real pair (the closest of the pairs adjacent in (x, y) order), so no
+    pair at the minimum distance can fall outside it."""
+    return f"""
+  WITH pts AS ({distinct_points_sql(src)}),
+  ord AS (SELECT x, y, lead(x) OVER (ORDER BY x, y) AS nx, lead(y) OVER (ORDER BY x, y) AS ny
+          FROM pts),
+  band AS (SELECT sqrt(min((nx - x) * (nx - x) + (ny - y) * (ny - y))) * 1.000001 AS b
+           FROM ord WHERE nx IS NOT NULL),
+  pr AS (
+    SELECT a.x AS x1, a.y AS y1, c.x AS x2, c.y AS y2,
+           (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) AS d2
+    FROM pts a CROSS JOIN band
+    JOIN pts c ON c.x >= a.x AND c.x <= a.x + band.b
+              AND (a.x < c.x OR (a.x = c.x AND a.y < c.y)))
+  SELECT x1, y1, x2, y2, d2, sqrt(d2) AS dist FROM pr
+  ORDER BY d2, x1, y1, x2, y2 LIMIT 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "load_points": F3_SQL,
     "load_boxes_normalized": F1N_SQL,
@@ -148,6 +177,8 @@ ORACLE_SQL: dict[str, str] = {
   GROUP BY p.id, p.x1, p.y1, p.x2, p.y2""",
     "convex_hull": hull_sql(F3_SQL),
     "farthest_pair": pair_sql(F3_SQL, farthest=True),
+    "closest_pair": pair_sql(F3_SQL, farthest=False),
+    "closest_pair_lineitem": banded_closest_sql(F4_SQL),
 }
 
 QUERIES: dict[str, QueryFn] = {
@@ -158,4 +189,6 @@ QUERIES: dict[str, QueryFn] = {
     "spatial_join_lines": q_spatial_join_lines,
     "convex_hull": q_convex_hull,
     "farthest_pair": q_farthest_pair,
+    "closest_pair": q_closest_pair,
+    "closest_pair_lineitem": q_closest_pair_lineitem,
 }
