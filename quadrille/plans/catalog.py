@@ -18,6 +18,7 @@ from quadrille.operators.range_query import range_query
 from quadrille.operators.spatial_join import spatial_join, spatial_join_lines
 from quadrille.operators.hull import convex_hull, farthest_pair
 from quadrille.operators.closest_pair import closest_pair
+from quadrille.operators.box_union import union_vertices
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,10 @@ def q_closest_pair_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closest_pair(fx.f4_points(spark, sf_dir))
 
 
+def q_union_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union_vertices(fx.f1_boxes(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Oracle SQL (DuckDB dialect; tables are pre-registered views)
 # --------------------------------------------------------------------------
@@ -158,6 +163,37 @@ def banded_closest_sql(src: str) -> str:
   ORDER BY d2, x1, y1, x2, y2 LIMIT 1"""
 
 
+def union_sql(src: str) -> str:
+    """Union vertices by brute force: every corner and every crossing of a
+    vertical edge with a horizontal edge, then the quadrant test."""
+    return f"""
+  WITH b AS (
+    SELECT DISTINCT least(x1, x2) AS xmin, least(y1, y2) AS ymin,
+           greatest(x1, x2) AS xmax, greatest(y1, y2) AS ymax
+    FROM ({src}) s
+    WHERE isfinite(x1) AND isfinite(y1) AND isfinite(x2) AND isfinite(y2)
+      AND x1 <> x2 AND y1 <> y2),
+  v AS (SELECT xmin AS x, ymin AS y0, ymax AS y1 FROM b
+        UNION ALL SELECT xmax, ymin, ymax FROM b),
+  h AS (SELECT ymin AS y, xmin AS x0, xmax AS x1 FROM b
+        UNION ALL SELECT ymax, xmin, xmax FROM b),
+  cand AS (
+    SELECT v.x, h.y FROM v JOIN h
+      ON h.x0 <= v.x AND v.x <= h.x1 AND v.y0 <= h.y AND h.y <= v.y1
+    GROUP BY v.x, h.y),
+  cov AS (
+    SELECT c.x, c.y,
+      max(CASE WHEN b.xmin <= c.x AND c.x < b.xmax AND b.ymin <= c.y AND c.y < b.ymax THEN 1 ELSE 0 END) AS ne,
+      max(CASE WHEN b.xmin < c.x AND c.x <= b.xmax AND b.ymin <= c.y AND c.y < b.ymax THEN 1 ELSE 0 END) AS nw,
+      max(CASE WHEN b.xmin <= c.x AND c.x < b.xmax AND b.ymin < c.y AND c.y <= b.ymax THEN 1 ELSE 0 END) AS se,
+      max(CASE WHEN b.xmin < c.x AND c.x <= b.xmax AND b.ymin < c.y AND c.y <= b.ymax THEN 1 ELSE 0 END) AS sw
+    FROM cand c JOIN b
+      ON b.xmin <= c.x AND c.x <= b.xmax AND b.ymin <= c.y AND c.y <= b.ymax
+    GROUP BY c.x, c.y)
+  SELECT x, y FROM cov
+  WHERE ne + nw + se + sw IN (1, 3) OR (ne + nw + se + sw = 2 AND ne = sw)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "load_points": F3_SQL,
     "load_boxes_normalized": F1N_SQL,
@@ -179,6 +215,7 @@ ORACLE_SQL: dict[str, str] = {
     "farthest_pair": pair_sql(F3_SQL, farthest=True),
     "closest_pair": pair_sql(F3_SQL, farthest=False),
     "closest_pair_lineitem": banded_closest_sql(F4_SQL),
+    "union_vertices": union_sql(F1_SQL),
 }
 
 QUERIES: dict[str, QueryFn] = {
@@ -191,4 +228,5 @@ QUERIES: dict[str, QueryFn] = {
     "farthest_pair": q_farthest_pair,
     "closest_pair": q_closest_pair,
     "closest_pair_lineitem": q_closest_pair_lineitem,
+    "union_vertices": q_union_vertices,
 }
