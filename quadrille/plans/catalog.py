@@ -19,6 +19,9 @@ from quadrille.operators.spatial_join import spatial_join, spatial_join_lines
 from quadrille.operators.hull import convex_hull, farthest_pair
 from quadrille.operators.closest_pair import closest_pair
 from quadrille.operators.box_union import union_vertices
+from quadrille.plans.session import shared_output_dir
+from quadrille.sources.ingest import ingest
+from quadrille.sources.sinks import box_csv_lines, write_result
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +69,20 @@ def q_union_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_vertices(fx.f1_boxes(spark, sf_dir))
 
 
+def q_write_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10: write the box layer as Parquet (overwrite) and read it back."""
+    out = shared_output_dir(spark, "write_read_back")
+    write_result(fx.f1_boxes(spark, sf_dir), out, "parquet")
+    return spark.read.parquet(out)
+
+
+def q_ingest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O11: the box layer as comma text, ingested to a sorted Parquet table."""
+    base = shared_output_dir(spark, "ingest_boxes")
+    write_result(box_csv_lines(fx.f1_boxes(spark, sf_dir)), f"{base}/csv", "text")
+    return ingest(spark, f"{base}/csv", f"{base}/table", "boxes")
+
+
 # --------------------------------------------------------------------------
 # Oracle SQL (DuckDB dialect; tables are pre-registered views)
 # --------------------------------------------------------------------------
@@ -216,6 +233,8 @@ ORACLE_SQL: dict[str, str] = {
     "closest_pair": pair_sql(F3_SQL, farthest=False),
     "closest_pair_lineitem": banded_closest_sql(F4_SQL),
     "union_vertices": union_sql(F1_SQL),
+    "write_read_back": F1_SQL,
+    "ingest_boxes": F1_SQL,
 }
 
 QUERIES: dict[str, QueryFn] = {
@@ -229,4 +248,6 @@ QUERIES: dict[str, QueryFn] = {
     "closest_pair": q_closest_pair,
     "closest_pair_lineitem": q_closest_pair_lineitem,
     "union_vertices": q_union_vertices,
+    "write_read_back": q_write_read_back,
+    "ingest_boxes": q_ingest_boxes,
 }
