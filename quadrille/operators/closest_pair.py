@@ -5,18 +5,19 @@ Plan
 1. Finite points, ``distinct`` (partial aggregation folds heavy copies
    map-side), checkpointed once because several passes read them.
 2. An upper bound ``g`` on the closest distance: start with the extent
-   ``w + h`` (>= any pair distance), then refine.  Each round counts points
-   per cell of side ``g``; if the fullest cell holds ``m > K_MAX`` points,
-   a finer grid of side ``g / k`` with ``(k + 2)**2 < m`` must put two of
-   them in one fine cell (pigeonhole, with a cell of slack for rounding),
-   so the min over fine cells of the distance between the cell's smallest
-   and largest point is a real pair distance below ``~ 1.5 g / k``.  Every
-   step is a partial-aggregated ``groupBy``; only scalars reach the driver.
+   ``w + h`` (>= any pair distance), then refine.  While a cell of side
+   ``g`` may hold ``m > K_MAX`` points, a finer grid of side ``g / k`` with
+   ``(k + 2)**2 < m`` must put two of them in one fine cell (pigeonhole,
+   with a cell of slack for rounding), so the min over fine cells of the
+   distance between the cell's smallest and largest point is a real pair
+   distance below ``~ 1.5 g / k``.  Each round is one partial-aggregated
+   ``groupBy``; only scalars reach the driver.
 3. With cells of side ``g`` holding at most ``K_MAX`` points each, every
    pair within distance ``g`` lies in the same or adjacent cells: each point
    is joined against its own cell and four of its eight neighbours (the
    other four are covered from the other side), an equi-join on the cell
-   key with bounded keys, then a distributed top-1 ordered by
+   key with bounded keys (shuffled hash join, partition count sized from
+   the point count), then a distributed top-1 ordered by
    ``d2, x1, y1, x2, y2``.
 """
 
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import point_lt, squared_distance
 from quadrille.operators.hull import finite_points
-from quadrille.plans.session import materialize
+from quadrille.plans.session import materialize, shuffle_partitions_for
 
 K_MAX = 64
 MAX_ROUNDS = 48
 SLACK = 1.0 + 1e-9
 HALF_NEIGHBOURS = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 PAIR_COLS = ("x1", "y1", "x2", "y2", "d2", "dist")
+ROW_BYTES = 48  # x, y, cell key and row overhead on the build side
 
 
 def _cells(pts: DataFrame, size: float) -> DataFrame:
@@ -43,22 +45,16 @@ def _cells(pts: DataFrame, size: float) -> DataFrame:
     return pts.withColumn("_cx", F.floor(F.col("x") / s)).withColumn("_cy", F.floor(F.col("y") / s))
 
 
-def _max_cell_count(pts: DataFrame, size: float) -> int:
-    row = (_cells(pts, size).groupBy("_cx", "_cy").count()
-           .agg(F.max("count").alias("m")).first())
-    return int(row["m"] or 0)
-
-
-def _fine_bound(pts: DataFrame, size: float) -> float | None:
-    """Min distance between the smallest and largest point of any fine cell
-    holding two or more points (a real pair, so an upper bound)."""
+def _fine_round(pts: DataFrame, size: float) -> tuple[float | None, int]:
+    """One aggregate over fine cells of side ``size``: the min distance
+    between the smallest and largest point of any cell holding two or more
+    points (a real pair, so an upper bound), and the fullest cell's count."""
     g = (_cells(pts, size).groupBy("_cx", "_cy")
          .agg(F.count(F.lit(1)).alias("n"),
-              F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"))
-         .where(F.col("n") >= 2))
-    row = g.agg(F.min(squared_distance(F.col("a.x"), F.col("a.y"),
-                                       F.col("b.x"), F.col("b.y"))).alias("d2")).first()
-    return None if row["d2"] is None else math.sqrt(row["d2"])
+              F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b")))
+    d2 = F.when(F.col("n") >= 2, squared_distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")))
+    row = g.agg(F.min(d2).alias("d2"), F.max("n").alias("m")).first()
+    return (None if row["d2"] is None else math.sqrt(row["d2"])), int(row["m"] or 0)
 
 
 def _empty(pts: DataFrame) -> DataFrame:
@@ -68,20 +64,30 @@ def _empty(pts: DataFrame) -> DataFrame:
 
 
 def distance_bound(pts: DataFrame, stats) -> float:
-    """Cell side ``g`` >= closest distance with at most K_MAX points per cell."""
+    """Cell side ``g`` >= closest distance, with cells of side ``g`` holding
+    about K_MAX points or fewer.
+
+    ``est`` is an upper bound on the fullest cell of side ``g``: ``n`` for the
+    extent, then ``9 * m`` where ``m`` is the fullest fine cell of the last
+    round (the new ``g`` is below 1.5 fine cells, so a cell of side ``g``
+    overlaps at most 3 x 3 fine cells).  Each round is one aggregate.
+    """
     g = (stats["x1"] - stats["x0"]) + (stats["y1"] - stats["y0"])
     max_abs = max(abs(stats["x0"]), abs(stats["x1"]), abs(stats["y0"]), abs(stats["y1"]), 1e-300)
+    est = int(stats["n"])
     for _ in range(MAX_ROUNDS):
-        m = _max_cell_count(pts, g * SLACK)
-        if m <= K_MAX:
+        if est <= K_MAX:
             break
-        k = max(2, int(math.isqrt(m - 1)) - 2)
+        # (k + 2)**2 < est fine cells (one cell of slack per axis for
+        # rounding) force two points of the fullest cell into one fine cell
+        k = max(2, int(math.isqrt(est - 1)) - 2)
         # keep fine cell indices well inside 64 bits
         k = max(2, min(k, int(2.0 ** 52 * g / max_abs)))
-        d = _fine_bound(pts, g / k)
+        d, m = _fine_round(pts, g / k)
         if d is None or not d < g:
             break
         g = d
+        est = 9 * m
     return g
 
 
@@ -97,13 +103,19 @@ def closest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     if st["n"] < 2:
         return _empty(pts)
     size = distance_bound(pts, st) * SLACK
-    base = _cells(pts, size)
+    # Both sides hash-partitioned on the cell key into enough partitions
+    # that each build partition stays near TARGET_BYTES at any scale; cell
+    # keys hold <= ~K_MAX points, so a hash join is safe and skips sorting.
+    parts = shuffle_partitions_for(pts.sparkSession, int(st["n"]) * ROW_BYTES)
+    cells = _cells(pts, size)
+    base = cells.repartition(parts, "_cx", "_cy").hint("shuffle_hash")
     off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                               for dx, dy in HALF_NEIGHBOURS])).alias("o")
-    probe = (base.select(F.col("x").alias("px"), F.col("y").alias("py"), "_cx", "_cy", off)
+    probe = (cells.select(F.col("x").alias("px"), F.col("y").alias("py"), "_cx", "_cy", off)
                  .select("px", "py", (F.col("_cx") + F.col("o.dx")).alias("_kx"),
                          (F.col("_cy") + F.col("o.dy")).alias("_ky"),
-                         ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("_same")))
+                         ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("_same"))
+                 .repartition(parts, "_kx", "_ky"))
     j = base.join(probe, (base["_cx"] == probe["_kx"]) & (base["_cy"] == probe["_ky"]))
     j = j.where(~F.col("_same") | point_lt(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
     first = point_lt(F.col("x"), F.col("y"), F.col("px"), F.col("py"))

@@ -23,6 +23,7 @@ LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
 }
 
@@ -67,6 +68,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+TARGET_BYTES = 64 * 1024 * 1024
+
+
+def shuffle_partitions_for(spark: SparkSession, total_bytes: int, target: int = TARGET_BYTES) -> int:
+    """Partitions so each holds about ``target`` bytes, never fewer than the
+    session's ``spark.sql.shuffle.partitions``."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(base, -(-int(total_bytes) // int(target)))
+
+
 def shared_output_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written results under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
