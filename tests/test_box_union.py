@@ -57,13 +57,29 @@ def _rand_boxes(rng, n, wide):
 
 @pytest.mark.parametrize("seed,n,wide,cell,limit", [
     (1, 80, False, None, None), (2, 120, False, 0.6, 0), (3, 60, True, None, None), (4, 60, True, 0.5, 0),
-    (5, 150, False, 7.0, None)])
+    (5, 150, False, 7.0, None), (6, 60, True, 0.5, None)])
 def test_random_vs_brute(spark, seed, n, wide, cell, limit):
     rng = random.Random(seed)
     boxes = _rand_boxes(rng, n, wide)
     if limit == 0:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert verts(spark, boxes, cell=cell, broadcast_limit=limit) == brute.union_vertices(boxes)
+        expected = brute.union_vertices(boxes)
+        assert verts(spark, boxes, cell=cell, broadcast_limit=limit) == expected
+        assert verts(spark, boxes, cell=cell, broadcast_limit=limit, prune=seed % 2 == 0) == expected
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("seed,cell,prune", [(7, None, None), (8, 0.9, True), (9, 2.5, True),
+                                             (10, None, False), (11, 1.3, False)])
+def test_heavy_overlap_vs_brute(spark, seed, cell, prune):
+    rng = random.Random(seed)
+    boxes = []
+    for _ in range(70):  # big boxes overlapping one another over a shared core
+        x0, y0 = rng.randint(0, 20), rng.randint(0, 20)
+        boxes.append((float(x0), float(y0), float(x0 + rng.randint(15, 40)), float(y0 + rng.randint(15, 40))))
+    for _ in range(60):  # small boxes, many nested inside the big ones
+        x0, y0 = rng.randint(0, 60), rng.randint(0, 60)
+        boxes.append((float(x0), float(y0), float(x0 + rng.randint(1, 3)), float(y0 + rng.randint(1, 3))))
+    assert verts(spark, boxes, cell=cell, prune=prune) == brute.union_vertices(boxes)
