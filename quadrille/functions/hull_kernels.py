@@ -154,3 +154,91 @@ def final_farthest(pdf: pd.DataFrame) -> pd.DataFrame:
     x1, y1, x2, y2, d2 = res
     return pd.DataFrame({"x1": [x1], "y1": [y1], "x2": [x2], "y2": [y2], "d2": [d2],
                          "dist": [float(np.sqrt(d2))]})
+
+
+def _cross(o, a, b) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
+def outer_chain(xs: np.ndarray, ys: np.ndarray, a, b) -> list[tuple[float, float]]:
+    """Hull vertices strictly beyond the directed edge ``a -> b`` of a CCW
+    polygon, in counter-clockwise order, followed by ``b``.
+
+    The hull of the cap points plus ``a`` and ``b`` runs a -> (outer chain)
+    -> b -> (anything on the inner side) -> a counter-clockwise, so the
+    outer vertices form one contiguous run.
+    """
+    hx, hy = monotone_chain(np.concatenate([xs, [a[0], b[0]]]), np.concatenate([ys, [a[1], b[1]]]))
+    pts = list(zip(hx.tolist(), hy.tolist()))
+    out = [_cross(a, b, p) < 0 for p in pts]
+    n = len(pts)
+    chain = []
+    if any(out):
+        start = next(k for k in range(n) if out[k] and not out[k - 1]) if not all(out) else 0
+        k = start
+        while out[k] and len(chain) < n:
+            chain.append(pts[k])
+            k = (k + 1) % n
+    return chain + [(float(b[0]), float(b[1]))]
+
+
+def make_cap_chain(poly: list[tuple[float, float]]):
+    """``applyInPandas`` over cap groups: the hull chain beyond edge ``cap``
+    of the CCW polygon ``poly``, as ``cap, pos, n, x, y`` (pos from 1, n the
+    chain length; the chain ends at the edge's end vertex)."""
+    m = len(poly)
+
+    def cap_chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["cap"].iloc[0])
+        chain = outer_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), poly[i], poly[(i + 1) % m])
+        n = len(chain)
+        return pd.DataFrame({"cap": np.full(n, i, dtype=np.int64),
+                             "pos": np.arange(1, n + 1, dtype=np.int64),
+                             "n": np.full(n, n, dtype=np.int64),
+                             "x": [p[0] for p in chain], "y": [p[1] for p in chain]})
+    return cap_chain
+
+
+def group_farthest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``applyInPandas``: farthest pair among the group's points (their hull
+    plus rotating calipers), as one ``x1, y1, x2, y2, d2`` row."""
+    hx, hy = monotone_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
+    res = farthest_from_hull(hx, hy)
+    cols = ["x1", "y1", "x2", "y2", "d2"]
+    if res is None:
+        return pd.DataFrame({c: pd.Series([], dtype=float) for c in cols})
+    return pd.DataFrame([res], columns=cols)
+
+
+def drop_flat_junctions(caps: list[dict]) -> set[int]:
+    """Caps whose end vertex (the junction with the next chain) is not a
+    strict hull vertex.
+
+    ``caps[i]`` holds ``n`` (chain length), ``first`` (pos 1), ``penult``
+    (pos n-1) and ``last`` (the junction).  Only a junction's neighbours
+    matter, so a short cyclic list of first / penultimate / junction
+    vertices is enough; flat junctions are dropped until none is left.
+    """
+    seq = []  # (point, cap index if it is a junction else None)
+    for i, c in enumerate(caps):
+        if c["n"] >= 2:
+            seq.append((c["first"], None))
+        if c["n"] >= 3:
+            seq.append((c["penult"], None))
+        if c["n"] >= 1:
+            seq.append((c["last"], i))
+    alive = [True] * len(seq)
+    dropped: set[int] = set()
+    changed = len(seq) >= 3
+    while changed:
+        changed = False
+        for k, (pt, cap) in enumerate(seq):
+            if cap is None or not alive[k]:
+                continue
+            prev = next(seq[(k - d) % len(seq)][0] for d in range(1, len(seq)) if alive[(k - d) % len(seq)])
+            nxt = next(seq[(k + d) % len(seq)][0] for d in range(1, len(seq)) if alive[(k + d) % len(seq)])
+            if sum(alive) > 3 and _cross(prev, pt, nxt) <= 0:
+                alive[k] = False
+                dropped.add(cap)
+                changed = True
+    return dropped

@@ -3,23 +3,31 @@
 Plan
 ----
 1. Keep finite points only (NULL/NaN/infinite coordinates are dropped).
-2. One aggregate takes the extreme point in each of 16 directions
-   (``max(struct(projection, x, y))``: deterministic, partial-aggregated).
-   The polygon they span lies inside the hull, so points *strictly* inside
-   it (with a relative rounding margin) cannot be hull vertices; that
-   filter is plain column arithmetic inside whole-stage codegen, so
-   Python only ever sees the few points near the boundary.
+2. Two passes take the extreme point in each of 32 directions
+   (max of each projection, then the points reaching it; deterministic).
+   Their polygon P lies inside the hull, so points strictly inside it
+   (with a relative rounding margin) cannot be hull vertices; that filter
+   is plain column arithmetic in whole-stage codegen.
 3. Exact reductions on what is left: for each distinct ``y`` only the
    min-x and max-x points can be strict vertices, then the same per ``x``
    (partial aggregation collapses heavy rows of equal coordinates).
-4. A partial hull per partition (``mapInPandas``, monotone chain), then
-   partial hulls are merged in rounds of at most ``FANIN`` per group
-   (``applyInPandas``) until one group remains, which orders the hull
-   clockwise from its smallest ``(x, y)`` and numbers it ``seq``.
-
-Farthest pair runs the same plan; its final group uses rotating calipers
-on the hull (both ends of a farthest pair are strict hull vertices), so no
-pair table is ever built.
+4. Each survivor lies beyond exactly one edge of P (beyond two adjacent
+   edges it would out-project their shared extreme point), so the hull is
+   the concatenation of independent chains, one per edge: the survivors
+   are grouped by edge (``applyInPandas``, monotone chain per group).  The
+   chains are checkpointed; flat junctions between chains, chain lengths
+   and ``seq`` offsets involve at most 32 values on the driver.  ``seq``
+   numbers the hull clockwise from its smallest ``(x, y)``.
+5. Farthest pair: both ends of a farthest pair are hull vertices with
+   opposite normals, so each chain is paired only with the chains whose
+   direction range is opposite; rotating calipers run inside each pair
+   group and a distributed top-1 picks the answer.  No group ever holds
+   the whole hull and no pair table is built.
+
+Degenerate inputs (fewer than three extreme points: all points on one
+line, or at most two distinct points) take a simple path: partial hulls
+per partition merged in rounds of at most ``FANIN`` (the result has at most
+two points).
 """
 
 from __future__ import annotations
@@ -32,13 +40,16 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import hull_kernels as K
 from quadrille.functions.geometry import is_finite
+from quadrille.plans.session import materialize
 
 DIRECTIONS = 16
+CAP_DIRECTIONS = 32
 FANIN = 16
 REL_MARGIN = 1e-12
 
 HULL_SCHEMA = "seq long, x double, y double"
 PAIR_SCHEMA = "x1 double, y1 double, x2 double, y2 double, d2 double, dist double"
+PAIR_SCHEMA_COLS = ("x1", "y1", "x2", "y2", "d2", "dist")
 
 
 def finite_points(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -105,12 +116,168 @@ def _merged(cand: DataFrame) -> DataFrame:
     return cur
 
 
+def _extremes(pts: DataFrame, directions: int):
+    """Extreme point per direction ``2*pi*k/directions`` (ties to the largest
+    ``(x, y)``) and the smallest ``(x, y)`` point, which is always a hull
+    vertex.
+
+    Two passes: plain ``max`` of each projection (double buffers, whole-stage
+    codegen), then a filter keeping only points that reach a maximum (the
+    same expression, so equality is exact) and a small aggregate over those.
+    A single pass of ``max(struct(...))`` is several times slower because
+    struct buffers leave the fast aggregation path.
+    """
+    projs = []
+    for k in range(directions):
+        t = 2 * math.pi * k / directions
+        projs.append(F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t)))
+    row = pts.agg(*[F.max(p).alias(f"m{k}") for k, p in enumerate(projs)],
+                  F.min("x").alias("lx")).first()
+    if row["lx"] is None:
+        return [None] * directions, None
+    at_max = [p == F.lit(row[f"m{k}"]) for k, p in enumerate(projs)]
+    at_low = F.col("x") == F.lit(row["lx"])
+    hit = at_low
+    for c in at_max:
+        hit = hit | c
+    aggs = [F.max(F.when(c, F.struct("x", "y"))).alias(f"d{k}") for k, c in enumerate(at_max)]
+    aggs.append(F.min(F.when(at_low, F.struct("x", "y"))).alias("low"))
+    r2 = pts.where(hit).agg(*aggs).first()
+    ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:directions]]
+    low = r2["low"]
+    return ext, (float(low["x"]), float(low["y"]))
+
+
+def _cap_index(poly: list[tuple[float, float]]):
+    """Column: the edge of the CCW polygon a point lies farthest beyond."""
+    m = len(poly)
+    items = []
+    for i, (ax, ay) in enumerate(poly):
+        bx, by = poly[(i + 1) % m]
+        length = math.hypot(bx - ax, by - ay)
+        beyond = -(F.lit(bx - ax) * (F.col("y") - F.lit(ay))
+                   - F.lit(by - ay) * (F.col("x") - F.lit(ax))) / F.lit(length)
+        items.append(F.struct(beyond.alias("d"), F.lit(i).cast("long").alias("i")))
+    return F.array_max(F.array(*items))["i"]
+
+
+class CapHull:
+    """Hull split into chains, one per edge of the extreme-point polygon.
+
+    Every point that can be a hull vertex lies beyond exactly one edge of
+    the polygon spanned by the extreme points (beyond two adjacent edges it
+    would out-project the shared extreme point), so the hull is the
+    concatenation of independent per-edge chains: one ``applyInPandas``
+    group per edge, never one group for the whole hull.  Junction checks,
+    per-chain counts and offsets involve at most ``CAP_DIRECTIONS`` values.
+    """
+
+    def __init__(self, points: DataFrame, x: str, y: str):
+        pts = finite_points(points, x, y)
+        self.ext, self.low = _extremes(pts, CAP_DIRECTIONS)
+        found = sorted({p for p in self.ext if p is not None})
+        self.poly: list[tuple[float, float]] = []
+        if len(found) >= 3:
+            arr = np.asarray(found, dtype=float)
+            hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
+            self.poly = list(zip(hx.tolist(), hy.tolist()))
+        self.pts = pts
+        self.ok = len(self.poly) >= 3
+        if self.ok:
+            self._build()
+
+    def _build(self) -> None:
+        poly, m = self.poly, len(self.poly)
+        cand = _row_extremes(_row_extremes(drop_inside(self.pts, poly), "y", "x"), "x", "y")
+        spark = self.pts.sparkSession
+        ends = spark.createDataFrame([(i, poly[(i + 1) % m][0], poly[(i + 1) % m][1]) for i in range(m)],
+                                     "cap long, x double, y double")
+        grouped = cand.select(_cap_index(poly).alias("cap"), "x", "y").unionByName(ends)
+        self.chains = materialize(grouped.groupBy("cap").applyInPandas(
+            K.make_cap_chain(poly), "cap long, pos long, n long, x double, y double"))
+        lx, ly = self.low
+        # one small collect: each chain's first, penultimate and end rows,
+        # plus the row of the smallest point (<= 3 * 64 + 1 rows)
+        edge_rows = self.chains.where((F.col("pos") == 1) | (F.col("pos") >= F.col("n") - 1)
+                                      | ((F.col("x") == lx) & (F.col("y") == ly))).collect()
+        caps = [{"n": 0, "first": None, "penult": None, "last": None} for _ in range(m)]
+        low_at = None
+        for r in edge_rows:
+            c, pos, pt = caps[int(r["cap"])], int(r["pos"]), (float(r["x"]), float(r["y"]))
+            c["n"] = int(r["n"])
+            if pos == 1:
+                c["first"] = pt
+            if pos == c["n"] - 1:
+                c["penult"] = pt
+            if pos == c["n"]:
+                c["last"] = pt
+            if pt == self.low and (low_at is None or pos < c["n"]):
+                low_at = (int(r["cap"]), pos)
+        n_of = [c["n"] for c in caps]
+        dropped = K.drop_flat_junctions(caps)
+        self.vertices = self.chains.where(~((F.col("pos") == F.col("n"))
+                                            & F.col("cap").isin([int(i) for i in dropped])))
+        kept = [n_of[i] - (1 if i in dropped else 0) for i in range(m)]
+        offsets = np.concatenate([[0], np.cumsum(kept)[:-1]]).astype(int).tolist()
+        self.h = int(sum(kept))
+        self.offset_col = F.element_at(F.array(*[F.lit(int(v)) for v in offsets]),
+                                       F.col("cap").cast("int") + 1)
+        self.low_g = offsets[low_at[0]] + low_at[1] - 1
+        self.n_of, self.dropped = n_of, dropped
+
+    def hull(self) -> DataFrame:
+        """``seq, x, y`` clockwise from the smallest ``(x, y)``."""
+        g = self.offset_col + F.col("pos") - 1
+        seq = F.pmod(F.lit(int(self.low_g)) - g, F.lit(self.h))
+        return self.vertices.select(seq.cast("long").alias("seq"), "x", "y")
+
+    def antipodal_pairs(self) -> list[list[int]]:
+        """For each cap, the ids of the cap pairs it takes part in.  Cap ``i``
+        covers the sampled directions owned by its two end vertices (plus a
+        step of margin); caps whose direction sets are opposite are paired."""
+        d, m = CAP_DIRECTIONS, len(self.poly)
+        index = {p: i for i, p in enumerate(self.poly)}
+        owner = [index.get(p) for p in self.ext]
+        cover = []
+        for i in range(m):
+            s = {k for k in range(d) if owner[k] is None or owner[k] in (i, (i + 1) % m)}
+            cover.append(s | {(k + 1) % d for k in s} | {(k - 1) % d for k in s})
+        pairs = sorted({(min(i, j), max(i, j)) for i in range(m) for j in range(m)
+                        if {(k + d // 2) % d for k in cover[i]} & cover[j]})
+        member: list[list[int]] = [[] for _ in range(m)]
+        for pid, (i, j) in enumerate(pairs):
+            member[i].append(pid)
+            if j != i:
+                member[j].append(pid)
+        return member
+
+    def farthest(self) -> DataFrame:
+        m = len(self.poly)
+        member = self.antipodal_pairs()
+        ids = F.array(*[F.array(*[F.lit(p) for p in ps]) if ps else F.array().cast("array<int>")
+                        for ps in member])
+        v = self.vertices.select("cap", "pos", "n", "x", "y")
+        # each chain also carries its start vertex (the previous chain's end)
+        starts = (v.where(F.col("pos") == F.col("n"))
+                   .select(F.pmod(F.col("cap") + 1, F.lit(m)).alias("cap"), "pos", "n", "x", "y"))
+        rows = v.unionByName(starts).select(
+            F.explode(F.element_at(ids, F.col("cap").cast("int") + 1)).alias("pair"), "x", "y")
+        best = rows.groupBy("pair").applyInPandas(K.group_farthest,
+                                                  "x1 double, y1 double, x2 double, y2 double, d2 double")
+        top = best.orderBy(F.col("d2").desc(), "x1", "y1", "x2", "y2").limit(1)
+        return top.withColumn("dist", F.sqrt("d2"))
+
+
 def convex_hull(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Strict hull vertices ``(seq, x, y)``, clockwise from the smallest (x, y).
 
     Collinear and duplicate points are not vertices; one distinct point
     gives one row; no points give no rows.
     """
+    caps = CapHull(points, x, y)
+    if caps.ok:
+        return caps.hull()
+    # fewer than three extreme points: all points lie on one line (tiny hull)
     return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_hull, HULL_SCHEMA)
 
 
@@ -119,5 +286,10 @@ def farthest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
     ``(x1, y1) <= (x2, y2)``; ties go to the smallest ``(x1, y1, x2, y2)``;
     a single distinct point gives ``(p, p, 0, 0)``; no points, no row.
+    Both ends of a farthest pair are hull vertices with opposite normals, so
+    only antipodal chains are paired (rotating calipers inside each pair).
     """
+    caps = CapHull(points, x, y)
+    if caps.ok:
+        return caps.farthest().select(*PAIR_SCHEMA_COLS)
     return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_farthest, PAIR_SCHEMA)

@@ -83,3 +83,36 @@ def test_closest_pair_with_heavy_copies(spark):
     pts = [(0.5, 0.5)] * 3000 + [(float(i), float(i * i % 17)) for i in range(200)] + [(0.5, 0.5000001)]
     df = spark.createDataFrame(pts, PTS).repartition(6)
     assert pair_row(closest_pair(df)) == brute.closest(pts)
+
+
+@pytest.mark.parametrize("kind", ["circle", "parabola", "square_edges"])
+def test_large_hulls_split_into_caps(spark, kind):
+    import numpy as np
+    from quadrille.functions import hull_kernels as K
+    from quadrille.operators.hull import CapHull
+    rng = random.Random(11)
+    if kind == "circle":
+        pts = [(round(1e4 * math.cos(t), 3), round(1e4 * math.sin(t), 3))
+               for t in (rng.uniform(0, 2 * math.pi) for _ in range(4000))]
+    elif kind == "parabola":
+        pts = [(float(v), float(v * v)) for v in range(-1500, 1500)] + [(0.0, 3e6)]
+    else:  # many collinear points on each edge, plus interior points
+        pts = [(float(i), 0.0) for i in range(500)] + [(float(i), 499.0) for i in range(500)]
+        pts += [(0.0, float(i)) for i in range(500)] + [(499.0, float(i)) for i in range(500)]
+        pts += [(rng.uniform(1, 498), rng.uniform(1, 498)) for _ in range(2000)]
+    df = spark.createDataFrame(pts, PTS).repartition(8)
+    arr = np.asarray(sorted(set(pts)), dtype=float)
+    hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
+    cx, cy = K.clockwise(hx, hy)
+    expected = list(zip(cx.tolist(), cy.tolist()))
+    caps = CapHull(df, "x", "y")
+    assert caps.ok and len(caps.poly) >= 3
+    assert hull_rows(convex_hull(df)) == expected
+    hull = expected
+    best = None
+    for i, a in enumerate(hull):
+        for b in hull[i:]:
+            a2, b2 = min(a, b), max(a, b)
+            key = (-brute.d2(a2, b2), a2, b2)
+            best = key if best is None or key < best else best
+    assert pair_row(farthest_pair(df)) == (best[1][0], best[1][1], best[2][0], best[2][1], -best[0])
