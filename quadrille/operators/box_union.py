@@ -177,39 +177,30 @@ def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
     inside a single box before the pairwise step.
     """
     b = materialize(prepare_boxes(boxes, x1, y1, x2, y2))
-    side = ((F.col("xmax") - F.col("xmin")) + (F.col("ymax") - F.col("ymin"))) / 2
-    max_abs = F.greatest(*[F.abs(c) for c in BOUNDS])
-    st = b.agg(F.count(F.lit(1)).alias("n"), F.avg(side).alias("side"),
-               F.max(max_abs).alias("max_abs")).first()
-    grid = G.Grid(cell if cell is not None else G.choose_cell(st["side"], st["max_abs"]))
-    lv = G.with_box_level(b, grid)
+    buckets = G.bucket_stats(b)
+    plan = G.plan_from_buckets(buckets, cell=cell)
+    lv = G.with_box_level(b, plan.grid)
     if prune is None:
         prune = _dense(lv)
     if prune and cell is None:
-        grid = G.Grid(G.choose_cell(st["side"] / CELL_FRACTION, st["max_abs"]))
-        lv = G.with_box_level(b, grid)
-    inner_w = F.greatest(F.col("_cx1") - F.col("_cx0") - 1, F.lit(0))
-    inner_h = F.greatest(F.col("_cy1") - F.col("_cy0") - 1, F.lit(0))
-    meta = lv.agg(F.collect_set("_level").alias("levels"),
-                  F.sum(G.box_cell_count()).alias("copies"),
-                  F.sum(inner_w * inner_h).alias("interior")).first()
-    levels = sorted(int(v) for v in (meta["levels"] or [])) or [0]
-    own_copies = int(meta["copies"] or 0)
-    n_interior = int(meta["interior"] or 0) if prune else 0
+        plan = G.plan_from_buckets(buckets, cell_fraction=CELL_FRACTION)
+        lv = G.with_box_level(b, plan.grid)
+    grid, levels = plan.grid, plan.levels
     limit = _broadcast_limit(b.sparkSession, broadcast_limit)
-    entry_bound = own_copies + 4 * int(st["n"]) * (len(levels) - 1)
+    own_copies = plan.copies_bound
+    entry_bound = own_copies + 4 * plan.n * (len(levels) - 1)
     entries = _entries(lv, grid, levels)
     corners = _corners(b)
     own = G.explode_box_cells(lv)
-    if n_interior:
+    if prune:
         # Prune cells strictly inside one box before the pairwise step: this
         # is where heavily overlapping boxes would otherwise meet pairwise.
         interior = _interior_cells(lv)
-        small = n_interior * CELL_ROW_BYTES <= limit
+        small = own_copies * CELL_ROW_BYTES <= limit
         entries = _drop_covered(entries, interior, levels, small)
         own = _drop_covered(own, interior, levels, small)
     cand = corners.unionByName(_crossings(entries, grid, entry_bound * CELL_ROW_BYTES <= limit))
-    if n_interior:
+    if prune:
         cand = _drop_covered(G.with_point_cells(cand, grid, levels[:1], "x", "y"),
                              interior, levels, small).select("x", "y")
     cand = cand.distinct()
