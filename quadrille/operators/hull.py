@@ -14,9 +14,12 @@ Plan
 4. Each survivor lies beyond exactly one edge of P (beyond two adjacent
    edges it would out-project their shared extreme point), so the hull is
    the concatenation of independent chains, one per edge: the survivors
-   are grouped by edge (``applyInPandas``, monotone chain per group).  The
+   are grouped by edge (``applyInPandas``, monotone chain per group).  A
+   cap with more than ``CAP_LIMIT`` points is split at further hull
+   vertices (its extreme points in sub-directions; the chain inside a cap
+   is monotone along the edge) until every group is under the limit.  The
    chains are checkpointed; flat junctions between chains, chain lengths
-   and ``seq`` offsets involve at most 32 values on the driver.  ``seq``
+   and ``seq`` offsets are a few values per cap on the driver.  ``seq``
    numbers the hull clockwise from its smallest ``(x, y)``.
 5. Farthest pair: both ends of a farthest pair are hull vertices with
    opposite normals, so each chain is paired only with the chains whose
@@ -44,6 +47,12 @@ from quadrille.plans.session import materialize
 
 DIRECTIONS = 16
 CAP_DIRECTIONS = 32
+# Points per cap group above which a cap is split further (see
+# CapHull._split_big_caps); sub-directions sampled per split and a bound
+# on the number of split rounds.
+CAP_LIMIT = 200_000
+SUB_DIRECTIONS = 16
+MAX_REFINE_ROUNDS = 12
 FANIN = 16
 REL_MARGIN = 1e-12
 
@@ -149,7 +158,8 @@ def _extremes(pts: DataFrame, directions: int):
 
 
 def _cap_index(poly: list[tuple[float, float]]):
-    """Column: the edge of the CCW polygon a point lies farthest beyond."""
+    """Column ``struct(d, i)``: the edge ``i`` of the CCW polygon a point lies
+    farthest beyond, and that distance ``d``."""
     m = len(poly)
     items = []
     for i, (ax, ay) in enumerate(poly):
@@ -158,7 +168,7 @@ def _cap_index(poly: list[tuple[float, float]]):
         beyond = -(F.lit(bx - ax) * (F.col("y") - F.lit(ay))
                    - F.lit(by - ay) * (F.col("x") - F.lit(ax))) / F.lit(length)
         items.append(F.struct(beyond.alias("d"), F.lit(i).cast("long").alias("i")))
-    return F.array_max(F.array(*items))["i"]
+    return F.array_max(F.array(*items))
 
 
 class CapHull:
@@ -172,7 +182,7 @@ class CapHull:
     per-chain counts and offsets involve at most ``CAP_DIRECTIONS`` values.
     """
 
-    def __init__(self, points: DataFrame, x: str, y: str):
+    def __init__(self, points: DataFrame, x: str, y: str, cap_limit: int = CAP_LIMIT):
         pts = finite_points(points, x, y)
         self.ext, self.low = _extremes(pts, CAP_DIRECTIONS)
         found = sorted({p for p in self.ext if p is not None})
@@ -182,17 +192,38 @@ class CapHull:
             hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
             self.poly = list(zip(hx.tolist(), hy.tolist()))
         self.pts = pts
+        self.cap_limit = cap_limit
         self.ok = len(self.poly) >= 3
         if self.ok:
             self._build()
 
+    def _direction_ranges(self) -> list[tuple[float, float]]:
+        """Per polygon vertex, the first and last sampled direction (radians,
+        counter-clockwise) in which it is the extreme point."""
+        d = CAP_DIRECTIONS
+        out = []
+        for v in self.poly:
+            own = {k for k in range(d) if self.ext[k] == v}
+            first = next(k for k in own if (k - 1) % d not in own) if len(own) < d else 0
+            last = next(k for k in own if (k + 1) % d not in own) if len(own) < d else d - 1
+            out.append((2 * math.pi * first / d, 2 * math.pi * last / d))
+        return out
+
     def _build(self) -> None:
-        poly, m = self.poly, len(self.poly)
+        poly = self.poly
         cand = _row_extremes(_row_extremes(drop_inside(self.pts, poly), "y", "x"), "x", "y")
+        # keep points strictly beyond their edge: points on an edge of the
+        # polygon (collinear) are never strict vertices
+        cur = (cand.select(_cap_index(poly).alias("c"), "x", "y").where(F.col("c.d") > 0)
+                   .select(F.col("c.i").alias("cap"), "x", "y"))
+        cur, poly, rng = self._split_big_caps(cur, poly, self._direction_ranges())
+        self.poly, self.rng = poly, rng
+        m = len(poly)
         spark = self.pts.sparkSession
         ends = spark.createDataFrame([(i, poly[(i + 1) % m][0], poly[(i + 1) % m][1]) for i in range(m)],
                                      "cap long, x double, y double")
-        grouped = cand.select(_cap_index(poly).alias("cap"), "x", "y").unionByName(ends)
+        grouped = cur.unionByName(ends)
+        self.grouped = grouped
         self.chains = materialize(grouped.groupBy("cap").applyInPandas(
             K.make_cap_chain(poly), "cap long, pos long, n long, x double, y double"))
         lx, ly = self.low
@@ -225,6 +256,98 @@ class CapHull:
         self.low_g = offsets[low_at[0]] + low_at[1] - 1
         self.n_of, self.dropped = n_of, dropped
 
+    def _split_big_caps(self, cur: DataFrame, poly: list, rng: list) -> tuple[DataFrame, list]:
+        """Split every cap holding more than ``cap_limit`` points.
+
+        Within the cap of edge ``a -> b`` the hull chain is monotone along
+        ``a -> b`` (its normals stay between the directions in which ``a``
+        and ``b`` are extreme; a point projecting before ``a`` would
+        out-project ``a``).  The cap's extreme points in sub-directions of
+        that range are therefore hull vertices that cut the chain into
+        independent pieces; points go to the piece whose projection
+        interval holds them, and only points strictly beyond their new edge
+        stay.  Two aggregates per round, only over the oversized caps.
+        """
+        sub = SUB_DIRECTIONS
+        for _ in range(MAX_REFINE_ROUNDS):
+            big = sorted(int(r["cap"]) for r in cur.groupBy("cap").count()
+                         .where(F.col("count") > self.cap_limit).collect())
+            if not big:
+                break
+            m = len(poly)
+            angles = {}
+            for i in big:
+                (ax, ay), (bx, by) = poly[i], poly[(i + 1) % m]
+                start = rng[i][1]
+                span = (rng[(i + 1) % m][0] - start) % (2 * math.pi)
+                normal = math.atan2(-(bx - ax), by - ay)
+                angles[i] = [start + span * j / (sub + 1) for j in range(1, sub + 1)] + [normal]
+            cap_i = F.col("cap").cast("int") + 1
+
+            def per_cap(values):  # literal array indexed by cap id
+                return F.element_at(F.array(*[F.lit(float(v)) for v in values]), cap_i)
+
+            projs = [F.col("x") * per_cap([math.cos(angles[i][j]) if i in angles else 0.0 for i in range(m)])
+                     + F.col("y") * per_cap([math.sin(angles[i][j]) if i in angles else 0.0 for i in range(m)])
+                     for j in range(sub + 1)]
+            inside = cur.where(F.col("cap").isin(big))
+            maxima = {int(r["cap"]): r for r in inside.groupBy("cap")
+                      .agg(*[F.max(p).alias(f"m{j}") for j, p in enumerate(projs)]).collect()}
+            eqs = [p == per_cap([maxima[i][f"m{j}"] if i in maxima else 0.0 for i in range(m)])
+                   for j, p in enumerate(projs)]
+            hit = eqs[0]
+            for e in eqs[1:]:
+                hit = hit | e
+            found = inside.where(hit).groupBy("cap").agg(
+                *[F.max(F.when(e, F.struct("x", "y"))).alias(f"v{j}") for j, e in enumerate(eqs)]).collect()
+            new_vertices: dict[int, dict] = {}
+            for r in found:
+                i = int(r["cap"])
+                a, b = poly[i], poly[(i + 1) % m]
+                for j in range(sub + 1):
+                    v = r[f"v{j}"]
+                    if v is None:
+                        continue
+                    pt = (float(v["x"]), float(v["y"]))
+                    if pt in (a, b) or K._cross(a, b, pt) >= 0:
+                        continue
+                    lo, hi = new_vertices.get(i, {}).get(pt, (angles[i][j], angles[i][j]))
+                    new_vertices.setdefault(i, {})[pt] = (min(lo, angles[i][j]), max(hi, angles[i][j]))
+            if not new_vertices:
+                break
+            new_poly, new_rng, first_id, bounds = [], [], [], []
+            for i in range(m):
+                first_id.append(len(new_poly))
+                new_poly.append(poly[i])
+                new_rng.append(rng[i])
+                a, b = poly[i], poly[(i + 1) % m]
+                ux, uy = b[0] - a[0], b[1] - a[1]
+                ins = sorted(new_vertices.get(i, {}).items(),
+                             key=lambda kv: (kv[0][0] - a[0]) * ux + (kv[0][1] - a[1]) * uy)
+                bounds.append([(pt[0] - a[0]) * ux + (pt[1] - a[1]) * uy for pt, _ in ins])
+                for pt, r_ in ins:
+                    new_poly.append(pt)
+                    new_rng.append(r_)
+            t = ((F.col("x") - per_cap([p[0] for p in poly])) * per_cap([poly[(i + 1) % m][0] - poly[i][0] for i in range(m)])
+                 + (F.col("y") - per_cap([p[1] for p in poly])) * per_cap([poly[(i + 1) % m][1] - poly[i][1] for i in range(m)]))
+            bnd = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in bl]) if bl
+                                         else F.array().cast("array<double>") for bl in bounds]), cap_i)
+            new_cap = per_cap(first_id).cast("long") + F.size(F.filter(bnd, lambda v: v < t))
+            mm = len(new_poly)
+            staged = cur.select(new_cap.alias("cap"), "x", "y")
+            ncap = F.col("cap").cast("int") + 1
+
+            def per_new(values):
+                return F.element_at(F.array(*[F.lit(float(v)) for v in values]), ncap)
+
+            vx, vy = per_new([p[0] for p in new_poly]), per_new([p[1] for p in new_poly])
+            wx = per_new([new_poly[(i + 1) % mm][0] for i in range(mm)])
+            wy = per_new([new_poly[(i + 1) % mm][1] for i in range(mm)])
+            beyond = -((wx - vx) * (F.col("y") - vy) - (wy - vy) * (F.col("x") - vx))
+            cur = materialize(staged.where(beyond > 0))
+            poly, rng = new_poly, new_rng
+        return cur, poly, rng
+
     def hull(self) -> DataFrame:
         """``seq, x, y`` clockwise from the smallest ``(x, y)``."""
         g = self.offset_col + F.col("pos") - 1
@@ -232,23 +355,31 @@ class CapHull:
         return self.vertices.select(seq.cast("long").alias("seq"), "x", "y")
 
     def antipodal_pairs(self) -> list[list[int]]:
-        """For each cap, the ids of the cap pairs it takes part in.  Cap ``i``
-        covers the sampled directions owned by its two end vertices (plus a
-        step of margin); caps whose direction sets are opposite are paired."""
-        d, m = CAP_DIRECTIONS, len(self.poly)
-        index = {p: i for i, p in enumerate(self.poly)}
-        owner = [index.get(p) for p in self.ext]
-        cover = []
-        for i in range(m):
-            s = {k for k in range(d) if owner[k] is None or owner[k] in (i, (i + 1) % m)}
-            cover.append(s | {(k + 1) % d for k in s} | {(k - 1) % d for k in s})
-        pairs = sorted({(min(i, j), max(i, j)) for i in range(m) for j in range(m)
-                        if {(k + d // 2) % d for k in cover[i]} & cover[j]})
+        """For each cap, the ids of the cap pairs it takes part in.
+
+        Cap ``i`` (edge ``v_i -> v_i+1``) holds every hull vertex whose
+        normal cone meets ``[first(v_i), last(v_i+1)]``, the directions from
+        where its start vertex begins to be extreme to where its end vertex
+        stops; both ends of a farthest pair have opposite normals, so caps
+        are paired when one range turned by pi meets the other (with a small
+        angular margin).  Vectorised over all cap pairs.
+        """
+        m, two_pi, eps = len(self.poly), 2 * math.pi, 1e-9
+        start = np.array([self.rng[i][0] for i in range(m)]) - eps
+        length = np.array([(self.rng[(i + 1) % m][1] - self.rng[i][0]) % two_pi for i in range(m)]) + 2 * eps
+        opp = (start + math.pi) % two_pi
         member: list[list[int]] = [[] for _ in range(m)]
-        for pid, (i, j) in enumerate(pairs):
-            member[i].append(pid)
-            if j != i:
-                member[j].append(pid)
+        pid = 0
+        for i in range(m):
+            j = np.arange(i, m)
+            d1 = (start[j] - opp[i]) % two_pi
+            d2 = (opp[i] - start[j]) % two_pi
+            hit = j[(d1 <= length[i]) | (d2 <= length[j])]
+            for jj in hit.tolist():
+                member[i].append(pid)
+                if jj != i:
+                    member[jj].append(pid)
+                pid += 1
         return member
 
     def farthest(self) -> DataFrame:
@@ -268,20 +399,20 @@ class CapHull:
         return top.withColumn("dist", F.sqrt("d2"))
 
 
-def convex_hull(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+def convex_hull(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int = CAP_LIMIT) -> DataFrame:
     """Strict hull vertices ``(seq, x, y)``, clockwise from the smallest (x, y).
 
     Collinear and duplicate points are not vertices; one distinct point
     gives one row; no points give no rows.
     """
-    caps = CapHull(points, x, y)
+    caps = CapHull(points, x, y, cap_limit)
     if caps.ok:
         return caps.hull()
     # fewer than three extreme points: all points lie on one line (tiny hull)
     return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_hull, HULL_SCHEMA)
 
 
-def farthest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+def farthest_pair(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int = CAP_LIMIT) -> DataFrame:
     """One row ``(x1, y1, x2, y2, d2, dist)``: the two points farthest apart.
 
     ``(x1, y1) <= (x2, y2)``; ties go to the smallest ``(x1, y1, x2, y2)``;
@@ -289,7 +420,7 @@ def farthest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     Both ends of a farthest pair are hull vertices with opposite normals, so
     only antipodal chains are paired (rotating calipers inside each pair).
     """
-    caps = CapHull(points, x, y)
+    caps = CapHull(points, x, y, cap_limit)
     if caps.ok:
         return caps.farthest().select(*PAIR_SCHEMA_COLS)
     return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_farthest, PAIR_SCHEMA)

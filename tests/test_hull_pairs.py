@@ -85,8 +85,10 @@ def test_closest_pair_with_heavy_copies(spark):
     assert pair_row(closest_pair(df)) == brute.closest(pts)
 
 
-@pytest.mark.parametrize("kind", ["circle", "parabola", "square_edges"])
-def test_large_hulls_split_into_caps(spark, kind):
+@pytest.mark.parametrize("kind,cap_limit", [("circle", 200_000), ("parabola", 200_000),
+                                            ("square_edges", 200_000), ("circle", 40),
+                                            ("parabola", 25), ("diagonal", 30)])
+def test_large_hulls_split_into_caps(spark, kind, cap_limit):
     import numpy as np
     from quadrille.functions import hull_kernels as K
     from quadrille.operators.hull import CapHull
@@ -96,6 +98,9 @@ def test_large_hulls_split_into_caps(spark, kind):
                for t in (rng.uniform(0, 2 * math.pi) for _ in range(4000))]
     elif kind == "parabola":
         pts = [(float(v), float(v * v)) for v in range(-1500, 1500)] + [(0.0, 3e6)]
+    elif kind == "diagonal":  # many collinear points on a slanted hull edge
+        pts = [(float(i), float(1000 - i)) for i in range(1000)] + [(0.0, 0.0), (300.0, 200.0)]
+        pts += [(rng.uniform(0, 600), rng.uniform(0, 300)) for _ in range(500)]
     else:  # many collinear points on each edge, plus interior points
         pts = [(float(i), 0.0) for i in range(500)] + [(float(i), 499.0) for i in range(500)]
         pts += [(0.0, float(i)) for i in range(500)] + [(499.0, float(i)) for i in range(500)]
@@ -105,9 +110,11 @@ def test_large_hulls_split_into_caps(spark, kind):
     hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
     cx, cy = K.clockwise(hx, hy)
     expected = list(zip(cx.tolist(), cy.tolist()))
-    caps = CapHull(df, "x", "y")
+    caps = CapHull(df, "x", "y", cap_limit)
     assert caps.ok and len(caps.poly) >= 3
-    assert hull_rows(convex_hull(df)) == expected
+    sizes = [r["count"] for r in caps.grouped.groupBy("cap").count().collect()]
+    assert max(sizes) <= cap_limit + 1  # points of one group, plus its end vertex
+    assert hull_rows(convex_hull(df, cap_limit=cap_limit)) == expected
     hull = expected
     best = None
     for i, a in enumerate(hull):
@@ -115,4 +122,4 @@ def test_large_hulls_split_into_caps(spark, kind):
             a2, b2 = min(a, b), max(a, b)
             key = (-brute.d2(a2, b2), a2, b2)
             best = key if best is None or key < best else best
-    assert pair_row(farthest_pair(df)) == (best[1][0], best[1][1], best[2][0], best[2][1], -best[0])
+    assert pair_row(farthest_pair(df, cap_limit=cap_limit)) == (best[1][0], best[1][1], best[2][0], best[2][1], -best[0])
