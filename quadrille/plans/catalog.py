@@ -47,6 +47,10 @@ def q_spatial_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join(fx.f2_pairs(spark, sf_dir), fx.f1_boxes(spark, sf_dir), "inner")
 
 
+def q_spatial_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial_join(fx.f2_pairs(spark, sf_dir), fx.f1_boxes(spark, sf_dir), "left")
+
+
 def q_spatial_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join_lines(fx.f2_pairs(spark, sf_dir), fx.f1_boxes(spark, sf_dir))
 
@@ -85,6 +89,16 @@ def q_ingest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, f"{base}/csv", f"{base}/table", "boxes")
 
 
+def q_range_query_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window query over the box layer after ingest: the corners are plain
+    Parquet columns sorted on x1, so all eight bounds reach the scan as
+    pushed filters and row groups outside the window are skipped."""
+    base = shared_output_dir(spark, "range_query_ingested")
+    write_result(box_csv_lines(fx.f1_boxes(spark, sf_dir)), f"{base}/csv", "text")
+    ingest(spark, f"{base}/csv", f"{base}/table", "boxes")
+    return range_query(spark.read.parquet(f"{base}/table"), FLAGSHIP_WINDOW)
+
+
 def q_ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1 + O11 for points: the point layer as comma text, ingested and read back."""
     base = shared_output_dir(spark, "ingest_points")
@@ -259,6 +273,11 @@ ORACLE_SQL: dict[str, str] = {
   SELECT p.*, r.id AS rect_id, r.xmin AS rect_xmin, r.ymin AS rect_ymin,
          r.xmax AS rect_xmax, r.ymax AS rect_ymax
   FROM ({F2_SQL}) p JOIN ({F1N_SQL}) r
+    ON {STRICT_SQL}""",
+    "spatial_join_left": f"""
+  SELECT p.*, r.id AS rect_id, r.xmin AS rect_xmin, r.ymin AS rect_ymin,
+         r.xmax AS rect_xmax, r.ymax AS rect_ymax
+  FROM ({F2_SQL}) p LEFT JOIN ({F1N_SQL}) r
     ON {STRICT_SQL}""",
     "spatial_join_lines": f"""
   SELECT p.id || ': ' || coalesce(string_agg(r.id, ',' ORDER BY r.xmin, r.id), '') AS line
@@ -275,6 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_points": F3_SQL,
 }
 ORACLE_SQL["stream_range_query"] = ORACLE_SQL["range_query"]
+ORACLE_SQL["range_query_ingested"] = ORACLE_SQL["range_query"]
 ORACLE_SQL["stream_join_lines"] = ORACLE_SQL["spatial_join_lines"]
 
 QUERIES: dict[str, QueryFn] = {
@@ -282,6 +302,7 @@ QUERIES: dict[str, QueryFn] = {
     "load_boxes_normalized": q_load_boxes_normalized,
     "range_query": q_range_query,
     "spatial_join_pairs": q_spatial_join_pairs,
+    "spatial_join_left": q_spatial_join_left,
     "spatial_join_lines": q_spatial_join_lines,
     "convex_hull": q_convex_hull,
     "farthest_pair": q_farthest_pair,
@@ -291,6 +312,7 @@ QUERIES: dict[str, QueryFn] = {
     "write_read_back": q_write_read_back,
     "ingest_boxes": q_ingest_boxes,
     "ingest_points": q_ingest_points,
+    "range_query_ingested": q_range_query_ingested,
     "stream_range_query": q_stream_range_query,
     "stream_join_lines": q_stream_join_lines,
 }
