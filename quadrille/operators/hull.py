@@ -127,8 +127,8 @@ def _merged(cand: DataFrame) -> DataFrame:
 
 def _extremes(pts: DataFrame, directions: int):
     """Extreme point per direction ``2*pi*k/directions`` (ties to the largest
-    ``(x, y)``) and the smallest ``(x, y)`` point, which is always a hull
-    vertex.
+    ``(x, y)``), the smallest ``(x, y)`` point, which is always a hull
+    vertex, and the number of points.
 
     Two passes: plain ``max`` of each projection (double buffers, whole-stage
     codegen), then a filter keeping only points that reach a maximum (the
@@ -141,9 +141,9 @@ def _extremes(pts: DataFrame, directions: int):
         t = 2 * math.pi * k / directions
         projs.append(F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t)))
     row = pts.agg(*[F.max(p).alias(f"m{k}") for k, p in enumerate(projs)],
-                  F.min("x").alias("lx")).first()
+                  F.min("x").alias("lx"), F.count(F.lit(1)).alias("n")).first()
     if row["lx"] is None:
-        return [None] * directions, None
+        return [None] * directions, None, 0
     at_max = [p == F.lit(row[f"m{k}"]) for k, p in enumerate(projs)]
     at_low = F.col("x") == F.lit(row["lx"])
     hit = at_low
@@ -154,7 +154,7 @@ def _extremes(pts: DataFrame, directions: int):
     r2 = pts.where(hit).agg(*aggs).first()
     ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:directions]]
     low = r2["low"]
-    return ext, (float(low["x"]), float(low["y"]))
+    return ext, (float(low["x"]), float(low["y"])), int(row["n"])
 
 
 def _cap_index(poly: list[tuple[float, float]]):
@@ -184,7 +184,7 @@ class CapHull:
 
     def __init__(self, points: DataFrame, x: str, y: str, cap_limit: int = CAP_LIMIT):
         pts = finite_points(points, x, y)
-        self.ext, self.low = _extremes(pts, CAP_DIRECTIONS)
+        self.ext, self.low, self.n_points = _extremes(pts, CAP_DIRECTIONS)
         found = sorted({p for p in self.ext if p is not None})
         self.poly: list[tuple[float, float]] = []
         if len(found) >= 3:
@@ -269,6 +269,8 @@ class CapHull:
         stay.  Two aggregates per round, only over the oversized caps.
         """
         sub = SUB_DIRECTIONS
+        if self.n_points <= self.cap_limit:  # no cap can be oversized
+            return cur, poly, rng
         for _ in range(MAX_REFINE_ROUNDS):
             big = sorted(int(r["cap"]) for r in cur.groupBy("cap").count()
                          .where(F.col("count") > self.cap_limit).collect())
