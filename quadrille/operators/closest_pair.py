@@ -3,7 +3,8 @@
 Plan
 ----
 1. Finite points, ``distinct`` (partial aggregation folds heavy copies
-   map-side), checkpointed once because several passes read them.
+   map-side), checkpointed once because several passes read them; the
+   count and bounding box are observed in that same job.
 2. An upper bound ``g`` on the closest distance: start with the extent
    ``w + h`` (>= any pair distance), then refine.  While a cell of side
    ``g`` may hold ``m > K_MAX`` points, a finer grid of side ``g / k`` with
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import point_lt, squared_distance
 from quadrille.operators.hull import finite_points
-from quadrille.plans.session import materialize, shuffle_partitions_for
+from quadrille.plans.session import materialize_with_stats, shuffle_partitions_for
 
 K_MAX = 64
 MAX_ROUNDS = 48
@@ -107,9 +108,10 @@ def closest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     ``(x1, y1) < (x2, y2)``; ties go to the smallest ``(x1, y1, x2, y2)``.
     Fewer than two distinct finite points give no row.
     """
-    pts = materialize(finite_points(points, x, y).distinct())
-    st = pts.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-                 F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    pts, st = materialize_with_stats(
+        finite_points(points, x, y).distinct(),
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.min("y").alias("y0"), F.max("y").alias("y1"))
     if st["n"] < 2:
         return _empty(pts)
     size = distance_bound(pts, st) * SLACK

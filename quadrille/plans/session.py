@@ -72,6 +72,18 @@ def materialize(df: DataFrame) -> DataFrame:
 TARGET_BYTES = 64 * 1024 * 1024
 
 
+def materialize_with_stats(df: DataFrame, *aggs):
+    """``materialize`` plus global aggregates of the same rows, computed in
+    the checkpoint job itself (``observe``) instead of a second pass."""
+    from pyspark.sql import Observation
+    if ensure_checkpoint_dir(df.sparkSession):
+        obs = Observation("quadrille_stats")
+        out = df.observe(obs, *aggs).checkpoint(eager=True)
+        return out, obs.get
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return out, out.agg(*aggs).first().asDict()
+
+
 def shuffle_partitions_for(spark: SparkSession, total_bytes: int, target: int = TARGET_BYTES) -> int:
     """Partitions so each holds about ``target`` bytes, never fewer than the
     session's ``spark.sql.shuffle.partitions``."""
