@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import hull_kernels as K
 from quadrille.functions.geometry import is_finite
-from quadrille.plans.session import materialize
+from quadrille.plans.session import materialize, materialize_with_stats
 
 DIRECTIONS = 16
 CAP_DIRECTIONS = 32
@@ -224,13 +224,17 @@ class CapHull:
                                      "cap long, x double, y double")
         grouped = cur.unionByName(ends)
         self.grouped = grouped
-        self.chains = materialize(grouped.groupBy("cap").applyInPandas(
-            K.make_cap_chain(poly), "cap long, pos long, n long, x double, y double"))
         lx, ly = self.low
-        # one small collect: each chain's first, penultimate and end rows,
-        # plus the row of the smallest point (<= 3 * 64 + 1 rows)
-        edge_rows = self.chains.where((F.col("pos") == 1) | (F.col("pos") >= F.col("n") - 1)
-                                      | ((F.col("x") == lx) & (F.col("y") == ly))).collect()
+        # each chain's first, penultimate and end rows, plus the row of the
+        # smallest point (at most 3 per cap + 1), observed in the same job
+        # that checkpoints the chains
+        edge = ((F.col("pos") == 1) | (F.col("pos") >= F.col("n") - 1)
+                | ((F.col("x") == lx) & (F.col("y") == ly)))
+        self.chains, seen = materialize_with_stats(
+            grouped.groupBy("cap").applyInPandas(K.make_cap_chain(poly),
+                                                 "cap long, pos long, n long, x double, y double"),
+            F.collect_list(F.when(edge, F.struct("cap", "pos", "n", "x", "y"))).alias("rows"))
+        edge_rows = seen["rows"]
         caps = [{"n": 0, "first": None, "penult": None, "last": None} for _ in range(m)]
         low_at = None
         for r in edge_rows:
