@@ -36,3 +36,21 @@ def test_join_lines_property(spark, rects, probes, cell):
     p = spark.createDataFrame(p_rows, "id string, x1 double, y1 double, x2 double, y2 double")
     got = sorted(x.line for x in spatial_join_lines(p, r, cell=cell).collect())
     assert got == brute.join_lines(p_rows, [(f"r{i}", *b) for i, b in enumerate(rects)])
+
+
+point = st.tuples(st.integers(min_value=0, max_value=6).map(float), st.integers(min_value=0, max_value=6).map(float))
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(points=st.lists(point, min_size=0, max_size=25))
+def test_hull_and_pairs_property(spark, points):
+    from quadrille.operators.closest_pair import closest_pair
+    from quadrille.operators.hull import convex_hull, farthest_pair
+    df = spark.createDataFrame(points, "x double, y double")
+    hull = [(r.x, r.y) for r in sorted(convex_hull(df).collect(), key=lambda r: r.seq)]
+    assert hull == brute.hull_vertices(points)
+    far = [(r.x1, r.y1, r.x2, r.y2, r.d2) for r in farthest_pair(df).collect()]
+    assert far == ([brute.farthest(points)] if points else [])
+    near = [(r.x1, r.y1, r.x2, r.y2, r.d2) for r in closest_pair(df).collect()]
+    exp = brute.closest(points)
+    assert near == ([exp] if exp else [])
