@@ -30,7 +30,7 @@ candidates and coverage rows in such cells (or under such a cell at a
 coarser level) are anti-joined away first, so nested and heavily
 overlapping boxes do not meet pairwise in their shared interior.
 Crossings come from a self equi-join on the multi-level grid: each box is
-copied into its cells at its own level and lifted (at most 2 x 2 cells)
+copied into its cells at its own level and lifted (a few cells)
 onto every coarser level in use, and a pair (A, B) is matched only at
 level ``max(level A, level B)``; each crossing point is emitted only from
 the cell that holds it, so no dedupe of pairs is needed.  Coverage is a
@@ -56,6 +56,10 @@ BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 # as a box, 3,000 mutually overlapping boxes gave 9M crossing candidates
 # (56 vertices); at 1/8 the pruning leaves 4% of the entries.
 CELL_FRACTION = 8.0
+# On the dense grid a box may span up to 64 cells per axis at its level, so
+# boxes up to ~8 mean sides wide stay on the base level, where their
+# interiors can prune (lifted entries on coarser levels are not pruned).
+DENSE_SPAN = 64
 # Average partners per box entry in a cell above which the grid is "dense".
 DENSE_PARTNERS = 8
 
@@ -182,13 +186,15 @@ def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
     lv = G.with_box_level(b, plan.grid)
     if prune is None:
         prune = _dense(lv)
-    if prune and cell is None:
-        plan = G.plan_from_buckets(buckets, cell_fraction=CELL_FRACTION)
+    if prune:
+        plan = G.plan_from_buckets(buckets, cell_fraction=CELL_FRACTION if cell is None else 1.0,
+                                   cell=cell, span=DENSE_SPAN)
         lv = G.with_box_level(b, plan.grid)
     grid, levels = plan.grid, plan.levels
     limit = _broadcast_limit(b.sparkSession, broadcast_limit)
     own_copies = plan.copies_bound
-    entry_bound = own_copies + 4 * plan.n * (len(levels) - 1)
+    lifted_cells = (grid.span // int(G.RATIO) + 2) ** 2  # a box lifted one level up
+    entry_bound = own_copies + lifted_cells * plan.n * (len(levels) - 1)
     entries = _entries(lv, grid, levels)
     corners = _corners(b)
     own = G.explode_box_cells(lv)
