@@ -220,8 +220,10 @@ def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
                     & (pc["_cy"] == own["_bcy"])
                     & (F.col("xmin") <= x) & (x <= F.col("xmax"))
                     & (F.col("ymin") <= y) & (y <= F.col("ymax")))
-    keys = [x, y] + ([pc["_level"], pc["_cx"], pc["_cy"]] if len(levels) == 1 else [])
-    q = cover.groupBy(*keys).agg(*_quadrants(x, y))
+    # candidates come out of ``distinct`` hashed on (x, y): with broadcast
+    # cell tables this aggregate needs no new exchange; with a shuffled join
+    # it re-partitions, which leaves AQE free to split a hot cell
+    q = cover.groupBy(x, y).agg(*_quadrants(x, y))
     s = F.col("ne") + F.col("nw") + F.col("se") + F.col("sw")
     vertex = s.isin(1, 3) | ((s == 2) & (F.col("ne") == F.col("sw")))
     return q.where(vertex).select("x", "y")
