@@ -27,10 +27,11 @@ Plan
    group and a distributed top-1 picks the answer.  No group ever holds
    the whole hull and no pair table is built.
 
-Degenerate inputs (fewer than three extreme points: all points on one
-line, or at most two distinct points) take a simple path: partial hulls
-per partition merged in rounds of at most ``FANIN`` (the result has at most
-two points).
+Inputs of at most ``CAP_LIMIT`` points (counted in the first pass) run as
+one group of that bounded size, skipping the split.  Degenerate inputs
+(fewer than three extreme points: all points on one line, or at most two
+distinct points) take a simple path: partial hulls per partition merged in
+rounds of at most ``FANIN`` (the result has at most two points).
 """
 
 from __future__ import annotations
@@ -125,25 +126,33 @@ def _merged(cand: DataFrame) -> DataFrame:
     return cur
 
 
-def _extremes(pts: DataFrame, directions: int):
-    """Extreme point per direction ``2*pi*k/directions`` (ties to the largest
-    ``(x, y)``), the smallest ``(x, y)`` point, which is always a hull
-    vertex, and the number of points.
+def _projections(directions: int):
+    out = []
+    for k in range(directions):
+        t = 2 * math.pi * k / directions
+        out.append(F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t)))
+    return out
+
+
+def _extreme_maxima(pts: DataFrame, directions: int):
+    """Pass 1: the max of each projection, the smallest x and the number of
+    points (plain double aggregates, whole-stage codegen)."""
+    projs = _projections(directions)
+    return pts.agg(*[F.max(p).alias(f"m{k}") for k, p in enumerate(projs)],
+                   F.min("x").alias("lx"), F.count(F.lit(1)).alias("n")).first()
 
-    Two passes: plain ``max`` of each projection (double buffers, whole-stage
-    codegen), then a filter keeping only points that reach a maximum (the
-    same expression, so equality is exact) and a small aggregate over those.
-    A single pass of ``max(struct(...))`` is several times slower because
+
+def _extremes(pts: DataFrame, directions: int, row):
+    """Pass 2: the extreme point per direction ``2*pi*k/directions`` (ties
+    to the largest ``(x, y)``) and the smallest ``(x, y)`` point, which is
+    always a hull vertex.
+
+    A filter keeps only points reaching a maximum of pass 1 (the same
+    expression, so equality is exact) and a small aggregate picks them.  A
+    single pass of ``max(struct(...))`` is several times slower because
     struct buffers leave the fast aggregation path.
     """
-    projs = []
-    for k in range(directions):
-        t = 2 * math.pi * k / directions
-        projs.append(F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t)))
-    row = pts.agg(*[F.max(p).alias(f"m{k}") for k, p in enumerate(projs)],
-                  F.min("x").alias("lx"), F.count(F.lit(1)).alias("n")).first()
-    if row["lx"] is None:
-        return [None] * directions, None, 0
+    projs = _projections(directions)
     at_max = [p == F.lit(row[f"m{k}"]) for k, p in enumerate(projs)]
     at_low = F.col("x") == F.lit(row["lx"])
     hit = at_low
@@ -154,7 +163,7 @@ def _extremes(pts: DataFrame, directions: int):
     r2 = pts.where(hit).agg(*aggs).first()
     ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:directions]]
     low = r2["low"]
-    return ext, (float(low["x"]), float(low["y"])), int(row["n"])
+    return ext, (float(low["x"]), float(low["y"]))
 
 
 def _cap_index(poly: list[tuple[float, float]]):
@@ -184,15 +193,23 @@ class CapHull:
 
     def __init__(self, points: DataFrame, x: str, y: str, cap_limit: int = CAP_LIMIT):
         pts = finite_points(points, x, y)
-        self.ext, self.low, self.n_points = _extremes(pts, CAP_DIRECTIONS)
-        found = sorted({p for p in self.ext if p is not None})
+        self.pts = pts
+        self.cap_limit = cap_limit
         self.poly: list[tuple[float, float]] = []
+        row = _extreme_maxima(pts, CAP_DIRECTIONS)
+        self.n_points = int(row["n"])
+        # at most cap_limit points: one group holding all of them is within
+        # the same bound the caps enforce, so no split is needed
+        self.small = self.n_points <= cap_limit
+        self.ok = False
+        if self.small:
+            return
+        self.ext, self.low = _extremes(pts, CAP_DIRECTIONS, row)
+        found = sorted({p for p in self.ext if p is not None})
         if len(found) >= 3:
             arr = np.asarray(found, dtype=float)
             hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
             self.poly = list(zip(hx.tolist(), hy.tolist()))
-        self.pts = pts
-        self.cap_limit = cap_limit
         self.ok = len(self.poly) >= 3
         if self.ok:
             self._build()
@@ -273,8 +290,6 @@ class CapHull:
         stay.  Two aggregates per round, only over the oversized caps.
         """
         sub = SUB_DIRECTIONS
-        if self.n_points <= self.cap_limit:  # no cap can be oversized
-            return cur, poly, rng
         for _ in range(MAX_REFINE_ROUNDS):
             big = sorted(int(r["cap"]) for r in cur.groupBy("cap").count()
                          .where(F.col("count") > self.cap_limit).collect())
@@ -412,6 +427,8 @@ def convex_hull(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int =
     gives one row; no points give no rows.
     """
     caps = CapHull(points, x, y, cap_limit)
+    if caps.small:
+        return caps.pts.groupBy(F.lit(0).alias("_b")).applyInPandas(K.final_hull, HULL_SCHEMA)
     if caps.ok:
         return caps.hull()
     # fewer than three extreme points: all points lie on one line (tiny hull)
@@ -427,6 +444,8 @@ def farthest_pair(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int
     only antipodal chains are paired (rotating calipers inside each pair).
     """
     caps = CapHull(points, x, y, cap_limit)
+    if caps.small:
+        return caps.pts.groupBy(F.lit(0).alias("_b")).applyInPandas(K.final_farthest, PAIR_SCHEMA)
     if caps.ok:
         return caps.farthest().select(*PAIR_SCHEMA_COLS)
     return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_farthest, PAIR_SCHEMA)

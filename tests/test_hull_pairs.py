@@ -72,8 +72,9 @@ def test_random_vs_brute(spark, seed, kind, n, parts):
     rng = random.Random(seed)
     pts = _rand_points(rng, n, kind)
     df = spark.createDataFrame(pts, PTS).repartition(parts)
-    assert hull_rows(convex_hull(df)) == brute.hull_vertices(pts)
-    assert pair_row(farthest_pair(df)) == brute.farthest(pts)
+    for limit in (10 ** 6, 8):  # one bounded group; split caps
+        assert hull_rows(convex_hull(df, cap_limit=limit)) == brute.hull_vertices(pts)
+        assert pair_row(farthest_pair(df, cap_limit=limit)) == brute.farthest(pts)
     assert pair_row(closest_pair(df)) == brute.closest(pts)
 
 
@@ -111,9 +112,12 @@ def test_large_hulls_split_into_caps(spark, kind, cap_limit):
     cx, cy = K.clockwise(hx, hy)
     expected = list(zip(cx.tolist(), cy.tolist()))
     caps = CapHull(df, "x", "y", cap_limit)
-    assert caps.ok and len(caps.poly) >= 3
-    sizes = [r["count"] for r in caps.grouped.groupBy("cap").count().collect()]
-    assert max(sizes) <= cap_limit + 1  # points of one group, plus its end vertex
+    if caps.small:  # the whole input fits one bounded group
+        assert caps.n_points <= cap_limit
+    else:
+        assert caps.ok and len(caps.poly) >= 3
+        sizes = [r["count"] for r in caps.grouped.groupBy("cap").count().collect()]
+        assert max(sizes) <= cap_limit + 1  # points of one group, plus its end vertex
     assert hull_rows(convex_hull(df, cap_limit=cap_limit)) == expected
     hull = expected
     best = None

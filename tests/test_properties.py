@@ -42,14 +42,14 @@ point = st.tuples(st.integers(min_value=0, max_value=6).map(float), st.integers(
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(points=st.lists(point, min_size=0, max_size=25))
-def test_hull_and_pairs_property(spark, points):
+@given(points=st.lists(point, min_size=0, max_size=25), cap_limit=st.sampled_from([3, 10 ** 6]))
+def test_hull_and_pairs_property(spark, points, cap_limit):
     from quadrille.operators.closest_pair import closest_pair
     from quadrille.operators.hull import convex_hull, farthest_pair
     df = spark.createDataFrame(points, "x double, y double")
-    hull = [(r.x, r.y) for r in sorted(convex_hull(df).collect(), key=lambda r: r.seq)]
+    hull = [(r.x, r.y) for r in sorted(convex_hull(df, cap_limit=cap_limit).collect(), key=lambda r: r.seq)]
     assert hull == brute.hull_vertices(points)
-    far = [(r.x1, r.y1, r.x2, r.y2, r.d2) for r in farthest_pair(df).collect()]
+    far = [(r.x1, r.y1, r.x2, r.y2, r.d2) for r in farthest_pair(df, cap_limit=cap_limit).collect()]
     assert far == ([brute.farthest(points)] if points else [])
     near = [(r.x1, r.y1, r.x2, r.y2, r.d2) for r in closest_pair(df).collect()]
     exp = brute.closest(points)
