@@ -92,3 +92,17 @@ def test_box_csv_round_trip_exact(spark, tmp_out):
     write_result(box_csv_lines(df), f"{tmp_out}/csv", "text")
     back = read_boxes(spark, f"{tmp_out}/csv")
     assert sorted(tuple(r) for r in back.collect()) == sorted(vals)
+
+
+def test_ingest_layers(spark, tmp_out):
+    from quadrille.sources.ingest import ingest_layers
+    import os
+    src = f"{tmp_out}/src"
+    os.makedirs(src)
+    _write(src, "JoinQueryRectangle.csv", ["0,A,0,0,4,4", "0,B,1,1,3,3"])
+    _write(src, "ConvexHullTestData.csv", ["0,p,1,2", "0,q,3,4", "0,r,5,0"])
+    out = ingest_layers(spark, src, f"{tmp_out}/dst",
+                        layers={"JoinQueryRectangle": "boxes", "ConvexHullTestData": "points"})
+    assert spark.read.parquet(out["JoinQueryRectangle"]).count() == 2
+    pts = spark.read.parquet(out["ConvexHullTestData"])
+    assert pts.columns == ["id", "x", "y"] and pts.count() == 3
