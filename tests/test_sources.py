@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from quadrille.sources.readers import normalize_boxes, read_boxes, read_points
 from quadrille.sources.ingest import ingest
