@@ -105,3 +105,14 @@ def test_ingest_layers(spark, tmp_out):
     assert spark.read.parquet(out["JoinQueryRectangle"]).count() == 2
     pts = spark.read.parquet(out["ConvexHullTestData"])
     assert pts.columns == ["id", "x", "y"] and pts.count() == 3
+
+
+def test_ingest_spreads_hot_value(spark, tmp_out):
+    # a third of the rows are one exact copy: they must not land in one file
+    lines = [f"0,r{i},{i % 50},{i % 7},{i % 50 + 1},{i % 7 + 1}" for i in range(600)] + ["0,hot,5,5,6,6"] * 300
+    src = _write(tmp_out, "hot.csv", lines)
+    t = ingest(spark, src, f"{tmp_out}/hot", "boxes", partitions=6)
+    assert t.count() == 900
+    per_file = spark.read.parquet(f"{tmp_out}/hot").groupBy(
+        __import__("pyspark.sql.functions", fromlist=["input_file_name"]).input_file_name()).count().collect()
+    assert len(per_file) >= 4 and max(r["count"] for r in per_file) < 300
