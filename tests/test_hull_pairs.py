@@ -127,3 +127,40 @@ def test_large_hulls_split_into_caps(spark, kind, cap_limit):
             key = (-brute.d2(a2, b2), a2, b2)
             best = key if best is None or key < best else best
     assert pair_row(farthest_pair(df, cap_limit=cap_limit)) == (best[1][0], best[1][1], best[2][0], best[2][1], -best[0])
+
+
+def test_closest_pair_hot_cluster_vs_sorted_sweep(spark):
+    # a third of the points in one tight cluster: the bound rounds must
+    # shrink the grid there; checked against an exact sorted sweep
+    import numpy as np
+    import pandas as pd
+    from quadrille.operators import closest_pair as CP
+    rng = np.random.default_rng(3)
+    pts = np.vstack([rng.uniform(-1e3, 1e3, size=(20_000, 2)),
+                     7.0 + rng.uniform(0, 1e-3, size=(10_000, 2))]).round(9)
+    df = spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y"])).repartition(8)
+    seen = []
+    orig = CP._fine_round
+
+    def traced(p, size):
+        out = orig(p, size)
+        seen.append(out[1])
+        return out
+    CP._fine_round = traced
+    try:
+        row = pair_row(closest_pair(df))
+    finally:
+        CP._fine_round = orig
+    u = np.unique(pts, axis=0)
+    u = u[np.lexsort((u[:, 1], u[:, 0]))]
+    bound, best, k = math.sqrt(row[4]) * 1.000001, math.inf, 1
+    while k < len(u):
+        dx = u[k:, 0] - u[:-k, 0]
+        if (dx > bound).all():
+            break
+        m = dx <= bound
+        dd = dx[m] ** 2 + (u[k:, 1] - u[:-k, 1])[m] ** 2
+        best = min(best, dd.min()) if dd.size else best
+        k += 1
+    assert row[4] == best
+    assert len(seen) <= 6 and seen[-1] <= 64  # a few rounds; cells end small
