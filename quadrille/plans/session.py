@@ -9,10 +9,10 @@ executor does not force the whole upstream plan to rerun.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
@@ -39,34 +39,30 @@ def local_session(cpus: int | str = "*", app: str = "quadrille", **conf: str) ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the session's ``spark.checkpoint.dir``; set one only where unset.
 
-    Setting a fallback is for local runs (tests, bench); on a cluster the
-    configured shared folder is always used.
+    A temporary folder is made only for a ``local`` / ``local[n]`` master, where
+    driver and tasks are one process (tests, bench).  Any other master must name
+    a shared folder in ``spark.checkpoint.dir``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if fallback is None and sc.master.startswith("local"):
-        fallback = tempfile.mkdtemp(prefix="quadrille-ckpt-")
-    if fallback:
-        sc.setCheckpointDir(fallback)
-        return sc.getCheckpointDir()
-    return None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not configured and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        configured = tempfile.mkdtemp(prefix="quadrille-ckpt-")
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: reliable checkpoint if a checkpoint dir is known, else
-    persist to memory and disk (recomputed from lineage if lost)."""
-    if ensure_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 TARGET_BYTES = 64 * 1024 * 1024
@@ -76,12 +72,10 @@ def materialize_with_stats(df: DataFrame, *aggs):
     """``materialize`` plus global aggregates of the same rows, computed in
     the checkpoint job itself (``observe``) instead of a second pass."""
     from pyspark.sql import Observation
-    if ensure_checkpoint_dir(df.sparkSession):
-        obs = Observation("quadrille_stats")
-        out = df.observe(obs, *aggs).checkpoint(eager=True)
-        return out, obs.get
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return out, out.agg(*aggs).first().asDict()
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation("quadrille_stats")
+    out = df.observe(obs, *aggs).checkpoint(eager=True)
+    return out, obs.get
 
 
 def shuffle_partitions_for(spark: SparkSession, total_bytes: int, target: int = TARGET_BYTES) -> int:
@@ -94,14 +88,4 @@ def shuffle_partitions_for(spark: SparkSession, total_bytes: int, target: int =
 def shared_output_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written results under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    import uuid
     return f"{base.rstrip('/')}/quadrille-out/{name}-{uuid.uuid4().hex}"
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
