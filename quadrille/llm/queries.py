@@ -10,12 +10,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrille.llm.common import read
+from quadrille.llm.decontamination import decontaminate
 from quadrille.llm.exact_dedup import exact_dedup
+from quadrille.llm.jaccard_join import jaccard_join
 from quadrille.llm.mixing import mix
 from quadrille.llm.secret_scan import scan_secrets
+from quadrille.llm.substring_dedup import repeated_units
 from quadrille.llm.token_output import token_output
+from quadrille.llm.toxicity import toxicity
+from quadrille.llm.url_filters import filter_urls
 from quadrille.llm.warc import deduplicate, read_archives, records_of
 
 
@@ -24,6 +30,28 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(read(spark, sf_dir, "documents")).drop("mark")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")  # a page's labels are those of its id
+    blocked = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return filter_urls(read(spark, sf_dir, "pages"), blocked)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents")).drop("n_linked")
 
@@ -43,6 +71,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_url_filters": op6_url_filters,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
@@ -51,7 +84,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+#: Shingle sets, all pairs that share a shingle, and the smallest id within reach.
+JACCARD_SQL = r"""
+  WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+  s AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                              ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  rare AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+  r AS (SELECT s.doc_id, s.g FROM s JOIN rare ON s.g = rare.g),
+  both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM r x JOIN r y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+  FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": JACCARD_SQL,
     "op8_exact_dedup": f"""
   WITH n AS (SELECT doc_id, {NORMAL} AS t FROM documents),
   g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -8,6 +8,7 @@ buffer of a batch: no Python loop over words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -67,7 +68,29 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text (one row at least)."""
+    if len(batch) == 0:
+        return
+    _, offsets = text_buffer(batch.column(column))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def spaces_table(also: bytes = b"") -> np.ndarray:
+    """Which bytes separate words: white space and the bytes ``also``."""
+    table = np.zeros(256, bool)
+    table[[32, *range(9, 14), *also]] = True
+    return table
+
+
+SPACES = spaces_table()
+
+
+def words_of(column: pa.Array, lower: bool = True, spaces: np.ndarray = SPACES) -> Words:
     """Words of every row with a 64-bit hash each; A-Z are lowered if asked."""
     data, offsets = text_buffer(column)
     if lower:
@@ -77,7 +100,7 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), offsets, data)
-    inside = ~((data == 32) | ((data - np.uint8(9)) < np.uint8(5)))
+    inside = ~spaces[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begin = inside.copy()
