@@ -152,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = write_table(sizes.groupBy(level_key("source").alias("level")).agg(F.sum("size").alias("words")), "cells")
     lam = newton_multipliers(cells, {"level": targets})["level"]
     per_source = write_table(targets.drop("source").join(lam, "level", "left").select(
-        "level", "source_size", "target", F.coalesce(F.least(F.exp("lam"), F.lit(float(cap))), F.lit(0.0)).alias("rate")), "rates")
+        "level", "source_size", "target", F.least(F.coalesce(F.exp("lam"), F.lit(0.0)), F.lit(float(cap))).alias("rate")), "rates")
     rated = sizes.withColumn("level", level_key("source")).join(per_source, "level")
     return round_copies(rated, cap).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
