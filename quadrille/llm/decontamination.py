@@ -105,7 +105,7 @@ REGION = "mark long, lo long, words binary, places array<long>, grams array<long
 def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFrame:
     """Regions of texts around n-grams of the block: doc_id, mark, lo (first word),
     words (hashes), and place and number of each shared n-gram."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of about ``most`` words, one block on the driver at a time."""
-    rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
+    rows = benchmark.select(F.col(item_col).alias("item_id"), F.lower(text_col).alias("text"))
     ids, texts, held = [], [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
