@@ -58,37 +58,6 @@ def monotone_chain(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.asarray(hx), np.asarray(hy)
 
 
-def partial_hull_batches(batches):
-    """``mapInPandas``: hull of each partition (all batches together)."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    hx, hy = monotone_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-    yield pd.DataFrame({"x": hx, "y": hy})
-
-
-def make_merge_hull(bucket_fanin: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        hx, hy = monotone_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-        b = int(pdf["_b"].iloc[0]) // bucket_fanin if len(pdf) else 0
-        return pd.DataFrame({"_b": np.full(len(hx), b, dtype=np.int64), "x": hx, "y": hy})
-    return merge
-
-
-def clockwise(hx: np.ndarray, hy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """CCW open hull starting at min point -> clockwise from the same point."""
-    if len(hx) <= 2:
-        return hx, hy
-    return (np.concatenate([hx[:1], hx[1:][::-1]]), np.concatenate([hy[:1], hy[1:][::-1]]))
-
-
-def final_hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    hx, hy = monotone_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-    cx, cy = clockwise(hx, hy)
-    return pd.DataFrame({"seq": np.arange(len(cx), dtype=np.int64), "x": cx, "y": cy})
-
-
 def _d2(ax, ay, bx, by):
     dx = ax - bx
     dy = ay - by
@@ -145,17 +114,6 @@ def farthest_from_hull(hx: np.ndarray, hy: np.ndarray):
     return x1, y1, x2, y2, d2
 
 
-def final_farthest(pdf: pd.DataFrame) -> pd.DataFrame:
-    hx, hy = monotone_chain(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-    res = farthest_from_hull(hx, hy)
-    cols = ["x1", "y1", "x2", "y2", "d2", "dist"]
-    if res is None:
-        return pd.DataFrame({c: pd.Series([], dtype=float) for c in cols})
-    x1, y1, x2, y2, d2 = res
-    return pd.DataFrame({"x1": [x1], "y1": [y1], "x2": [x2], "y2": [y2], "d2": [d2],
-                         "dist": [float(np.sqrt(d2))]})
-
-
 def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 

@@ -34,7 +34,6 @@ from quadrille.operators.hull import finite_points
 from quadrille.plans.session import materialize_with_stats, shuffle_partitions_for
 
 K_MAX = 64
-MAX_ROUNDS = 48
 SLACK = 1.0 + 1e-9
 HALF_NEIGHBOURS = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 PAIR_COLS = ("x1", "y1", "x2", "y2", "d2", "dist")
@@ -82,23 +81,28 @@ def distance_bound(pts: DataFrame, stats) -> float:
     extent, then ``9 * m`` where ``m`` is the fullest fine cell of the last
     round (the new ``g`` is below 1.5 fine cells, so a cell of side ``g``
     overlaps at most 3 x 3 fine cells).  Each round is one aggregate.
+
+    ``est`` may be far too high (points on a lattice), so that no fine cell
+    holds two points; then the fine cells are made twice as wide, until some
+    do or a cell of side ``g`` provably holds few.
     """
     g = (stats["x1"] - stats["x0"]) + (stats["y1"] - stats["y0"])
     max_abs = max(abs(stats["x0"]), abs(stats["x1"]), abs(stats["y0"]), abs(stats["y1"]), 1e-300)
-    est = int(stats["n"])
-    for _ in range(MAX_ROUNDS):
-        if est <= K_MAX:
-            break
-        # (k + 2)**2 < est fine cells (one cell of slack per axis for
-        # rounding) force two points of the fullest cell into one fine cell
-        k = max(2, int(math.isqrt(est - 1)) - 2)
-        # keep fine cell indices well inside 64 bits
-        k = max(2, min(k, int(2.0 ** 52 * g / max_abs)))
+    est, k = int(stats["n"]), None
+    while est > K_MAX:
+        if k is None:
+            # (k + 2)**2 < est fine cells (one cell of slack per axis for
+            # rounding) force two points of the fullest cell into one fine cell
+            k = max(2, int(math.isqrt(est - 1)) - 2)
+            # keep fine cell indices well inside 64 bits
+            k = max(2, min(k, int(2.0 ** 52 * g / max_abs)))
         d, m = _fine_round(pts, g / k)
-        if d is None or not d < g:
-            break
-        g = d
-        est = 9 * m
+        if d is not None and d < g:
+            g, est, k = d, 9 * m, None
+        elif k > 2:
+            est, k = min(est, (k + 2) ** 2), k // 2  # one point per fine cell at most
+        else:
+            break  # a cell of side g overlaps 4 x 4 fine cells of one point each at most
     return g
 
 

@@ -27,11 +27,10 @@ Plan
    group and a distributed top-1 picks the answer.  No group ever holds
    the whole hull and no pair table is built.
 
-Inputs of at most ``CAP_LIMIT`` points (counted in the first pass) run as
-one group of that bounded size, skipping the split.  Degenerate inputs
-(fewer than three extreme points: all points on one line, or at most two
-distinct points) take a simple path: partial hulls per partition merged in
-rounds of at most ``FANIN`` (the result has at most two points).
+Every input takes this plan.  If the 32 directions meet only two extreme
+points (a thin shape), the directions are taken anew in coordinates in which
+the shape is as wide as it is long.  If all points lie on one line the hull is
+its two ends, found by ``min`` and ``max``.
 """
 
 from __future__ import annotations
@@ -46,15 +45,11 @@ from quadrille.functions import hull_kernels as K
 from quadrille.functions.geometry import is_finite
 from quadrille.plans.session import materialize, materialize_with_stats
 
-DIRECTIONS = 16
 CAP_DIRECTIONS = 32
 # Points per cap group above which a cap is split further (see
-# CapHull._split_big_caps); sub-directions sampled per split and a bound
-# on the number of split rounds.
+# CapHull._split_big_caps), and sub-directions sampled per split.
 CAP_LIMIT = 200_000
 SUB_DIRECTIONS = 16
-MAX_REFINE_ROUNDS = 12
-FANIN = 16
 REL_MARGIN = 1e-12
 
 HULL_SCHEMA = "seq long, x double, y double"
@@ -67,22 +62,6 @@ def finite_points(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
                   .where(is_finite("x") & is_finite("y")))
 
 
-def extreme_polygon(pts: DataFrame, directions: int = DIRECTIONS) -> list[tuple[float, float]]:
-    """CCW polygon spanned by the extreme points in ``directions`` directions."""
-    aggs = []
-    for k in range(directions):
-        t = 2 * math.pi * k / directions
-        proj = F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t))
-        aggs.append(F.max(F.struct(proj.alias("p"), F.col("x"), F.col("y"))).alias(f"d{k}"))
-    row = pts.agg(*aggs).first()
-    verts = [(r["x"], r["y"]) for r in row if r is not None]
-    if not verts:
-        return []
-    arr = np.asarray(verts, dtype=float)
-    hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
-    return list(zip(hx.tolist(), hy.tolist()))
-
-
 def drop_inside(pts: DataFrame, poly: list[tuple[float, float]]) -> DataFrame:
     """Remove points strictly inside the CCW polygon (with a rounding margin)."""
     if len(poly) < 3:
@@ -103,38 +82,31 @@ def _row_extremes(pts: DataFrame, key: str, other: str) -> DataFrame:
     return g.select(F.col(key), F.explode(ends).alias(other)).select("x", "y")
 
 
-def hull_candidates(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Points that may be strict hull vertices (a superset), as ``x, y``."""
-    pts = finite_points(points, x, y)
-    poly = extreme_polygon(pts)
-    cand = drop_inside(pts, poly)
-    cand = _row_extremes(cand, "y", "x")
-    cand = _row_extremes(cand, "x", "y")
-    return cand
+def _uniform_directions(n: int) -> list[tuple[float, float]]:
+    return [(math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
 
 
-def _merged(cand: DataFrame) -> DataFrame:
-    """Partial hulls per partition, merged in rounds down to one bucket."""
-    parts = cand.rdd.getNumPartitions()
-    partial = cand.mapInPandas(K.partial_hull_batches, "x double, y double")
-    cur = partial.withColumn("_b", F.floor(F.spark_partition_id() / F.lit(FANIN)).cast("long"))
-    nb = max(1, math.ceil(parts / FANIN))
-    merge = K.make_merge_hull(FANIN)
-    while nb > 1:
-        cur = cur.groupBy("_b").applyInPandas(merge, "_b long, x double, y double")
-        nb = math.ceil(nb / FANIN)
-    return cur
-
-
-def _projections(directions: int):
+def _stretched_directions(a, b, width: float, n: int) -> list[tuple[float, float]]:
+    """``n`` directions spread evenly for a shape of length ``|b - a|`` along
+    ``a -> b`` and of ``width`` across (counter-clockwise from ``a -> b``)."""
+    ux, uy = b[0] - a[0], b[1] - a[1]
+    length = math.hypot(ux, uy)
+    ux, uy = ux / length, uy / length
     out = []
-    for k in range(directions):
-        t = 2 * math.pi * k / directions
-        out.append(F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t)))
+    for k in range(n):
+        t = 2 * math.pi * k / n
+        along, across = math.cos(t) * width / length, math.sin(t)
+        scale = math.hypot(along, across)
+        along, across = along / scale, across / scale
+        out.append((ux * along - uy * across, uy * along + ux * across))
     return out
 
 
-def _extreme_maxima(pts: DataFrame, directions: int):
+def _projections(directions: list[tuple[float, float]]):
+    return [F.col("x") * F.lit(dx) + F.col("y") * F.lit(dy) for dx, dy in directions]
+
+
+def _extreme_maxima(pts: DataFrame, directions: list[tuple[float, float]]):
     """Pass 1: the max of each projection, the smallest x and the number of
     points (plain double aggregates, whole-stage codegen)."""
     projs = _projections(directions)
@@ -142,10 +114,10 @@ def _extreme_maxima(pts: DataFrame, directions: int):
                    F.min("x").alias("lx"), F.count(F.lit(1)).alias("n")).first()
 
 
-def _extremes(pts: DataFrame, directions: int, row):
-    """Pass 2: the extreme point per direction ``2*pi*k/directions`` (ties
-    to the largest ``(x, y)``) and the smallest ``(x, y)`` point, which is
-    always a hull vertex.
+def _extremes(pts: DataFrame, directions: list[tuple[float, float]], row):
+    """Pass 2: the extreme point per direction (ties to the largest
+    ``(x, y)``) and the smallest ``(x, y)`` point, which is always a hull
+    vertex.
 
     A filter keeps only points reaching a maximum of pass 1 (the same
     expression, so equality is exact) and a small aggregate picks them.  A
@@ -161,11 +133,17 @@ def _extremes(pts: DataFrame, directions: int, row):
     aggs = [F.max(F.when(c, F.struct("x", "y"))).alias(f"d{k}") for k, c in enumerate(at_max)]
     aggs.append(F.min(F.when(at_low, F.struct("x", "y"))).alias("low"))
     r2 = pts.where(hit).agg(*aggs).first()
-    ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:directions]]
+    ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:len(directions)]]
     low = r2["low"]
     return ext, (float(low["x"]), float(low["y"]))
 
 
+def _polygon(points) -> list[tuple[float, float]]:
+    arr = np.asarray(sorted(set(points)), dtype=float).reshape(-1, 2)
+    hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
+    return list(zip(hx.tolist(), hy.tolist()))
+
+
 def _cap_index(poly: list[tuple[float, float]]):
     """Column ``struct(d, i)``: the edge ``i`` of the CCW polygon a point lies
     farthest beyond, and that distance ``d``."""
@@ -196,34 +174,44 @@ class CapHull:
         self.pts = pts
         self.cap_limit = cap_limit
         self.poly: list[tuple[float, float]] = []
-        row = _extreme_maxima(pts, CAP_DIRECTIONS)
-        self.n_points = int(row["n"])
-        # at most cap_limit points: one group holding all of them is within
-        # the same bound the caps enforce, so no split is needed
-        self.small = self.n_points <= cap_limit
-        self.ok = False
-        if self.small:
+        self.line: list[tuple[float, float]] = []  # the hull if it has at most two points
+        self.directions = _uniform_directions(CAP_DIRECTIONS)
+        row = _extreme_maxima(pts, self.directions)
+        if not row["n"]:
+            return
+        self.ext, self.low = _extremes(pts, self.directions, row)
+        self.poly = _polygon(p for p in self.ext if p is not None)
+        if len(self.poly) == 2:
+            self._stretch(row)
+        if len(self.poly) < 3:
+            ends = pts.agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b")).first()
+            self.line = sorted({(float(e["x"]), float(e["y"])) for e in ends})
+            return
+        self._build()
+
+    def _stretch(self, row) -> None:
+        """Take the directions anew for a thin shape between two extremes."""
+        a, b = self.poly
+        across = (F.lit(b[0] - a[0]) * (F.col("y") - F.lit(a[1])) - F.lit(b[1] - a[1]) * (F.col("x") - F.lit(a[0])))
+        ends = self.pts.agg(F.min(across).alias("lo"), F.max(across).alias("hi")).first()
+        width = (ends["hi"] - ends["lo"]) / math.hypot(b[0] - a[0], b[1] - a[1])
+        if not width > 0:
             return
-        self.ext, self.low = _extremes(pts, CAP_DIRECTIONS, row)
-        found = sorted({p for p in self.ext if p is not None})
-        if len(found) >= 3:
-            arr = np.asarray(found, dtype=float)
-            hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
-            self.poly = list(zip(hx.tolist(), hy.tolist()))
-        self.ok = len(self.poly) >= 3
-        if self.ok:
-            self._build()
+        self.directions = _stretched_directions(a, b, width, CAP_DIRECTIONS)
+        self.ext, self.low = _extremes(self.pts, self.directions, _extreme_maxima(self.pts, self.directions))
+        self.poly = _polygon(p for p in self.ext if p is not None)
 
     def _direction_ranges(self) -> list[tuple[float, float]]:
         """Per polygon vertex, the first and last sampled direction (radians,
         counter-clockwise) in which it is the extreme point."""
-        d = CAP_DIRECTIONS
+        d = len(self.directions)
+        angles = [math.atan2(dy, dx) for dx, dy in self.directions]
         out = []
         for v in self.poly:
             own = {k for k in range(d) if self.ext[k] == v}
             first = next(k for k in own if (k - 1) % d not in own) if len(own) < d else 0
             last = next(k for k in own if (k + 1) % d not in own) if len(own) < d else d - 1
-            out.append((2 * math.pi * first / d, 2 * math.pi * last / d))
+            out.append((angles[first], angles[first] + (angles[last] - angles[first]) % (2 * math.pi)))
         return out
 
     def _build(self) -> None:
@@ -233,6 +221,7 @@ class CapHull:
         # polygon (collinear) are never strict vertices
         cur = (cand.select(_cap_index(poly).alias("c"), "x", "y").where(F.col("c.d") > 0)
                    .select(F.col("c.i").alias("cap"), "x", "y"))
+        cur = materialize(cur)  # read by every split round and by the chains
         cur, poly, rng = self._split_big_caps(cur, poly, self._direction_ranges())
         self.poly, self.rng = poly, rng
         m = len(poly)
@@ -290,7 +279,7 @@ class CapHull:
         stay.  Two aggregates per round, only over the oversized caps.
         """
         sub = SUB_DIRECTIONS
-        for _ in range(MAX_REFINE_ROUNDS):
+        while True:  # every round cuts each big cap at a new hull vertex
             big = sorted(int(r["cap"]) for r in cur.groupBy("cap").count()
                          .where(F.col("count") > self.cap_limit).collect())
             if not big:
@@ -301,8 +290,12 @@ class CapHull:
                 (ax, ay), (bx, by) = poly[i], poly[(i + 1) % m]
                 start = rng[i][1]
                 span = (rng[(i + 1) % m][0] - start) % (2 * math.pi)
-                normal = math.atan2(-(bx - ax), by - ay)
-                angles[i] = [start + span * j / (sub + 1) for j in range(1, sub + 1)] + [normal]
+                # every angle is start + an offset in [0, span], so that the
+                # smallest and largest of a vertex bound its directions
+                normal = (math.atan2(-(bx - ax), by - ay) - start) % (2 * math.pi)
+                if normal > span:  # rounding at an end of the range
+                    normal = span if normal - span < 2 * math.pi - normal else 0.0
+                angles[i] = [start + span * j / (sub + 1) for j in range(1, sub + 1)] + [start + normal]
             cap_i = F.col("cap").cast("int") + 1
 
             def per_cap(values):  # literal array indexed by cap id
@@ -427,12 +420,10 @@ def convex_hull(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int =
     gives one row; no points give no rows.
     """
     caps = CapHull(points, x, y, cap_limit)
-    if caps.small:
-        return caps.pts.groupBy(F.lit(0).alias("_b")).applyInPandas(K.final_hull, HULL_SCHEMA)
-    if caps.ok:
+    if caps.poly and not caps.line:
         return caps.hull()
-    # fewer than three extreme points: all points lie on one line (tiny hull)
-    return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_hull, HULL_SCHEMA)
+    rows = [(i, *p) for i, p in enumerate(caps.line)]
+    return points.sparkSession.createDataFrame(rows, HULL_SCHEMA)
 
 
 def farthest_pair(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int = CAP_LIMIT) -> DataFrame:
@@ -444,8 +435,11 @@ def farthest_pair(points: DataFrame, x: str = "x", y: str = "y", cap_limit: int
     only antipodal chains are paired (rotating calipers inside each pair).
     """
     caps = CapHull(points, x, y, cap_limit)
-    if caps.small:
-        return caps.pts.groupBy(F.lit(0).alias("_b")).applyInPandas(K.final_farthest, PAIR_SCHEMA)
-    if caps.ok:
+    if caps.poly and not caps.line:
         return caps.farthest().select(*PAIR_SCHEMA_COLS)
-    return _merged(hull_candidates(points, x, y)).groupBy("_b").applyInPandas(K.final_farthest, PAIR_SCHEMA)
+    rows = []
+    if caps.line:
+        (x1, y1), (x2, y2) = caps.line[0], caps.line[-1]
+        d2 = (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)
+        rows = [(x1, y1, x2, y2, d2, math.sqrt(d2))]
+    return points.sparkSession.createDataFrame(rows, PAIR_SCHEMA)

@@ -63,6 +63,14 @@ def q_farthest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return farthest_pair(fx.f3_points(spark, sf_dir))
 
 
+def q_convex_hull_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convex_hull(fx.f5_points(spark, sf_dir))
+
+
+def q_farthest_pair_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return farthest_pair(fx.f5_points(spark, sf_dir))
+
+
 def q_closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closest_pair(fx.f3_points(spark, sf_dir))
 
@@ -170,6 +178,13 @@ F4_SQL = """
   SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y
   FROM lineitem"""
 
+# Strict hull vertices are ends of their row, so only the ends of each y stay:
+# the brute-force SQL below then runs over at most two points per y.
+F5_SQL = """
+  SELECT unnest([min(x), max(x)]) AS x, y FROM (
+    SELECT CAST(round(l_extendedprice * 100) AS DOUBLE) AS x, CAST(round(l_quantity) AS DOUBLE) AS y
+    FROM lineitem) s GROUP BY y"""
+
 STRICT_SQL = """r.xmin < p.x1 AND p.x1 < r.xmax AND r.xmin < p.x2 AND p.x2 < r.xmax
    AND r.ymin < p.y1 AND p.y1 < r.ymax AND r.ymin < p.y2 AND p.y2 < r.ymax"""
 
@@ -286,6 +301,8 @@ ORACLE_SQL: dict[str, str] = {
   GROUP BY p.id, p.x1, p.y1, p.x2, p.y2""",
     "convex_hull": hull_sql(F3_SQL),
     "farthest_pair": pair_sql(F3_SQL, farthest=True),
+    "convex_hull_lineitem": hull_sql(F5_SQL),
+    "farthest_pair_lineitem": pair_sql(F5_SQL, farthest=True),
     "closest_pair": pair_sql(F3_SQL, farthest=False),
     "closest_pair_lineitem": banded_closest_sql(F4_SQL),
     "union_vertices": union_sql(F1_SQL),
@@ -306,6 +323,8 @@ QUERIES: dict[str, QueryFn] = {
     "spatial_join_lines": q_spatial_join_lines,
     "convex_hull": q_convex_hull,
     "farthest_pair": q_farthest_pair,
+    "convex_hull_lineitem": q_convex_hull_lineitem,
+    "farthest_pair_lineitem": q_farthest_pair_lineitem,
     "closest_pair": q_closest_pair,
     "closest_pair_lineitem": q_closest_pair_lineitem,
     "union_vertices": q_union_vertices,

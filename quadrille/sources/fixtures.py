@@ -10,6 +10,7 @@ Operand order is fixed so that Spark and other engines round alike;
                            x2 = x1+l_discount/10, y2 = y1+l_tax/10
 * F3 points  (embeddings): id, x, y = vec_id, e0, e1
 * F4 points  (lineitem):   x, y = l_extendedprice, l_quantity (with duplicates)
+* F5 points  (lineitem):   F4 in cents and units, both exact integers
 
 Only the columns used are read, so the Parquet scan prunes the rest.
 """
@@ -61,3 +62,10 @@ def f4_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_extendedprice").cast("double").alias("x"),
                      F.col("l_quantity").cast("double").alias("y"))
+
+
+def f5_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 scaled to integers, so that areas and squared distances are exact."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.round(F.col("l_extendedprice") * F.lit(100)).cast("double").alias("x"),
+                     F.round(F.col("l_quantity")).cast("double").alias("y"))

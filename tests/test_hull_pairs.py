@@ -72,7 +72,7 @@ def test_random_vs_brute(spark, seed, kind, n, parts):
     rng = random.Random(seed)
     pts = _rand_points(rng, n, kind)
     df = spark.createDataFrame(pts, PTS).repartition(parts)
-    for limit in (10 ** 6, 8):  # one bounded group; split caps
+    for limit in (10 ** 6, 8):  # whole caps; split caps
         assert hull_rows(convex_hull(df, cap_limit=limit)) == brute.hull_vertices(pts)
         assert pair_row(farthest_pair(df, cap_limit=limit)) == brute.farthest(pts)
     assert pair_row(closest_pair(df)) == brute.closest(pts)
@@ -86,6 +86,11 @@ def test_closest_pair_with_heavy_copies(spark):
     assert pair_row(closest_pair(df)) == brute.closest(pts)
 
 
+def clockwise(hx, hy):
+    ccw = list(zip(hx.tolist(), hy.tolist()))
+    return ccw[:1] + ccw[1:][::-1]
+
+
 @pytest.mark.parametrize("kind,cap_limit", [("circle", 200_000), ("parabola", 200_000),
                                             ("square_edges", 200_000), ("circle", 40),
                                             ("parabola", 25), ("diagonal", 30)])
@@ -109,15 +114,11 @@ def test_large_hulls_split_into_caps(spark, kind, cap_limit):
     df = spark.createDataFrame(pts, PTS).repartition(8)
     arr = np.asarray(sorted(set(pts)), dtype=float)
     hx, hy = K.monotone_chain(arr[:, 0], arr[:, 1])
-    cx, cy = K.clockwise(hx, hy)
-    expected = list(zip(cx.tolist(), cy.tolist()))
+    expected = clockwise(hx, hy)
     caps = CapHull(df, "x", "y", cap_limit)
-    if caps.small:  # the whole input fits one bounded group
-        assert caps.n_points <= cap_limit
-    else:
-        assert caps.ok and len(caps.poly) >= 3
-        sizes = [r["count"] for r in caps.grouped.groupBy("cap").count().collect()]
-        assert max(sizes) <= cap_limit + 1  # points of one group, plus its end vertex
+    assert len(caps.poly) >= 3
+    sizes = [r["count"] for r in caps.grouped.groupBy("cap").count().collect()]
+    assert max(sizes) <= cap_limit + 1  # points of one group, plus its end vertex
     assert hull_rows(convex_hull(df, cap_limit=cap_limit)) == expected
     hull = expected
     best = None
@@ -129,6 +130,93 @@ def test_large_hulls_split_into_caps(spark, kind, cap_limit):
     assert pair_row(farthest_pair(df, cap_limit=cap_limit)) == (best[1][0], best[1][1], best[2][0], best[2][1], -best[0])
 
 
+def expected_hull(pts):
+    import numpy as np
+    from quadrille.functions import hull_kernels as K
+    arr = np.asarray(sorted(set(pts)), dtype=float)
+    return clockwise(*K.monotone_chain(arr[:, 0], arr[:, 1]))
+
+
+def expected_farthest(hull):
+    best = min((-brute.d2(min(a, b), max(a, b)), min(a, b), max(a, b)) for i, a in enumerate(hull) for b in hull[i:])
+    return (*best[1], *best[2], -best[0])
+
+
+def ellipse(n, long, short, degrees):
+    t0 = math.radians(degrees)
+    out = []
+    for k in range(n):
+        t = 2 * math.pi * k / n
+        x, y = long * math.cos(t), short * math.sin(t)
+        out.append((x * math.cos(t0) - y * math.sin(t0), x * math.sin(t0) + y * math.cos(t0)))
+    return out
+
+
+@pytest.mark.parametrize("long,short,degrees", [(1000, 1, 50), (1000, 1, 0), (1e6, 1e-2, 33)])
+def test_thin_shapes_take_the_cap_plan(spark, long, short, degrees):
+    from quadrille.operators.hull import CapHull
+    pts = ellipse(3000, long, short, degrees) + [(0.0, 0.0)]
+    df = spark.createDataFrame(pts, PTS).repartition(6)
+    caps = CapHull(df, "x", "y", 100)
+    assert len(caps.poly) >= 3
+    assert max(r["count"] for r in caps.grouped.groupBy("cap").count().collect()) <= 101
+    assert hull_rows(convex_hull(df, cap_limit=100)) == expected_hull(pts)
+    assert pair_row(farthest_pair(df, cap_limit=100)) == expected_farthest(expected_hull(pts))
+
+
+def test_points_on_one_line(spark):
+    pts = [(float(i), float(2 * i + 1)) for i in range(-50, 300)] * 2
+    df = spark.createDataFrame(pts, PTS).repartition(5)
+    assert hull_rows(convex_hull(df)) == [(-50.0, -99.0), (299.0, 599.0)]
+    assert pair_row(farthest_pair(df))[:4] == (-50.0, -99.0, 299.0, 599.0)
+
+
+@pytest.mark.parametrize("kind", ["circle", "parabola", "uneven"])
+def test_every_direction_lies_in_a_chain_range(spark, kind):
+    from quadrille.operators.hull import CapHull
+    for seed in range(3):
+        rng = random.Random(seed)
+        if kind == "circle":
+            pts = [(math.cos(t), math.sin(t)) for t in (rng.uniform(0, 2 * math.pi) for _ in range(900))]
+        elif kind == "parabola":
+            pts = [(float(v), float(v * v)) for v in rng.sample(range(-5000, 5000), 900)] + [(0.0, 3e7)]
+        else:  # most points in a narrow arc
+            pts = [(math.cos(t), math.sin(t)) for t in (2 * math.pi * rng.random() ** 6 for _ in range(900))]
+        caps = CapHull(spark.createDataFrame(pts, PTS).repartition(4), "x", "y", 12)
+        m, turn = len(caps.poly), 2 * math.pi
+        spans = [(caps.rng[i][0], (caps.rng[(i + 1) % m][1] - caps.rng[i][0]) % turn) for i in range(m)]
+        assert all(length < math.pi for _, length in spans)
+        for k in range(3600):
+            t = turn * k / 3600
+            assert any((t - start) % turn <= length + 1e-9 or (t - start) % turn >= turn - 1e-9 for start, length in spans), (seed, t)
+        assert pair_row(caps.farthest()) == expected_farthest(expected_hull(pts))
+
+
+def test_farthest_pair_on_many_seeds(spark):
+    from pyspark.sql import functions as F
+    for seed in range(50):
+        rng = random.Random(seed)
+        n, wide = rng.randint(3, 60), rng.choice([1, 3, 50, 1000])
+        pts = [(float(rng.randint(-wide, wide)), float(rng.randint(-wide, wide))) for _ in range(n)]
+        df = spark.createDataFrame(pts, PTS).coalesce(2)
+        assert pair_row(farthest_pair(df, cap_limit=rng.choice([3, 10 ** 6]))) == brute.farthest(pts), seed
+
+
+def test_closest_pair_on_a_lattice_with_far_points(spark):
+    """Lattice points share no small cell: the bound must still come down."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from quadrille.operators import closest_pair as CP
+    from quadrille.plans.session import materialize_with_stats
+    pts = [(float(i), float(j)) for i in range(200) for j in range(200)] + [(1e4, 1e4), (-1e4, 0.0)]
+    df = spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y"])).repartition(8)
+    p, st = materialize_with_stats(df, F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+                                   F.min("y").alias("y0"), F.max("y").alias("y1"))
+    g = CP.distance_bound(p, st)
+    assert CP._cells(p, g).groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] <= CP.K_MAX
+    assert pair_row(closest_pair(df)) == (0.0, 0.0, 0.0, 1.0, 1.0)
+
+
 def test_closest_pair_hot_cluster_vs_sorted_sweep(spark):
     # a third of the points in one tight cluster: the bound rounds must
     # shrink the grid there; checked against an exact sorted sweep
