@@ -88,14 +88,6 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by_: Column) -> Column:
     return dx * dx + dy * dy
 
 
-def cross(ox: Column | float, oy: Column | float, ax: Column | float,
-          ay: Column | float, bx: Column | float, by_: Column | float) -> Column:
-    """Orientation of ``O -> A -> B``: > 0 counter-clockwise."""
-    def c(v):
-        return v if isinstance(v, Column) else F.lit(float(v))
-    return (c(ax) - c(ox)) * (c(by_) - c(oy)) - (c(ay) - c(oy)) * (c(bx) - c(ox))
-
-
 def point_lt(ax: Column, ay: Column, bx: Column, by_: Column) -> Column:
     """Lexicographic ``(ax, ay) < (bx, by)``."""
     return (ax < bx) | ((ax == bx) & (ay < by_))

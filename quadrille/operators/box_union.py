@@ -56,12 +56,10 @@ BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 # as a box, 3,000 mutually overlapping boxes gave 9M crossing candidates
 # (56 vertices); at 1/8 the pruning leaves 4% of the entries.
 CELL_FRACTION = 8.0
-# On the dense grid a box may span up to 64 cells per axis at its level, so
+# A box may span up to 64 cells per axis at its level, so
 # boxes up to ~8 mean sides wide stay on the base level, where their
 # interiors can prune (lifted entries on coarser levels are not pruned).
-DENSE_SPAN = 64
-# Average partners per box entry in a cell above which the grid is "dense".
-DENSE_PARTNERS = 8
+SPAN = 64
 
 
 def prepare_boxes(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2") -> DataFrame:
@@ -160,36 +158,17 @@ def _corners(b: DataFrame) -> DataFrame:
     return b.select(F.explode(pts).alias("p")).select("p.x", "p.y")
 
 
-def _dense(lv: DataFrame) -> bool:
-    """True when boxes meet many others per cell (sum of squared cell
-    occupancies well above the number of entries): the pairwise crossing
-    step would then dominate, and the finer, pruned grid pays off."""
-    occ = G.explode_box_cells(lv).groupBy("_level", "_cx", "_cy").count()
-    row = occ.agg(F.sum(F.col("count") * F.col("count")).alias("pairs"),
-                  F.sum("count").alias("entries")).first()
-    return bool(row["entries"]) and row["pairs"] > DENSE_PARTNERS * row["entries"]
-
-
 def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
-                   cell: float | None = None, broadcast_limit: int | None = None,
-                   prune: bool | None = None) -> DataFrame:
+                   cell: float | None = None, broadcast_limit: int | None = None) -> DataFrame:
     """Distinct vertices ``(x, y)`` of the union of the boxes.
 
-    ``prune=None`` decides from the data (one aggregate of cell occupancy):
-    sparse boxes use cells about one mean side wide and no pruning; dense,
-    overlapping boxes use cells of 1/8 mean side and drop cells strictly
-    inside a single box before the pairwise step.
+    Cells are about 1/8 of the mean box side wide; cells strictly inside a
+    single box are dropped before boxes meet pairwise.
     """
     b = materialize(prepare_boxes(boxes, x1, y1, x2, y2))
-    buckets = G.bucket_stats(b)
-    plan = G.plan_from_buckets(buckets, cell=cell)
+    plan = G.plan_from_buckets(G.bucket_stats(b), cell_fraction=CELL_FRACTION if cell is None else 1.0,
+                               cell=cell, span=SPAN)
     lv = G.with_box_level(b, plan.grid)
-    if prune is None:
-        prune = _dense(lv)
-    if prune:
-        plan = G.plan_from_buckets(buckets, cell_fraction=CELL_FRACTION if cell is None else 1.0,
-                                   cell=cell, span=DENSE_SPAN)
-        lv = G.with_box_level(b, plan.grid)
     grid, levels = plan.grid, plan.levels
     limit = _broadcast_limit(b.sparkSession, broadcast_limit)
     own_copies = plan.copies_bound
@@ -198,17 +177,16 @@ def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
     entries = _entries(lv, grid, levels)
     corners = _corners(b)
     own = G.explode_box_cells(lv)
-    if prune:
-        # Prune cells strictly inside one box before the pairwise step: this
-        # is where heavily overlapping boxes would otherwise meet pairwise.
-        interior = _interior_cells(lv)
-        small = own_copies * CELL_ROW_BYTES <= limit
-        entries = _drop_covered(entries, interior, levels, small)
-        own = _drop_covered(own, interior, levels, small)
+    # Prune cells strictly inside one box before the pairwise step: this is
+    # where heavily overlapping boxes would otherwise meet pairwise.  Many
+    # boxes cover the same cell, and it is read several times.
+    interior = materialize(_interior_cells(lv).distinct())
+    small = own_copies * CELL_ROW_BYTES <= limit
+    entries = _drop_covered(entries, interior, levels, small)
+    own = _drop_covered(own, interior, levels, small)
     cand = corners.unionByName(_crossings(entries, grid, entry_bound * CELL_ROW_BYTES <= limit))
-    if prune:
-        cand = _drop_covered(G.with_point_cells(cand, grid, levels[:1], "x", "y"),
-                             interior, levels, small).select("x", "y")
+    cand = _drop_covered(G.with_point_cells(cand, grid, levels[:1], "x", "y"),
+                         interior, levels, small).select("x", "y")
     cand = cand.distinct()
     pc = G.with_point_cells(cand, grid, levels, "x", "y")
     own = own.select(*BOUNDS, F.col("_level").alias("_bl"),

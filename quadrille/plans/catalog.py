@@ -114,14 +114,11 @@ def q_ingest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(spark, f"{base}/csv", f"{base}/table", "points")
 
 
-STREAM_FILES = 8
-
-
 def q_stream_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window query over the box layer arriving as text files (one file per
     micro-batch), written to a Parquet sink and read back."""
     base = shared_output_dir(spark, "stream_range_query")
-    write_result(box_csv_lines(fx.f1_boxes(spark, sf_dir)).repartition(STREAM_FILES), f"{base}/in", "text")
+    write_result(box_csv_lines(fx.f1_boxes(spark, sf_dir)), f"{base}/in", "text")
     stream = read_box_stream(spark, f"{base}/in", max_files_per_trigger=1)
     q = (window_stream(stream, FLAGSHIP_WINDOW).writeStream.format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
@@ -134,7 +131,7 @@ def q_stream_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped containment join of the corner-pair layer arriving as text
     files against the static box layer, one output folder per micro-batch."""
     base = shared_output_dir(spark, "stream_join_lines")
-    write_result(box_csv_lines(fx.f2_pairs(spark, sf_dir)).repartition(STREAM_FILES), f"{base}/in", "text")
+    write_result(box_csv_lines(fx.f2_pairs(spark, sf_dir)), f"{base}/in", "text")
     stream = read_box_stream(spark, f"{base}/in", max_files_per_trigger=2)
     q = start_join_lines(stream, fx.f1_boxes(spark, sf_dir), f"{base}/out", f"{base}/ckpt",
                          available_now=True)

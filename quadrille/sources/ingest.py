@@ -18,16 +18,6 @@ from quadrille.sources.readers import read_boxes, read_points
 
 KINDS = {"points": ("x", "y"), "boxes": ("x1", "y1")}
 
-# The reference's six layers and the kind of geometry each holds.
-LAYERS = {
-    "ConvexHullTestData": "points",
-    "FarthestPairandClosestPairTestData": "points",
-    "JoinQueryPoint": "boxes",
-    "JoinQueryRectangle": "boxes",
-    "PolygonUnionTestData": "boxes",
-    "RangeQueryTestData": "boxes",
-}
-
 
 def ingest(spark: SparkSession, src: str | list[str], table_path: str, kind: str,
            on_bad: str = "fail", partitions: int | None = None, sort: bool = True) -> DataFrame:
@@ -49,11 +39,12 @@ def ingest(spark: SparkSession, src: str | list[str], table_path: str, kind: str
     return spark.read.parquet(table_path)
 
 
-def ingest_layers(spark: SparkSession, src_dir: str, dst_dir: str, on_bad: str = "fail",
-                  layers: dict[str, str] | None = None) -> dict[str, str]:
-    """Ingest ``<src_dir>/<name>.csv`` for each layer to ``<dst_dir>/<name>``."""
+def ingest_layers(spark: SparkSession, src_dir: str, dst_dir: str, layers: dict[str, str],
+                  on_bad: str = "fail") -> dict[str, str]:
+    """Ingest ``<src_dir>/<name>.csv`` for each layer to ``<dst_dir>/<name>``;
+    ``layers`` maps names to kinds."""
     out = {}
-    for name, kind in (layers or LAYERS).items():
+    for name, kind in layers.items():
         path = f"{dst_dir.rstrip('/')}/{name}"
         ingest(spark, f"{src_dir.rstrip('/')}/{name}.csv", path, kind, on_bad)
         out[name] = path

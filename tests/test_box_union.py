@@ -66,14 +66,13 @@ def test_random_vs_brute(spark, seed, n, wide, cell, limit):
     try:
         expected = brute.union_vertices(boxes)
         assert verts(spark, boxes, cell=cell, broadcast_limit=limit) == expected
-        assert verts(spark, boxes, cell=cell, broadcast_limit=limit, prune=seed % 2 == 0) == expected
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("seed,cell,prune", [(7, None, None), (8, 0.9, True), (9, 2.5, True),
-                                             (10, None, False), (11, 1.3, False)])
-def test_heavy_overlap_vs_brute(spark, seed, cell, prune):
+@pytest.mark.parametrize("seed,cell", [(7, None), (8, 0.9), (9, 2.5),
+                                       (10, None), (11, 1.3)])
+def test_heavy_overlap_vs_brute(spark, seed, cell):
     rng = random.Random(seed)
     boxes = []
     for _ in range(70):  # big boxes overlapping one another over a shared core
@@ -82,4 +81,4 @@ def test_heavy_overlap_vs_brute(spark, seed, cell, prune):
     for _ in range(60):  # small boxes, many nested inside the big ones
         x0, y0 = rng.randint(0, 60), rng.randint(0, 60)
         boxes.append((float(x0), float(y0), float(x0 + rng.randint(1, 3)), float(y0 + rng.randint(1, 3))))
-    assert verts(spark, boxes, cell=cell, prune=prune) == brute.union_vertices(boxes)
+    assert verts(spark, boxes, cell=cell) == brute.union_vertices(boxes)

@@ -27,7 +27,7 @@ def test_range_and_join_jobs(spark, tmp_out):
 
 def test_point_jobs_single_file(spark, tmp_out):
     pts = _write(tmp_out, "p.csv", ["0,a,0,0", "0,b,2,0", "0,c,2,2", "0,d,0,2", "0,e,1,1", "0,f,0.5,0.5"])
-    out = jobs.convex_hull_job(spark, pts, f"{tmp_out}/hull")
+    out = jobs.convex_hull_job(spark, pts, f"{tmp_out}/hull", single_file=True)
     assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 1
     assert _read(spark, out) == ["0.0,  0.0", "0.0,  2.0", "2.0,  2.0", "2.0,  0.0"]
     assert _read(spark, jobs.farthest_pair_job(spark, pts, f"{tmp_out}/far")) == ["0.0,0.0", "2.0,2.0"]

@@ -18,11 +18,11 @@ SETTINGS = settings(max_examples=12, deadline=None,
 
 
 @SETTINGS
-@given(boxes=st.lists(box, min_size=0, max_size=14), prune=st.booleans(),
+@given(boxes=st.lists(box, min_size=0, max_size=14),
        cell=st.sampled_from([None, 0.7, 2.0, 5.0]))
-def test_union_vertices_property(spark, boxes, prune, cell):
+def test_union_vertices_property(spark, boxes, cell):
     df = spark.createDataFrame(boxes, "x1 double, y1 double, x2 double, y2 double")
-    got = sorted((r.x, r.y) for r in union_vertices(df, cell=cell, prune=prune).collect())
+    got = sorted((r.x, r.y) for r in union_vertices(df, cell=cell).collect())
     assert got == brute.union_vertices(boxes)
 
 
