@@ -17,10 +17,8 @@ owns the range of ids under names of their own; a table of the files that
 finished tasks wrote is the commit, so files of lost tasks are never read.
 
 Null and empty texts give the end id alone.  Repeated rows are separate
-documents.  Very long texts are cut where no token can span (before white space
-that follows other characters) and encoded piece by piece; pieces repeat, so
-each distinct one is encoded once and remembered.  Extra columns are ignored.
-An empty table gives no files and an empty result.
+documents.  Extra columns are ignored.  An empty table gives no files and an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +38,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import task_filesystem, text_or_empty, write_table
+from quadrille.llm.textkit import slices, words_of
 from quadrille.plans.session import shared_output_dir
 
 SEQ_LEN = 2048
 BATCH = 64  # sequences of a record batch
-REMEMBERED = 400_000  # distinct pieces kept per task
+SLOTS = 1 << 21  # words a worker remembers at most
+MOST_IDS, MOST_OTHERS = 8_000_000, 50_000
+TEXT_BYTES = 1 << 20  # encoded at a time
+BLANKS = " \t\n\r"
+JOINED = 500  # pieces encoded as one text
 
-#: Pieces end where white space follows other characters.
-PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Other white space: there only plain neighbours are sure not to share a token.
-ODD_SPACE = re.compile(r"[^\S \t\n\r]")
-SURE_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Cuts of ``text`` that byte-level BPE pre-tokenisation never spans."""
-    if ODD_SPACE.search(text):
-        return SURE_CUT.split(text)
-    return PIECE.findall(text)
+#: White space beyond ASCII, in UTF-8: texts that hold it are encoded whole.
+FAR_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class Encoder:
-    """Encodes texts; each distinct piece goes through the tokenizer once."""
+    """Encodes batches of texts; what it has met before it looks up.
+
+    A text is cut before every white space that follows another character, where
+    no token of byte-level BPE can span.  Nearly all pieces are a space and a
+    word: a table of SLOTS entries, addressed by the word's hash, says where
+    their ids are in ``flat``.  A newer word takes over an entry; when ``flat``
+    is full the table starts anew, so memory is bounded.  Other pieces (after
+    line feeds or several spaces, at the start or the end) are kept by their bytes.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,38 +73,107 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.tags = np.zeros(SLOTS, np.uint64)
+        self.place, self.length = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
-        self.bounds = np.zeros(1 << 12, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        at = len(self.number)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        while at + len(pieces) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        ends = self.bounds[at] + np.cumsum([len(e) for e in encoded])
-        self.bounds[at + 1:at + 1 + len(pieces)] = ends
-        while ends[-1] > len(self.flat):
+        self.flat[0], self.used = self.end, 1
+        self.others: dict[bytes, tuple[int, int]] = {}
+
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece.
+
+        Pieces that start with white space and end in another character are no
+        different next to each other, so they are encoded as one text.
+        """
+        found: dict[str, list[int]] = {}
+        plain = [p for p in pieces if p[0] in BLANKS and not p[-1].isspace()]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at:at + JOINED]
+            whole = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            place = np.array([o[0] for o in whole.offsets], np.int64)
+            ids, last = whole.ids, 0
+            for p, cut in zip(some, np.searchsorted(place, np.cumsum([len(p) for p in some])).tolist()):
+                found[p], last = ids[last:cut], cut
+        return [found[p] if p in found else self.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces]
+
+    def keep(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces into ``flat``: their places and lengths."""
+        each = self.ids_of([p.decode("utf-8") for p in pieces])
+        lengths = np.array([len(e) for e in each], np.int64)
+        need = self.used + int(lengths.sum())
+        while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.bounds[at]:ends[-1]] = [i for e in encoded for i in e]
-        for j, piece in enumerate(pieces):
-            self.number[piece] = at + j
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the text with the end id."""
-        pieces = pieces_of(text)
-        if len(self.number) > REMEMBERED:
+        self.flat[self.used:need] = np.fromiter(chain.from_iterable(each), self.dtype, need - self.used)
+        places = self.used + np.cumsum(lengths) - lengths
+        self.used = need
+        return places, lengths
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, each with the end id behind it, and how many each has."""
+        if self.used > MOST_IDS:
             self.forget()
-        number = self.number
-        new = [p for p in dict.fromkeys(pieces) if p not in number]
-        if new:
-            self.learn(new)
-        which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        starts, lengths = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
-        ends = np.cumsum(lengths)
-        out = np.full((int(ends[-1]) if len(ends) else 0) + 1, self.end, self.dtype)
-        out[:-1] = self.flat[np.arange(len(out) - 1) + np.repeat(starts - ends + lengths, lengths)]
-        return out
+        words = words_of(texts, lower=False)
+        data, bounds = words.data, words.row_bytes
+        raw = data.tobytes()
+        rows = np.repeat(np.arange(len(texts)), np.diff(words.row_first))
+        far = np.zeros(len(texts), bool)
+        far[np.searchsorted(bounds, [m.start() for m in FAR_SPACE.finditer(raw)], side="right") - 1] = True
+        use = ~far[rows]
+        starts, ends, hashes, rows = words.starts[use], words.ends[use], words.hashes[use], rows[use]
+
+        # the bytes from the last word on belong to a piece
+        begins = bounds[rows].copy()
+        follows = rows[1:] == rows[:-1]
+        begins[1:][follows] = ends[:-1][follows]
+        plain = np.append(False, follows)[:len(rows)] & (starts - begins == 1)
+        plain[plain] = data[begins[plain]] == 32
+
+        place, length = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        met = plain & (self.tags[slot] == hashes)
+        place[met], length[met] = self.place[slot[met]], self.length[slot[met]]
+        new = np.flatnonzero(plain & ~met)
+        if len(new):
+            own, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[first]
+            p, n = self.keep([raw[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist())])
+            place[new], length[new] = p[which], n[which]
+            self.tags[slot[at]], self.place[slot[at]], self.length[slot[at]] = own, p, n
+
+        # other pieces: odd white space, text behind the last word, whole texts
+        odd = np.flatnonzero(~plain)
+        last = bounds[:-1].copy()
+        last[rows] = ends
+        tails = np.flatnonzero(last < bounds[1:])
+        spans = [raw[a:b] for a, b in zip(begins[odd].tolist(), ends[odd].tolist())] + [raw[a:b] for a, b in zip(last[tails].tolist(), bounds[1:][tails].tolist())]
+        missing = list(dict.fromkeys(x for x in spans if x not in self.others))
+        if missing:
+            p, n = self.keep(missing)
+            self.others.update(zip(missing, zip(p.tolist(), n.tolist())))
+        found = np.array([self.others[x] for x in spans], np.int64).reshape(-1, 2)
+        place[odd], length[odd] = found[:len(odd)].T
+        if len(self.others) > MOST_OTHERS:
+            self.others = {}
+
+        # each text: its words, its tail, the end id (at place 0)
+        behind = np.searchsorted(rows, tails, side="right")
+        place, length = np.insert(place, behind, found[len(odd):, 0]), np.insert(length, behind, found[len(odd):, 1])
+        rows = np.insert(rows, behind, tails)
+        behind = np.searchsorted(rows, np.arange(len(texts)), side="right")
+        place, length = np.insert(place, behind, 0), np.insert(length, behind, 1)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        counts = np.diff(upto[np.concatenate([[0], behind + np.arange(1, len(texts) + 1)])])
+        return self.flat[np.arange(upto[-1]) + np.repeat(place - upto[:-1], length)], counts
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The worker's encoder; later tasks of the same process know its pieces."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 class SequenceWriter:
@@ -165,20 +236,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
                 fs.create_dir(folder, recursive=True)
                 part = TaskContext.get().partitionId()
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}.arrow"
-                encoder = Encoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 sink = fs.open_output_stream(f"{folder}/{name}")
                 writer = SequenceWriter(sink, seq_len, encoder.dtype)
                 side = fs.open_output_stream(f"{folder}/{name}.docs")
                 places = pa.ipc.new_file(side, places_schema(id_type))
-            first, count = [], []
-            for text in batch.column("text"):
-                ids = encoder.encode(text.as_py())
-                first.append(writer.total)
-                count.append(len(ids))
+            for piece in slices(batch, most=TEXT_BYTES):
+                ids, counts = encoder.encode(piece.column("text"))
+                first = writer.total + np.cumsum(counts) - counts
                 writer.add(ids)
+                places.write_batch(pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id").cast(id_type), pa.array(first, pa.int64()), pa.array(counts, pa.int64())], schema=places_schema(id_type)))
+            n_docs += len(batch)
             n_docs += len(batch)
-            places.write_batch(pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(id_type), pa.array(first, pa.int64()), pa.array(count, pa.int64())], schema=places_schema(id_type)))
         if writer is not None:
             writer.close()
             places.close()
