@@ -10,6 +10,7 @@ Operand order is fixed so that Spark and other engines round alike;
                            x2 = x1+l_discount/10, y2 = y1+l_tax/10
 * F3 points  (embeddings): id, x, y = vec_id, e0, e1
 * F4 points  (lineitem):   x, y = l_extendedprice, l_quantity (with duplicates)
+* F6 boxes   (part):       sides from 0.0006 to 0.06 by p_size, spread over the area of F2
 * F5 points  (lineitem):   F4 in cents and units, both exact integers
 
 Only the columns used are read, so the Parquet scan prunes the rest.
@@ -69,3 +70,16 @@ def f5_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.round(F.col("l_extendedprice") * F.lit(100)).cast("double").alias("x"),
                      F.round(F.col("l_quantity")).cast("double").alias("y"))
+
+
+def f6_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of widely mixed sides (a factor of 100), overlapping a lot."""
+    part = table(spark, sf_dir, "part")
+    x1 = (F.col("p_partkey") * F.lit(7919) % F.lit(10007)) / F.lit(20014) - F.lit(0.26)
+    y1 = (F.col("p_partkey") * F.lit(104729) % F.lit(10009)) / F.lit(20018) - F.lit(0.25)
+    side = F.element_at(F.array(*[F.lit(v) for v in F6_SIDES]), (F.col("p_size") % F.lit(len(F6_SIDES)) + 1).cast("int"))
+    return part.select(F.col("p_partkey").cast("string").alias("id"), x1.alias("x1"), y1.alias("y1"),
+                       (x1 + side).alias("x2"), (y1 + side).alias("y2"))
+
+
+F6_SIDES = (0.0006, 0.002, 0.0006, 0.008, 0.0006, 0.02, 0.002, 0.06, 0.0006, 0.008)
