@@ -45,6 +45,7 @@ from quadrille.llm.textkit import gram_hashes, mix, slices, words_of
 WIDTH, PERCENT = 5, 75
 FLUSH = 500_000  # tokens a task gathers before it lets go of them
 TILE = 128  # sets of a tile
+SENT = 4_000_000  # rows of two numbers that may be broadcast; more are exchanged
 
 
 def least_overlap(n, percent: int):
@@ -149,6 +150,8 @@ def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tokens_of_survivors(docs: DataFrame, left: DataFrame, width: int) -> DataFrame:
     """(token, sig, n) of one document of each set in ``left`` (sig, rep)."""
     wanted = left.select("rep", F.col("sig").alias("want"))
+    if left.count() <= SENT:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "want")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
