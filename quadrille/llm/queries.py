@@ -100,7 +100,24 @@ JACCARD_SQL = r"""
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
   FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
+#: Lines, then their sentences, with offsets by running sums of lengths.
+UNITS_SQL = r"""
+  WITH l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM l0),
+  p0 AS (SELECT doc_id, ln, string_split(line, '. ') AS ps,
+           coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here FROM l),
+  p AS (SELECT doc_id, ln, here, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM p0),
+  u AS (SELECT doc_id, piece, CAST(here + coalesce(sum(length(piece) + 2) OVER (
+           PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
+  n AS (SELECT doc_id, start, start + length(piece) AS "end",
+           trim(regexp_replace(regexp_replace(lower(piece), '\.$', ''), '\s+', ' ', 'g')) AS norm FROM u),
+  w AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n),
+  k AS (SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_doc_id,
+           row_number() OVER (PARTITION BY doc_id, norm ORDER BY start) AS nth FROM w WHERE words >= 8)
+  SELECT doc_id, start, "end", words, keep_doc_id FROM k WHERE nth > 1 OR doc_id <> keep_doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": UNITS_SQL,
     "op5_jaccard_join": JACCARD_SQL,
     "op8_exact_dedup": f"""
   WITH n AS (SELECT doc_id, {NORMAL} AS t FROM documents),
