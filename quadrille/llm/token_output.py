@@ -37,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import task_filesystem, text_or_empty, write_table
+from quadrille.llm.common import task_filesystem, text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import slices, words_of
 from quadrille.plans.session import shared_output_dir
 
 SEQ_LEN = 2048
 BATCH = 64  # sequences of a record batch
-SLOTS = 1 << 21  # words a worker remembers at most
-MOST_IDS, MOST_OTHERS = 8_000_000, 50_000
+SLOTS = 1 << 20  # words a worker remembers at most
+MOST_IDS, MOST_OTHERS = 5_000_000, 50_000
 TEXT_BYTES = 1 << 20  # encoded at a time
 BLANKS = " \t\n\r"
 JOINED = 500  # pieces encoded as one text
@@ -257,7 +257,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [f"{out}/{name}"],
                                               "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return write_table(rows.mapInArrow(write, FILES), "token_files")
