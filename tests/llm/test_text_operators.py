@@ -88,9 +88,10 @@ def near_copies(prose, seed):
     return MESSY + [(100 + i, t) for i, t in enumerate(rows)] + [(5000, rows[0].upper()), (5001, None)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_all_pairs(spark, documents, prose, monkeypatch, seed):
+@pytest.mark.parametrize("seed,sent", [(1, jj.SENT), (2, 0)])  # survivors broadcast, or exchanged
+def test_components_match_all_pairs(spark, documents, prose, monkeypatch, seed, sent):
     monkeypatch.setattr(jj, "TILE", 3)  # many tiles even here
+    monkeypatch.setattr(jj, "SENT", sent)
     rows = near_copies(prose, seed)
     got = jj.jaccard_join(documents(rows).repartition(4)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
