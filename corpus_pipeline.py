@@ -59,7 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("path")
+    # a smaller memory of words: workers still hold what the stages before them loaded
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=1 << 18).drop("path")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]

@@ -26,6 +26,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """``df``, with Spark's row count of Arrow batches lowered for whole texts.
+
+    10,000 texts (Spark's default) are tens of MB outside the heap, several
+    times over.  A session that sets another count keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, "10000") == "10000":
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, write_table
-from quadrille.llm.textkit import gram_hashes, slices, spaces_table, words_of
+from quadrille.llm.common import text_or_empty, texts_of, write_table
+from quadrille.llm.textkit import gram_hashes, releasing, slices, spaces_table, words_of
 
 NGRAM = 4
 RARE = 8.0
@@ -105,9 +105,10 @@ REGION = "mark long, lo long, words binary, places array<long>, grams array<long
 def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFrame:
     """Regions of texts around n-grams of the block: doc_id, mark, lo (first word),
     words (hashes), and place and number of each shared n-gram."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
         reach = block.longest + MARGIN
@@ -168,6 +169,7 @@ def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
     kind = dict(regions.dtypes)["doc_id"]
     names = ["doc_id", "mark", "item", "score", "start", "end"]
 
+    @releasing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seed = shared.value
         for batch in batches:

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SPACES, text_or_empty, write_table
+from quadrille.llm.common import SPACES, text_or_empty, texts_of, write_table
+from quadrille.llm.textkit import releasing
 
 PRIMES = (2147483647, 2147483629)  # the two largest primes below 2**31
 BASES = (1103515245, 1566083941)
@@ -62,6 +63,7 @@ def part_hashes(data: np.ndarray, offsets: np.ndarray, which: int) -> np.ndarray
     return out
 
 
+@releasing
 def fingerprint_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds f1, f2: each part's hash shifted by the bytes behind it."""
     for batch in batches:
@@ -88,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if part > PART:
         raise ValueError(f"part must be at most {PART}")
     norm = F.regexp_replace(text_or_empty(text_col), SPACES, " ")
-    rows = (docs.select(F.col(id_col).alias("doc_id"), norm.cast("binary").alias("norm"))
+    rows = (texts_of(docs).select(F.col(id_col).alias("doc_id"), norm.cast("binary").alias("norm"))
             .select("doc_id", "norm", F.sha2("norm", 256).alias("text_sha256"),
                     F.octet_length("norm").cast("long").alias("n_bytes")))
     small = (rows.where(F.col("n_bytes") <= part)

@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, write_table
+from quadrille.llm.common import text_or_empty, texts_of, write_table
 from quadrille.llm.components import connected_components
-from quadrille.llm.textkit import gram_hashes, mix, slices, words_of
+from quadrille.llm.textkit import gram_hashes, mix, releasing, slices, words_of
 
 WIDTH, PERCENT = 5, 75
 FLUSH = 500_000  # tokens a task gathers before it lets go of them
 TILE = 128  # sets of a tile
-SENT = 4_000_000  # rows of two numbers that may be broadcast; more are exchanged
+SENT = 1_000_000  # rows of two numbers that may be broadcast (75 MB as a hash table); more are exchanged
 
 
 def least_overlap(n, percent: int):
@@ -94,6 +94,7 @@ def put_forward(rows: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, kind, np.int8)), pa.array(token[lo:hi]), pa.array(sig[lo:hi]), pa.array(num[lo:hi]), own],
                                              names=["kind", "token", "sig", "num", "doc_id"])
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
@@ -116,6 +117,7 @@ def put_forward(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(look, "kind byte, token long, sig long, num long, doc_id long")
 
 
+@releasing
 def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition of tokens: how many tokens each set shares; documents pass."""
 
@@ -154,6 +156,7 @@ def tokens_of_survivors(docs: DataFrame, left: DataFrame, width: int) -> DataFra
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "want")
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -184,6 +187,7 @@ def in_order(tokens: np.ndarray, often: np.ndarray, order: str) -> np.ndarray:
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
     """sig, n, s, and as packed uint64: tokens (sorted) and the prefixes under A, B, C."""
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {n: [] for n in ("tokens", *ORDERS)}
@@ -208,6 +212,7 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
     """(token, sig, n, rest, rank): the prefixes under order A; ``rest`` are the
     set's shared tokens from this one on, ``rank`` is smaller for better pivots."""
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -233,6 +238,7 @@ def verified_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     two = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     pairs = write_table(stars.join(one, "a"), "star_sets").join(two, "b")
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -349,7 +355,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = texts_of(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     documents, found = links(rows, width, percent)
     roots = connected_components(found)
     classes = documents.where("num > 0").groupBy("sig", "num").agg(F.min("doc_id").alias("rep"))

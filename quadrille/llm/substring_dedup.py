@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, write_table
+from quadrille.llm.common import text_or_empty, texts_of, write_table
+from quadrille.llm.textkit import releasing
 
 MIN_WORDS = 8
 ROWS = 1 << 16  # units handed to Spark at a time
@@ -54,9 +55,10 @@ UNITS = pa.schema([("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64
 
 def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Every unit: doc_id, mark, start, end, words, again (repeats within its text), d1, d2."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, which, out = batch.column("doc_id"), [], {n: [] for n in UNITS.names}

@@ -8,6 +8,8 @@ buffer of a batch: no Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20  # bytes hashed at a time
+BLOCK = 1 << 17  # bytes hashed at a time
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -68,6 +70,24 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def releasing(f):
+    """A function over batches that hands its freed memory back at its end.
+
+    Spark keeps Python workers for later tasks; what an allocator holds on to
+    would count against the executor all that time.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text (one row at least)."""
     if len(batch) == 0:

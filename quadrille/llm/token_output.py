@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import task_filesystem, text_or_empty, texts_of, write_table
-from quadrille.llm.textkit import slices, words_of
+from quadrille.llm.textkit import releasing, slices, words_of
 from quadrille.plans.session import shared_output_dir
 
 SEQ_LEN = 2048
 BATCH = 64  # sequences of a record batch
-SLOTS = 1 << 20  # words a worker remembers at most
-MOST_IDS, MOST_OTHERS = 5_000_000, 50_000
+REMEMBER = 1 << 21  # words a worker remembers at most (a power of two; about 24 bytes each)
+MOST_OTHERS = 20_000  # other pieces
 TEXT_BYTES = 1 << 20  # encoded at a time
 BLANKS = " \t\n\r"
 JOINED = 500  # pieces encoded as one text
@@ -58,13 +58,14 @@ class Encoder:
 
     A text is cut before every white space that follows another character, where
     no token of byte-level BPE can span.  Nearly all pieces are a space and a
-    word: a table of SLOTS entries, addressed by the word's hash, says where
+    word: a table of ``slots`` entries, addressed by the word's hash, says where
     their ids are in ``flat``.  A newer word takes over an entry; when ``flat``
     is full the table starts anew, so memory is bounded.  Other pieces (after
     line feeds or several spaces, at the start or the end) are kept by their bytes.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, slots: int = REMEMBER):
+        self.slots = slots
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,8 +74,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.tags = np.zeros(SLOTS, np.uint64)
-        self.place, self.length = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.tags = np.zeros(self.slots, np.uint64)
+        self.place, self.length = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.flat[0], self.used = self.end, 1
         self.others: dict[bytes, tuple[int, int]] = {}
@@ -110,7 +111,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with the end id behind it, and how many each has."""
-        if self.used > MOST_IDS:
+        if self.used > 4 * self.slots:
             self.forget()
         words = words_of(texts, lower=False)
         data, bounds = words.data, words.row_bytes
@@ -129,7 +130,7 @@ class Encoder:
         plain[plain] = data[begins[plain]] == 32
 
         place, length = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
         met = plain & (self.tags[slot] == hashes)
         place[met], length[met] = self.place[slot[met]], self.length[slot[met]]
         new = np.flatnonzero(plain & ~met)
@@ -169,11 +170,12 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder_of(path: str, end_id: int) -> Encoder:
+def encoder_of(path: str, end_id: int, slots: int) -> Encoder:
     """The worker's encoder; later tasks of the same process know its pieces."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    key = path, end_id, slots
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class SequenceWriter:
@@ -216,15 +218,17 @@ FILES = "part long, path string, n_docs long, n_tokens long"
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                      seq_len: int = SEQ_LEN, end_id: int = 0, out: str | None = None) -> DataFrame:
+                      seq_len: int = SEQ_LEN, end_id: int = 0, out: str | None = None, remember: int = REMEMBER) -> DataFrame:
     """Writes the files and returns the table of them (part, path, n_docs, n_tokens).
 
-    ``part`` numbers the files in ascending id order.
+    ``part`` numbers the files in ascending id order.  ``remember`` trades a
+    worker's memory for time: words that it keeps the ids of.
     """
     spark = docs.sparkSession
     out = out or shared_output_dir(spark, "tokens")
     id_type = {"int": pa.int32(), "bigint": pa.int64()}.get(dict(docs.dtypes)[id_col], pa.string())
 
+    @releasing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = encoder = None
         n_docs = 0
@@ -236,7 +240,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
                 fs.create_dir(folder, recursive=True)
                 part = TaskContext.get().partitionId()
                 name = f"tokens-{part:06d}-{uuid.uuid4().hex}.arrow"
-                encoder = encoder_of(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id, remember)
                 sink = fs.open_output_stream(f"{folder}/{name}")
                 writer = SequenceWriter(sink, seq_len, encoder.dtype)
                 side = fs.open_output_stream(f"{folder}/{name}.docs")
@@ -323,6 +327,7 @@ def read_token_files(spark: SparkSession, files: DataFrame, id_type: str = "bigi
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = write_table(files.select("part", "path", before.alias("base")), "token_bases")
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):

@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import task_filesystem, write_table
+from quadrille.llm.common import task_filesystem, texts_of, write_table
+from quadrille.llm.textkit import releasing
 from quadrille.plans.session import shared_output_dir
 
 # Fixed values of the WARC 1.1 format.
@@ -120,6 +121,7 @@ def write_archives(records: DataFrame, out: str | None = None, date: str = "2024
     as archives; returns the table of archives (path, n_records)."""
     out = out or shared_output_dir(records.sparkSession, "warc")
 
+    @releasing
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, n = None, 0
         for batch in batches:
@@ -141,7 +143,7 @@ def write_archives(records: DataFrame, out: str | None = None, date: str = "2024
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{out}/{name}"], "n_records": pa.array([n], pa.int64())})
 
-    rows = records.select("page_id", "url", "record_type", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
+    rows = texts_of(records).select("page_id", "url", "record_type", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
                           "payload_digest", "payload_bytes", "refers_to")
     return write_table(rows.mapInArrow(write, ARCHIVES), "warc_archives")
 
@@ -201,6 +203,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = Fal
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
                        ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("warc_date", pa.string())] + [("payload", pa.binary())] * payloads)
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():

@@ -19,12 +19,10 @@ ODD = ["", " ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\n \nb", "don't stop"
        "naïve café", "1,234.5 and 6", "<|endoftext|> end", "word...more", "a_b _c_ d", "emoji 😀 end", " \r\n  x", "“q” – z", "%%% ***", "a b c", "中文 字符 。"]
 
 
-@pytest.mark.parametrize("slots,ids", [(to.SLOTS, to.MOST_IDS), (8, 500)])  # all remembered; nearly all forgotten
-def test_pieces_encode_as_the_whole(monkeypatch, slots, ids):
-    monkeypatch.setattr(to, "SLOTS", slots)
-    monkeypatch.setattr(to, "MOST_IDS", ids)
-    monkeypatch.setattr(to, "MOST_OTHERS", ids)
-    plain, mine = Tokenizer.from_file(BPE), to.Encoder(BPE, 0)
+@pytest.mark.parametrize("slots", [to.REMEMBER, 8])  # all remembered; nearly all forgotten
+def test_pieces_encode_as_the_whole(monkeypatch, slots):
+    monkeypatch.setattr(to, "MOST_OTHERS", min(slots, to.MOST_OTHERS))
+    plain, mine = Tokenizer.from_file(BPE), to.Encoder(BPE, 0, slots)
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choice(["a", "B", "é", "7", " ", "  ", "\n", "\t", "'", "'s", ".", ",", "_", " ", "\x1c", "-", '"', "%", "ß", "中"]) for _ in range(rng.randint(1, 60)))
                    for _ in range(3000)]
