@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased and also end at punctuation.  Test items are taken in
 blocks of bounded size; a block's n-grams go to all tasks, and one pass over
 every whole training text keeps only the regions around shared n-grams (their
-word hashes, a window of an item's length to either side).  The n-grams' counts
-over all regions then say which are rare: an item's seeds are its n-grams that
-are at most ``RARE`` times as frequent as its median one, so a widely copied
-item keeps its seeds.  Seeds join passages to items, and a local alignment of
-each item with the passage around its seeds gives the score: matched words
-count 2, other and skipped words cost 1, divided by twice the item's length.
+word hashes, a window of an item's length to either side).  All of an item's
+n-grams met in a region are its seeds there, however often they stand elsewhere,
+so that a widely copied item loses none.  What keeps common n-grams cheap is an
+exact bound: an item is left out of a region that holds too few of its words for
+any alignment to reach the least score.  Seeds join passages to items, and a
+local alignment of each item with the passage around its seeds gives the score:
+matched words count 2, other and skipped words cost 1, divided by twice the
+item's length.
 
 Items with fewer words than an n-gram take part as one n-gram of all their
 words.  Null or empty texts and items have no words and never match.  Rows that
@@ -30,7 +32,6 @@ from quadrille.llm.common import text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import gram_hashes, releasing, slices, spaces_table, words_of
 
 NGRAM = 4
-RARE = 8.0
 MIN_SCORE = 0.5
 MARGIN = 8  # words an alignment may reach beyond an item's length
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -46,6 +47,8 @@ class Items:
         words = words_of(pa.array(texts, pa.large_string()), spaces=SEPARATORS)
         self.ids, self.width = ids, width
         self.words = [words.hashes[a:b] for a, b in zip(words.row_first, words.row_first[1:])]
+        self.first = words.row_first
+        self.vocabulary, self.word = np.unique(words.hashes, return_inverse=True)
         grams, at, first = gram_hashes(words, width, whole_if_short=False)
         item = np.repeat(np.arange(len(ids)), np.diff(first))
         order = np.argsort(grams, kind="stable")
@@ -66,6 +69,38 @@ class Items:
         hit = self.grams[number] == grams[maybe]
         return maybe[hit], number[hit]
 
+    def most(self, items: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """The score that each of ``items`` cannot exceed in ``passage``: its share of words that occur there."""
+        here = np.zeros(len(self.vocabulary), bool)
+        at = np.minimum(np.searchsorted(self.vocabulary, passage), len(self.vocabulary) - 1)
+        here[at[self.vocabulary[at] == passage]] = True
+        counts = self.first[items + 1] - self.first[items]
+        starts = np.cumsum(counts) - counts
+        own = np.arange(counts.sum()) + np.repeat(self.first[items] - starts, counts)
+        return np.add.reduceat(here[self.word[own]], starts, dtype=np.int64) * MATCH / (MATCH * counts)
+
+    def seeds(self, places: np.ndarray, grams: np.ndarray, passage: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that could reach ``min_score`` in ``passage``, each with its seeds' diagonals in order."""
+        for i in np.unique(grams[grams < 0]):  # a short item's whole word sequence
+            yield int(-1 - i), places[grams == i]
+        places, grams = places[grams >= 0], grams[grams >= 0]
+        if not len(grams):
+            return
+        own, which = np.unique(grams, return_inverse=True)
+        counts = self.start[own + 1] - self.start[own]
+        entries = np.arange(counts.sum()) + np.repeat(self.start[own] - (np.cumsum(counts) - counts), counts)
+        items, item = np.unique(self.item[entries], return_inverse=True)
+        able = (self.most(items, passage) >= min_score)[item]
+        entries, counts = entries[able], np.bincount(np.repeat(np.arange(len(own)), counts)[able], minlength=len(own))
+        first, times = np.cumsum(counts) - counts, counts[which]
+        each = entries[np.arange(times.sum()) + np.repeat(first[which] - (np.cumsum(times) - times), times)]
+        item, line = self.item[each], np.repeat(places, times) - self.place[each]
+        order = np.lexsort((line, item))
+        item, line = item[order], line[order]
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            if len(part):
+                yield int(item[part[0]]), line[part]
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: (score, first word, end word) within the passage.
@@ -152,18 +187,6 @@ def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(look, f"doc_id {kind}, {REGION}")
 
 
-def rare_grams(block: Items, counts: dict[int, int], rare: float) -> np.ndarray:
-    """For each entry of the index whether the n-gram is a seed of that item."""
-    often = np.array([counts.get(g, 0) for g in range(len(block.grams))], np.float64)
-    per = np.repeat(often, np.diff(block.start))
-    seed = np.zeros(len(per), bool)
-    order = np.argsort(block.item, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(block.item[order])) + 1):
-        if len(own):
-            seed[own] = per[own] <= rare * max(1.0, float(np.median(per[own])))
-    return seed
-
-
 def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
     """doc_id, mark, item (its number), score, start, end of passages that reach ``min_score``."""
     kind = dict(regions.dtypes)["doc_id"]
@@ -171,23 +194,15 @@ def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
 
     @releasing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seed = shared.value
+        block = shared.value
         for batch in batches:
             which, found = [], []
             for r in range(len(batch)):
                 words = np.frombuffer(batch.column("words")[r].as_py(), np.uint64)
                 lo = batch.column("lo")[r].as_py()
-                diagonals: dict[int, list[int]] = {}
-                for place, g in zip(batch.column("places")[r].as_py(), batch.column("grams")[r].as_py()):
-                    if g < 0:
-                        diagonals.setdefault(-1 - g, []).append(place)
-                        continue
-                    for e in range(block.start[g], block.start[g + 1]):
-                        if seed[e]:
-                            diagonals.setdefault(int(block.item[e]), []).append(place - int(block.place[e]))
-                for i, lines in diagonals.items():
+                places, grams = (np.asarray(batch.column(n)[r].values) for n in ("places", "grams"))
+                for i, lines in block.seeds(places, grams, words, min_score):
                     item, best = block.words[i], (0, 0, 0)
-                    lines.sort()
                     a = 0
                     for b in range(1, len(lines) + 1):  # seeds within a margin of each other share a passage
                         if b == len(lines) or lines[b] - lines[b - 1] > MARGIN:
@@ -225,17 +240,14 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", min_score: float = MIN_SCORE, rare: float = RARE, width: int = NGRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+                  item_text: str = "text", min_score: float = MIN_SCORE, width: int = NGRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per leak: doc_id, item_id, score, start_word, end_word."""
     spark = docs.sparkSession
     parts = []
     for ids, texts in item_blocks(benchmark, item_col, item_text, block_words):
-        block = Items(ids, texts, width)
-        sc = spark.sparkContext
-        regions = write_table(shared_regions(docs, sc.broadcast(block), id_col, text_col), "regions")
-        grams = regions.select(F.explode("grams").alias("g")).where("g >= 0").groupBy("g").count()
-        counts = {r["g"]: r["count"] for r in grams.toLocalIterator()}  # at most the n-grams of the block
-        found = aligned(regions, sc.broadcast((block, rare_grams(block, counts, rare))), min_score)
+        shared = spark.sparkContext.broadcast(Items(ids, texts, width))
+        regions = write_table(shared_regions(docs, shared, id_col, text_col), "regions")
+        found = aligned(regions, shared, min_score)
         names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item long, item_id {dict(benchmark.dtypes)[item_col]}")
         parts.append(found.join(F.broadcast(names), "item"))  # one row per item of a block
     if not parts:

@@ -156,6 +156,28 @@ def test_blocks_of_items_give_the_same(spark, documents, prose):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("copies", [1, 9, 1000])
+def test_edited_copies_keep_their_seeds_however_often_they_stand(spark, documents, prose, copies):
+    items = [(i, prose(40)) for i in range(3)]
+    rows, want = [], set()
+    for (i, text), step in zip(items, (5, 6, 7)):
+        edited = " ".join(prose(1) + "q" if n % step == step - 1 else w for n, w in enumerate(text.split()))
+        for c in range(copies):
+            rows.append((10_000 * i + c, prose(12) + " " + edited + " " + prose(12)))
+            want.add((10_000 * i + c, i))
+    got = dc.decontaminate(documents(rows), frame(spark, items, ["item_id", "text"], ["long", "string"])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert {round(r["score"], 1) for r in got} == {0.7, 0.8}
+
+
+def test_a_common_opening_of_items_is_no_leak(spark, documents, prose):
+    opening = prose(6)
+    items = [(i, opening + " " + prose(30)) for i in range(40)]
+    rows = [(i, prose(9) + " " + opening + " " + prose(40)) for i in range(60)] + [(99, prose(5) + " " + items[7][1])]
+    got = dc.decontaminate(documents(rows), frame(spark, items, ["item_id", "text"], ["long", "string"])).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(99, 7, 1.0)]
+
+
 def test_decontamination_of_nothing(spark, documents):
     empty = frame(spark, [], ["item_id", "text"], ["long", "string"])
     assert dc.decontaminate(documents([]), empty).count() == 0
