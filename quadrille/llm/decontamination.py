@@ -3,14 +3,16 @@
 Words are lower-cased and also end at punctuation.  Test items are taken in
 blocks of bounded size; a block's n-grams go to all tasks, and one pass over
 every whole training text keeps only the regions around shared n-grams (their
-word hashes, a window of an item's length to either side).  All of an item's
+word hashes, and all that an alignment through the n-gram could reach).  All of an item's
 n-grams met in a region are its seeds there, however often they stand elsewhere,
 so that a widely copied item loses none.  What keeps common n-grams cheap is an
 exact bound: an item is left out of a region that holds too few of its words for
 any alignment to reach the least score.  Seeds join passages to items, and a
 local alignment of each item with the passage around its seeds gives the score:
 matched words count 2, other and skipped words cost 1, divided by twice the
-item's length.
+item's length.  Inserted words cost 1 each, so an alignment that reaches the
+least score holds at most ``slack`` of them; a seed's passage is the item's
+length and that slack to either side, and seeds whose passages meet share one.
 
 Items with fewer words than an n-gram take part as one n-gram of all their
 words.  Null or empty texts and items have no words and never match.  Rows that
@@ -33,7 +35,6 @@ from quadrille.llm.textkit import gram_hashes, releasing, slices, spaces_table,
 
 NGRAM = 4
 MIN_SCORE = 0.5
-MARGIN = 8  # words an alignment may reach beyond an item's length
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 2_000_000  # words of test items held by each task at a time
 
@@ -43,7 +44,7 @@ SEPARATORS = spaces_table(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
 class Items:
     """A block of test items and an index of their n-grams."""
 
-    def __init__(self, ids: list, texts: list[str | None], width: int = NGRAM):
+    def __init__(self, ids: list, texts: list[str | None], width: int = NGRAM, min_score: float = MIN_SCORE):
         words = words_of(pa.array(texts, pa.large_string()), spaces=SEPARATORS)
         self.ids, self.width = ids, width
         self.words = [words.hashes[a:b] for a, b in zip(words.row_first, words.row_first[1:])]
@@ -56,7 +57,15 @@ class Items:
         self.start = np.append(self.start, len(grams))
         self.item, self.place = item[order], (at - words.row_first[item])[order]
         self.short = {i: w for i, w in enumerate(self.words) if 0 < len(w) < width}
-        self.longest = max([width, *map(len, self.words)])
+        # matches bring at most MATCH * length, of which words that the item lacks may use up what is over the least score
+        lengths = np.diff(self.first)
+        self.slack = np.ceil(MATCH * lengths * (1 - max(0.0, min_score)) / -GAP).astype(np.int64)
+        # words that an alignment through the n-gram can reach before its place and from there on
+        before = self.place + self.slack[self.item]
+        after = lengths[self.item] - self.place + self.slack[self.item]
+        some = len(self.grams) > 0
+        self.before = np.maximum.reduceat(before, self.start[:-1]) if some else before
+        self.after = np.maximum.reduceat(after, self.start[:-1]) if some else after
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -69,6 +78,15 @@ class Items:
         hit = self.grams[number] == grams[maybe]
         return maybe[hit], number[hit]
 
+    def reach(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words before and from the place of each n-gram (or short item) that an alignment through it can hold."""
+        before, after = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        long = number >= 0
+        before[long], after[long] = self.before[number[long]], self.after[number[long]]
+        whole = -1 - number[~long]
+        before[~long], after[~long] = self.slack[whole], np.diff(self.first)[whole] + self.slack[whole]
+        return before, after
+
     def most(self, items: np.ndarray, passage: np.ndarray) -> np.ndarray:
         """The score that each of ``items`` cannot exceed in ``passage``: its share of words that occur there."""
         here = np.zeros(len(self.vocabulary), bool)
@@ -146,7 +164,6 @@ def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFr
     @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items.value
-        reach = block.longest + MARGIN
         for batch in batches:
             for part in slices(batch):
                 words = words_of(part.column("text"), spaces=SEPARATORS)
@@ -162,21 +179,22 @@ def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFr
                     row = np.searchsorted(words.row_first, found, side="right") - 1
                     found = found[found + len(w) <= words.row_first[row + 1]]
                     places, number = np.concatenate([places, found]), np.concatenate([number, np.full(len(found), -1 - i)])
-                order = np.argsort(places, kind="stable")
-                places, number = places[order], number[order]
                 if not len(places):
                     continue
                 row = np.searchsorted(words.row_first, places, side="right") - 1
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (np.diff(places) > 2 * reach)))
+                before, after = block.reach(number)
+                low = np.maximum(words.row_first[row], places - before)
+                high = np.minimum(words.row_first[row + 1], places + after)
+                order = np.lexsort((places, low))
+                places, number, row, low = places[order], number[order], row[order], low[order]
+                high = np.maximum.accumulate(high[order])  # rows follow each other, so none reaches into the next
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (low[1:] > high[:-1])))
                 out = {n: [] for n in ("which", "lo", "words", "places", "grams")}
                 for a, b in zip(new, np.append(new[1:], len(places))):
-                    r = row[a]
-                    lo = max(words.row_first[r], places[a] - reach)
-                    hi = min(words.row_first[r + 1], places[b - 1] + block.width + reach)
-                    out["which"].append(r)
-                    out["lo"].append(lo - words.row_first[r])
-                    out["words"].append(words.hashes[lo:hi].tobytes())
-                    out["places"].append(places[a:b] - lo)
+                    out["which"].append(row[a])
+                    out["lo"].append(low[a] - words.row_first[row[a]])
+                    out["words"].append(words.hashes[low[a]:high[b - 1]].tobytes())
+                    out["places"].append(places[a:b] - low[a])
                     out["grams"].append(number[a:b])
                 take = pa.array(out["which"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -202,16 +220,13 @@ def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
                 lo = batch.column("lo")[r].as_py()
                 places, grams = (np.asarray(batch.column(n)[r].values) for n in ("places", "grams"))
                 for i, lines in block.seeds(places, grams, words, min_score):
-                    item, best = block.words[i], (0, 0, 0)
-                    a = 0
-                    for b in range(1, len(lines) + 1):  # seeds within a margin of each other share a passage
-                        if b == len(lines) or lines[b] - lines[b - 1] > MARGIN:
-                            left = max(0, lines[a] - MARGIN)
-                            passage = words[left:lines[b - 1] + len(item) + MARGIN]
-                            got = align(item, passage)
-                            if got[0] > best[0]:
-                                best = (got[0], got[1] + left, got[2] + left)
-                            a = b
+                    item, best, slack = block.words[i], (0, 0, 0), int(block.slack[i])
+                    cuts = np.flatnonzero(np.diff(lines) > len(item) + 2 * slack) + 1  # passages further apart cannot share an alignment
+                    for near in np.split(lines, cuts):
+                        left = max(0, int(near[0]) - slack)
+                        got = align(item, words[left:int(near[-1]) + len(item) + slack])
+                        if got[0] > best[0]:
+                            best = (got[0], got[1] + left, got[2] + left)
                     value = best[0] / (MATCH * len(item))
                     if value >= min_score:
                         which.append(r)
@@ -245,7 +260,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     parts = []
     for ids, texts in item_blocks(benchmark, item_col, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Items(ids, texts, width))
+        shared = spark.sparkContext.broadcast(Items(ids, texts, width, min_score))
         regions = write_table(shared_regions(docs, shared, id_col, text_col), "regions")
         found = aligned(regions, shared, min_score)
         names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item long, item_id {dict(benchmark.dtypes)[item_col]}")

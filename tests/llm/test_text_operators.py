@@ -178,6 +178,31 @@ def test_a_common_opening_of_items_is_no_leak(spark, documents, prose):
     assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(99, 7, 1.0)]
 
 
+@pytest.mark.parametrize("parts,gap", [(2, 9), (2, 20), (2, 32), (4, 12), (1, 0)])
+def test_copies_with_long_insertions_score_as_a_whole(spark, documents, prose, parts, gap):
+    words = prose(40).split()
+    size = len(words) // parts
+    pieces = [words[a:a + size] for a in range(0, 40, size)]
+    if parts == 2:
+        pieces = [[*p[:9], "changed", *p[10:]] for p in pieces]
+    passage = f" {prose(gap)} ".join(" ".join(p) for p in pieces).split()
+    rows = [(1, " ".join(passage)), (2, prose(300) + " " + " ".join(passage) + " " + prose(300)), (3, prose(300))]
+    got = {r["doc_id"]: r for r in dc.decontaminate(documents(rows), frame(spark, [(7, " ".join(words))], ["item_id", "text"], ["long", "string"])).collect()}
+    want = slow_alignment(words, passage) / (dc.MATCH * len(words))
+    assert want >= dc.MIN_SCORE and set(got) == {1, 2}
+    assert got[1]["score"] == want and got[1]["start_word"] == 0 and got[1]["end_word"] == len(passage)
+    assert got[2]["score"] >= want and got[2]["start_word"] <= 300
+
+
+def test_an_insertion_between_a_seed_and_the_rest(spark, documents, prose):
+    words = prose(40).split()
+    rest = [w if n % 4 else "q" + w for n, w in enumerate(words[8:])]  # no n-gram of the item left in it
+    text = words[:8] + prose(12).split() + rest
+    got = dc.decontaminate(documents([(1, " ".join(text))]), frame(spark, [(7, " ".join(words))], ["item_id", "text"], ["long", "string"])).collect()
+    assert [r["score"] for r in got] == [slow_alignment(words, text) / 80]
+    assert got[0]["end_word"] - got[0]["start_word"] == len(text)
+
+
 def test_decontamination_of_nothing(spark, documents):
     empty = frame(spark, [], ["item_id", "text"], ["long", "string"])
     assert dc.decontaminate(documents([]), empty).count() == 0
