@@ -260,6 +260,55 @@ def test_cutting_keeps_the_rest(spark, documents, prose):
         assert [tuple(s) for s in r["removed"]] == sorted(set(gone.get(r["doc_id"], [])))
 
 
+SHORT = ["one two three", "four five", "six seven eight nine", "ten", "a b c d e f", "red green blue"]
+
+
+def cut_text(spark, documents, rows):
+    out = sd.cut_repeats(documents(rows, clash=False), units="passages").collect()
+    return {r["doc_id"]: r["text"] for r in out}
+
+
+def test_passages_of_short_sentences_are_cut_whole(spark, documents, prose):
+    line, lines, long = ". ".join(SHORT) + ".", "\n".join(SHORT), prose(12)
+    wrapped = " ".join(SHORT).split()
+    rows = [(1, "\n".join([prose(9), line, prose(9)])), (2, "\n".join(["new opening words", line.upper(), "its own end"])), (3, lines + "\n\nbye"),
+            (4, "hello\n\n" + " ".join(wrapped[:7]) + "\n" + " ".join(wrapped[7:]) + "\n\nbye bye"), (5, long + ". Right so"), (6, "see. " + long + ". Right so. no"),
+            (7, ". ".join(["la la"] * 12)), (8, "hello. thank you. bye"), (9, "hello. thank you. bye")]
+    got = cut_text(spark, documents, rows)
+    assert got == {1: rows[0][1], 2: "new opening words\n\nits own end", 3: "\n\nbye", 4: "hello\n\n\n\nbye bye", 5: rows[4][1], 6: "see. . no",
+                   7: ". ".join(["la la"] * 4) + ". ", 8: rows[7][1], 9: rows[8][1]}
+
+
+def test_passages_keep_every_word_once_and_cover_repeated_runs(spark, documents):
+    rng = random.Random(4)
+    pool = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 14]))) for _ in range(60)]
+    rows = []
+    for i in range(80):
+        parts = [pool[(k + j) % 60] for k in rng.choices(range(60), k=3) for j in range(rng.randint(1, 6))]
+        rows.append((i, "".join(p + rng.choice([". ", ".\n", "\n\n", "\n"]) for p in parts)))
+
+    got = cut_text(spark, documents, rows)
+    assert {w for t in got.values() for _, _, u in sd.units_of(t) for w in sd.normalise(u)} == {w for _, t in rows for _, _, u in sd.units_of(t) for w in sd.normalise(u)}
+    runs, seen = {}, set()  # by hand: every run of whole sentences of 8 words or more that an earlier document has
+    for i, text in rows:
+        pieces = [(a, b, sd.normalise(u)) for a, b, u in sd.units_of(text) if sd.normalise(u)]
+        own, gone = set(), [False] * len(pieces)
+        for a in range(len(pieces)):
+            for b in range(a, len(pieces)):
+                words = tuple(w for p in pieces[a:b + 1] for w in p[2])
+                if len(words) >= sd.MIN_WORDS:
+                    own.add(words)
+                    if words in seen:
+                        gone[a:b + 1] = [True] * (b + 1 - a)
+        seen |= own
+        runs[i] = [p for p, g in zip(pieces, gone) if g]
+    removed = {}
+    for r in sd.repeated_units(documents(rows), units="passages").collect():
+        removed.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for i, _ in rows:
+        assert all(any(a <= p[0] and p[1] <= b for a, b in removed.get(i, [])) for p in runs[i])
+
+
 def test_no_units(spark, documents):
     assert sd.repeated_units(documents([])).count() == 0
 
