@@ -6,14 +6,17 @@ every whole training text keeps only the regions around shared n-grams (their
 word hashes, and all that an alignment through the n-gram could reach).  All of an item's
 n-grams met in a region are its seeds there, however often they stand elsewhere,
 so that a widely copied item loses none.  What keeps common n-grams cheap is an
-exact bound: an item is left out of a region that holds too few of its words for
-any alignment to reach the least score.  Seeds join passages to items, and a
+exact bound: an item is left out of a region or passage that holds too few of
+its words for any alignment to reach the least score.  Seeds join passages to items, and a
 local alignment of each item with the passage around its seeds gives the score:
 matched words count 2, other and skipped words cost 1, divided by twice the
 item's length.  Inserted words cost 1 each, so an alignment that reaches the
 least score holds at most ``slack`` of them; a seed's passage is the item's
 length and that slack to either side, and seeds whose passages meet share one.
 
+Limit: a copy without ``NGRAM`` (3) words of the item in a row is not met, even
+if it would score enough, such as one with every third word replaced.
+
 Items with fewer words than an n-gram take part as one n-gram of all their
 words.  Null or empty texts and items have no words and never match.  Rows that
 repeat an id give one result per item with the best score; a null id keeps its
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import gram_hashes, releasing, slices, spaces_table, words_of
 
-NGRAM = 4
+NGRAM = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 2_000_000  # words of test items held by each task at a time
@@ -224,7 +227,10 @@ def aligned(regions: DataFrame, shared, min_score: float) -> DataFrame:
                     cuts = np.flatnonzero(np.diff(lines) > len(item) + 2 * slack) + 1  # passages further apart cannot share an alignment
                     for near in np.split(lines, cuts):
                         left = max(0, int(near[0]) - slack)
-                        got = align(item, words[left:int(near[-1]) + len(item) + slack])
+                        passage = words[left:int(near[-1]) + len(item) + slack]
+                        if block.most(np.array([i]), passage)[0] < min_score:
+                            continue
+                        got = align(item, passage)
                         if got[0] > best[0]:
                             best = (got[0], got[1] + left, got[2] + left)
                     value = best[0] / (MATCH * len(item))

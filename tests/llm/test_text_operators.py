@@ -203,6 +203,13 @@ def test_an_insertion_between_a_seed_and_the_rest(spark, documents, prose):
     assert got[0]["end_word"] - got[0]["start_word"] == len(text)
 
 
+def test_a_copy_with_every_fourth_word_replaced_is_met(spark, documents, prose):
+    words = prose(40).split()
+    text = " ".join("q" + w if n % 4 == 3 else w for n, w in enumerate(words))
+    got = dc.decontaminate(documents([(1, prose(30) + " " + text + " " + prose(30)), (2, prose(90))]), frame(spark, [(7, " ".join(words))], ["item_id", "text"], ["long", "string"])).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)] and got[0]["score"] >= 0.63
+
+
 def test_decontamination_of_nothing(spark, documents):
     empty = frame(spark, [], ["item_id", "text"], ["long", "string"])
     assert dc.decontaminate(documents([]), empty).count() == 0
