@@ -5,7 +5,7 @@ access identifier) and ``hex`` (a long hexadecimal run).  Weak candidates are
 reported only when complementary parts co-occur in their scope, which is
 ``scope`` code points to either side within the document:
 
-* ``key_id``, a labelled account or client identifier: beside a secret
+* ``key_id``, a labelled account or client identifier (in either case): beside a secret
   (assign, hex or a weak secret),
 * ``secret``, an unlabelled run of 32 or more with upper and lower case and a
   digit: beside an identifier (access or key_id),
@@ -35,7 +35,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more: a run's first matc
 HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more
 MIN_VALUE = 6
 
-KEY_ID = r"""(?:access|account|client|app)[_-]?(?:key[_-]?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_-]{8,}"""
+KEY_ID = r"""(?i:(?:access|account|client|app)[_-]?(?:key[_-]?)?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_-]{8,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 

@@ -420,6 +420,13 @@ def test_weak_parts_need_their_complements(spark, documents):
     assert got[2] == ["access:0:20", "secret:21:63"]
 
 
+def test_identifiers_are_labelled_in_either_case(spark, documents):
+    labels = ["CLIENT_ID=", "Account-Id: ", "clientId = ", '"clientId": "', "AWS_ACCESS_KEY_ID=", "appID:"]
+    rows = [(i, f"{label}abcdefgh1 {WEAK}") for i, label in enumerate(labels)] + [(50, "CLIENT_ID=abcdefgh1"), (51, f"CLIENT_ID=abcdefg {WEAK}"), (52, "http://h.example/ CLIENT_ID=abcdefgh1 PASSWORD=abcdefg")]
+    got = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in ss.scan_secrets(documents(rows)).collect()}
+    assert got == {**{i: ["key_id", "secret"] for i in range(len(labels))}, 50: [], 51: [], 52: ["endpoint", "key_id", "assign"]}
+
+
 def test_scan_of_nothing(spark, documents):
     assert ss.scan_secrets(documents([])).count() == 0
 
