@@ -12,8 +12,13 @@ and returns a DataFrame; all but the last return the columns of documents.
 * mixing: every row appears as often as the mix takes it (0, 1 or 2 times).
 * tokens: the mixed corpus as token files, described per document.
 
-Null texts, repeated rows, empty tables and extra columns fare as the operators
-say; a row with a null id is never rejected.
+Decisions hold for rows of an id and a text: the three stages that reject rows
+know them by ``mark``, a 64-bit hash of both, so that rows with a null id are
+judged like others and rows that share an id apart.  Of near copies the smallest
+id stays (null last, then the smallest mark), and of rows with the same id and
+text (of one word at least) one.
+
+Null texts, empty tables and extra columns fare as the operators say.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import toxicity as tox
-from quadrille.llm.common import read, write_table
+from quadrille.llm.common import read, text_or_empty, write_table
 from quadrille.llm.decontamination import decontaminate
 from quadrille.llm.jaccard_join import jaccard_join
 from quadrille.llm.mixing import apply_mix
@@ -32,26 +37,47 @@ from quadrille.llm.token_output import token_output
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``mark``, a hash of the id and the text."""
+    unset = F.col("doc_id").isNull()  # a hash leaves nulls out
+    return docs.select(*COLUMNS, F.xxhash64(unset, "doc_id", text_or_empty()).alias("mark"))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids of ``gone``; both sides are exchanged by id."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).where("gone_id IS NOT NULL").distinct()
-    return docs.join(write_table(gone, "gone"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """``docs`` less the rows with a mark (``doc_id``) of ``gone``; both sides are exchanged by it."""
+    gone = gone.select(F.col("doc_id").alias("gone_mark")).distinct()
+    return docs.join(write_table(gone, "gone"), F.col("mark") == F.col("gone_mark"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    scored = tox.toxicity(docs, read(spark, sf_dir, "labels"))
-    return without(docs, scored.where("predicted = 1"))
+    docs = marked(docs)
+    net = tox.train_on(docs, read(spark, sf_dir, "labels"))
+    scored = tox.score_documents(docs, net, id_col="mark")
+    return without(docs, scored.where("predicted = 1")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return without(docs, jaccard_join(docs).where("doc_id <> component_id"))
+    docs = marked(docs)
+    joined = write_table(jaccard_join(docs, id_col="mark").where("n_shingles > 0"), "near_components")
+    # components of several rows: their ids, by the mark
+    several = joined.groupBy(F.col("component_id").alias("c")).count().where("count > 1").select("c")
+    several = write_table(several, "several")
+    members = joined.join(several, F.col("component_id") == F.col("c")).groupBy("doc_id", "component_id").count()
+    ids = docs.select(F.col("doc_id").alias("id"), "mark").distinct()
+    members = write_table(members.join(ids, F.col("doc_id") == F.col("mark")), "near_members")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))
+    best = members.groupBy(F.col("component_id").alias("c")).agg(F.min(order)["mark"].alias("best"))
+    judged = members.join(write_table(best, "near_best"), F.col("component_id") == F.col("c"))
+    gone = judged.where((F.col("mark") != F.col("best")) | (F.col("count") > 1)).select("doc_id")
+    again = judged.where((F.col("mark") == F.col("best")) & (F.col("count") > 1)).select(F.col("mark").alias("again"))
+    again = write_table(again, "repeated_rows")
+    once = docs.join(again, F.col("mark") == F.col("again"), "left_semi").dropDuplicates(["mark"])  # rows alike in id and text
+    return without(docs, gone).unionByName(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")))
+    docs = marked(docs)
+    return without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark"), id_col="mark")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import corpus_pipeline
 from quadrille.llm import queries
 from tests import oracle_check
 from tests.conftest import SF001, SF01
+from tests.llm.conftest import frame
 
 
 def test_eleven_queries_are_registered():
@@ -38,3 +39,24 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.tokens(spark, docs, SF001)
     assert out.count() == docs.count()
     assert corpus_pipeline.run(spark, SF001).count() == docs.count()
+
+
+def test_stages_judge_rows_by_id_and_text(spark, documents, prose, tmp_out):
+    item, near, bad = prose(40), prose(60), "idiotx morony " * 3
+    frame(spark, [(1, item)], ["item_id", "text"], ["long", "string"], clash=False).write.parquet(f"{tmp_out}/benchmark.parquet")
+    clean = {i: prose(30) for i in range(400)}
+    texts = {i: t + (" " + bad if i % 4 == 0 else "") for i, t in clean.items()}
+    frame(spark, [(i, 1, int(i % 4 == 0)) for i in texts], ["doc_id", "quality", "toxic"], ["long", "int", "int"], clash=False).write.parquet(f"{tmp_out}/labels.parquet")
+
+    leaks = documents([(None, prose(5) + " " + item), (None, clean[1]), (7, clean[2]), (7, item), (8, clean[3]), (9, None), (None, None)])
+    got = corpus_pipeline.decontamination(spark, leaks, tmp_out).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=repr) == sorted([(None, clean[1]), (7, clean[2]), (8, clean[3]), (9, None), (None, None)], key=repr)
+
+    toxic = documents([*texts.items(), (None, clean[4] + " " + bad), (None, clean[6]), (901, clean[4] + " " + bad), (901, clean[7])])
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.toxicity(spark, toxic, tmp_out).collect()}
+    assert {g for g in got if g[0] is None or g[0] > 900} == {(None, clean[6]), (901, clean[7])}
+
+    rows = [(5, near), (5, near), (5, clean[8]), (None, near + " more"), (6, "  ".join(near.split())), (4, clean[9]), (None, clean[10]), (None, clean[10]), (3, ""), (3, ""), (2, clean[11])]
+    got = corpus_pipeline.near_duplicates(spark, documents(rows).repartition(4), tmp_out).collect()
+    want = [(5, near), (5, clean[8]), (4, clean[9]), (None, clean[10]), (3, ""), (3, ""), (2, clean[11])]
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=repr) == sorted(want, key=repr)
