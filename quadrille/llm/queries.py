@@ -12,13 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import read
+from quadrille.llm.common import WORD, read, text_or_empty
+from quadrille.llm.conversation_trie import spliced, trie_of, turn_keys
 from quadrille.llm.decontamination import decontaminate
 from quadrille.llm.exact_dedup import exact_dedup
 from quadrille.llm.jaccard_join import jaccard_join
 from quadrille.llm.mixing import mix
+from quadrille.llm.periodic_runs import periodic_runs
 from quadrille.llm.secret_scan import scan_secrets
 from quadrille.llm.substring_dedup import repeated_units
+from quadrille.llm.token_counts import token_counts
 from quadrille.llm.token_output import token_output
 from quadrille.llm.toxicity import toxicity
 from quadrille.llm.url_filters import filter_urls
@@ -69,6 +72,43 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), path).drop("path")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a CRC of h, h % 10 = 0, go round in a loop: from word a on,
+    word i is word a + (i - a) % p.  Other texts, also those of a null id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(h / 10).cast("long"), F.regexp_extract_all(text_or_empty(), F.lit(f"({WORD})"))
+    docs = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = (F.col("g") % n).cast("int")
+    docs = docs.select("doc_id", "text", "w", n.alias("n"), a.alias("a"), F.floor(1 + (n - a) / (3 + F.col("g") % 8)).cast("int").alias("p"))
+    loop = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return docs.select("doc_id", F.when(F.col("w").isNotNull() & (F.col("n") > 0), F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
+
+
+#: Greater length / period first, then smaller start, then smaller period.
+BEST = """element_at(array_sort(runs, (x, y) -> CASE WHEN x.length * y.period <> y.length * x.period THEN IF(x.length * y.period > y.length * x.period, -1, 1)
+  WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1) ELSE IF(x.period < y.period, -1, 1) END), 1)"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped(read(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.when(F.size("runs") > 0, F.expr(BEST))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("conv_id")
+    return trie_of(spliced(turn_keys(read(spark, sf_dir, "conversations")), F.crc32(own.cast("string")) % 9, 8, own - own % 5))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -116,6 +159,29 @@ UNITS_SQL = r"""
            row_number() OVER (PARTITION BY doc_id, norm ORDER BY start) AS nth FROM w WHERE words >= 8)
   SELECT doc_id, start, "end", words, keep_doc_id FROM k WHERE nth > 1 OR doc_id <> keep_doc_id"""
 
+#: CRC-32 of the decimal conv_id, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+#: All prefixes of all rebuilt conversations, grouped; each node's row joined to all nodes above it.
+TRIE_SQL = f"""
+  WITH t AS (SELECT conv_id, list(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || strlen(coalesce(text, ''))
+                                  ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT *, {CRC_SQL} % 9 AS h FROM t),
+  r AS (SELECT h.conv_id, coalesce(b.ts[:h.h], []) || h.ts[h.h + 1:] AS ts FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+  p AS (SELECT conv_id, len(ts) AS n, d, sha256(array_to_string(ts[:d], ',')) AS k, sha256(array_to_string(ts[:d - 1], ',')) AS up,
+               CASE WHEN d = 0 THEN 0 ELSE substr(ts[d], 65)::BIGINT END AS bytes
+        FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+  g AS (SELECT k, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, (count(*) - 1) * min(bytes) AS saved,
+               sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY k, d),
+  kids AS (SELECT up, count(*) AS n FROM g WHERE d > 0 GROUP BY up),
+  above AS (SELECT a.k AS top, p.k, p.d FROM g JOIN p ON p.conv_id = g.conv_id AND p.d = g.d JOIN p a ON a.conv_id = g.conv_id AND a.d <= g.d),
+  under AS (SELECT above.top, sum(g.leaf::INT)::BIGINT AS n_leaves, sum(g.saved)::BIGINT AS saved_tokens FROM above JOIN g ON g.k = above.k AND g.d = above.d GROUP BY above.top)
+  SELECT g.conv_id, g.d::BIGINT AS depth, o.conv_id AS parent_conv_id, g.n_convs, coalesce(kids.n, 0) AS n_children, under.n_leaves, under.saved_tokens, g.ends_sha256
+  FROM g JOIN under ON under.top = g.k LEFT JOIN g o ON o.k = g.up AND o.d = g.d - 1 LEFT JOIN kids ON kids.up = g.k"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": UNITS_SQL,
     "op5_jaccard_join": JACCARD_SQL,
@@ -124,4 +190,5 @@ ORACLE_SQL: dict[str, str] = {
   g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
   SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
   FROM n JOIN g ON n.t = g.t""",
+    "op12_conversation_trie": TRIE_SQL,
 }
