@@ -35,6 +35,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return ("null",)
+    if v is pd.NA:  # a null of an integer column; pandas has NaN for it on the other side
+        return ("nan",)
     if isinstance(v, float):
         if math.isnan(v):
             return ("nan",)
