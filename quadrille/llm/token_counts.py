@@ -35,8 +35,8 @@ from quadrille.llm.common import text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import releasing, slices, text_buffer
 
 LIMIT = 4096
-HEAD_ROWS = 1 << 18
-HEAD_BYTES = 1 << 24
+HEAD_ROWS = 1 << 20
+HEAD_BYTES = 1 << 25
 TEXT_BYTES = 4 << 20
 MARK = "▁"  # sentencepiece's sign for a space
 
@@ -182,14 +182,17 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     head = words.where(F.col("weight") >= least).select(F.col("piece").alias("known"), "n")
     met = frequencies(rows, single).join(F.broadcast(head), F.col("piece") == F.col("known"), "left")
     each = F.when(F.col("piece").isNull(), F.col("freq")).otherwise(F.col("freq") * F.col("n"))
-    own = ["row", "id", "n_bytes"]
     if rest:
-        left = F.when(F.col("known").isNull(), F.col("piece"))
-        # what is counted already keeps a key of its own, so it spreads over all tasks
-        key = F.coalesce(left, F.concat(F.lit("\n"), F.col("row").cast("string")))
-        met = met.groupBy(*own, key.alias("key")).agg(F.sum(each).alias("sure"), F.sum(F.when(left.isNotNull(), F.col("freq"))).alias("freq"))
-        tail = words.where(F.col("weight") < least).select(F.col("piece").alias("known"), "n")
+        left = F.col("piece").isNotNull() & F.col("known").isNull()
+        # a row a document for what is counted, under a key of its own, so that it spreads
+        # over all tasks; the rows that are exchanged for their counts carry no more than they need
+        key = F.when(left, F.col("piece")).otherwise(F.concat(F.lit("\n"), F.col("row").cast("string")))
+        met = met.groupBy("row", key.alias("key"), *(F.when(~left, F.col(c)).alias(c) for c in ("id", "n_bytes"))).agg(
+            F.sum(F.when(left, F.col("freq")).otherwise(each)).alias("freq"))
+        tail = words.where(F.col("weight") < least).select(F.col("piece").alias("known"), F.col("n").cast("int").alias("n"))
         met = met.join(tail, F.col("key") == F.col("known"), "left")
-        each = F.coalesce("sure", F.lit(0)) + F.coalesce(F.col("freq") * F.col("n"), F.lit(0))
-    total = met.groupBy(*own).agg(F.sum(each).alias("n_tokens"))
-    return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        each = F.col("freq") * F.coalesce("n", F.lit(1))
+        met = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(each).alias("n_tokens"))
+    else:
+        met = met.groupBy("row", "id", "n_bytes").agg(F.sum(each).alias("n_tokens"))
+    return met.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
