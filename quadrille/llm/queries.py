@@ -77,12 +77,12 @@ def looped(docs: DataFrame) -> DataFrame:
     word i is word a + (i - a) % p.  Other texts, also those of a null id, stay."""
     h = F.crc32(F.col("doc_id").cast("string"))
     g, words = F.floor(h / 10).cast("long"), F.regexp_extract_all(text_or_empty(), F.lit(f"({WORD})"))
-    docs = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    docs = docs.select("doc_id", "text", g.alias("g"), F.when((h % 10 == 0) & (F.size(words) > 0), words).alias("w"))
     n = F.size("w")
     a = (F.col("g") % n).cast("int")
     docs = docs.select("doc_id", "text", "w", n.alias("n"), a.alias("a"), F.floor(1 + (n - a) / (3 + F.col("g") % 8)).cast("int").alias("p"))
     loop = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
-    return docs.select("doc_id", F.when(F.col("w").isNotNull() & (F.col("n") > 0), F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.when(F.col("w").isNotNull(), F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
 
 
 #: Greater length / period first, then smaller start, then smaller period.

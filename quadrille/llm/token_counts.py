@@ -135,7 +135,7 @@ def head_of(words: DataFrame, most_rows: int, most_bytes: int) -> tuple[int, boo
     level = F.floor(F.log2("weight")).cast("int").alias("level")
     seen = words.groupBy(level).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece") + 16).alias("bytes")).collect()
     rows = size = 0
-    least = 63
+    least = 62
     for r in sorted(seen, key=lambda r: -r["level"]):
         rows, size = rows + r["n"], size + r["bytes"]
         if rows > most_rows or size > most_bytes:
