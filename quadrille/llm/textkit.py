@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,11 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 17  # bytes hashed at a time
-
-_powers: dict[str, np.ndarray] = {}
+BASE = 0x9E3779B97F4A7C15 | 1
+SHORT = 64  # bytes of a word that is hashed eight bytes at a time; a longer one goes through BLAKE2
 
 
 class Words(NamedTuple):
@@ -46,13 +44,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(kind: str, base: int, n: int) -> np.ndarray:
-    table = _powers.get(kind)
-    if table is None or len(table) < n:
-        steps = np.full(n, base, dtype=np.uint64)
-        steps[:1] = 1
-        table = _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return table
+def eights(data: np.ndarray) -> np.ndarray:
+    """At every byte the eight bytes from there on as an integer (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def masked(blocks: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` bytes of each block of eight (all if more are left)."""
+    gone = np.uint64(8) * (np.uint64(8) - np.clip(left, 1, 8).astype(np.uint64))
+    return blocks & (np.uint64(0xFFFFFFFFFFFFFFFF) >> gone)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes.
+
+    Blocks of eight bytes pass one after the other through a nonlinear mixer, so no
+    two strings collide by their structure, as they do for a polynomial modulo 2**64.
+    """
+    lengths = ends - starts
+    blocks = eights(data)
+    hashes = mix(lengths.astype(np.uint64) + np.uint64(BASE))
+    alive, at = np.flatnonzero(lengths <= SHORT), 0
+    while len(alive):
+        hashes[alive] = mix(hashes[alive] ^ masked(blocks[starts[alive] + at], lengths[alive] - at))
+        at += 8
+        alive = alive[lengths[alive] > at]
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,20 +149,7 @@ def words_of(column: pa.Array, lower: bool = True, spaces: np.ndarray = SPACES)
     finish = inside
     finish[:-1] &= ~inside[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        stop = max(at + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
-        high = ends[stop - 1]
-        power = _power_table("up", BASE, max(high - low, BLOCK))
-        inverse = _power_table("down", INVERSE, max(high - low, BLOCK))
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[:high - low], out=total[1:])
-        s, e = starts[at:stop] - low, ends[at:stop] - low
-        hashes[at:stop] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        at = stop
-    return Words(starts, ends, mix(hashes), np.searchsorted(starts, offsets), offsets, data)
+    return Words(starts, ends, hash_spans(data, starts, ends), np.searchsorted(starts, offsets), offsets, data)
 
 
 def gram_hashes(words: Words, width: int, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import task_filesystem, text_or_empty, texts_of, write_table
-from quadrille.llm.textkit import releasing, slices, words_of
+from quadrille.llm.textkit import SHORT, eights, masked, releasing, slices, words_of
 from quadrille.plans.session import shared_output_dir
 
 SEQ_LEN = 2048
@@ -53,15 +53,31 @@ JOINED = 500  # pieces encoded as one text
 FAR_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether spans of equal sizes hold the same bytes, eight at a time."""
+    same = np.ones(len(sizes), bool)
+    alive, at = np.arange(len(sizes)), 0
+    ours, theirs = eights(data), eights(other)
+    while len(alive):
+        left = sizes[alive] - at
+        ok = masked(ours[starts[alive] + at], left) == masked(theirs[others[alive] + at], left)
+        same[alive[~ok]] = False
+        at += 8
+        alive = alive[ok & (left > 8)]
+    return same
+
+
 class Encoder:
     """Encodes batches of texts; what it has met before it looks up.
 
     A text is cut before every white space that follows another character, where
     no token of byte-level BPE can span.  Nearly all pieces are a space and a
     word: a table of ``slots`` entries, addressed by the word's hash, says where
-    their ids are in ``flat``.  A newer word takes over an entry; when ``flat``
-    is full the table starts anew, so memory is bounded.  Other pieces (after
-    line feeds or several spaces, at the start or the end) are kept by their bytes.
+    their ids are in ``flat``, and where its bytes are in ``letters``: an entry holds
+    for a word only if all bytes agree.  A newer word takes over an entry; when ``flat``
+    is full the table starts anew, so memory is bounded.  Other pieces (words over 64
+    bytes, after line feeds or several spaces, at the start or the end) are kept by
+    their bytes.
     """
 
     def __init__(self, path: str, end_id: int, slots: int = REMEMBER):
@@ -74,7 +90,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.tags = np.zeros(self.slots, np.uint64)
+        self.spelt, self.size = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.uint8)
+        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0
         self.place, self.length = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.flat[0], self.used = self.end, 1
@@ -109,9 +126,25 @@ class Encoder:
         self.used = need
         return places, lengths
 
+    def agree(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the entries hold these very words, by length and bytes."""
+        same = self.size[slot] == sizes
+        same[same] = equal_spans(self.letters, self.spelt[slot[same]], data, starts[same], sizes[same])
+        return same
+
+    def spell(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Notes the words' bytes for their entries."""
+        need = self.written + int(sizes.sum())
+        while need > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        upto = np.cumsum(sizes) - sizes
+        self.letters[self.written:need] = data[np.repeat(starts - upto, sizes) + np.arange(need - self.written)]
+        self.spelt[slot], self.size[slot] = self.written + upto, sizes
+        self.written = need
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with the end id behind it, and how many each has."""
-        if self.used > 4 * self.slots:
+        if self.used > 4 * self.slots or self.written > 16 * self.slots:
             self.forget()
         words = words_of(texts, lower=False)
         data, bounds = words.data, words.row_bytes
@@ -128,18 +161,27 @@ class Encoder:
         begins[1:][follows] = ends[:-1][follows]
         plain = np.append(False, follows)[:len(rows)] & (starts - begins == 1)
         plain[plain] = data[begins[plain]] == 32
+        plain &= ends - starts <= SHORT
 
         place, length = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        met = plain & (self.tags[slot] == hashes)
+        met = plain.copy()
+        met[plain] = self.agree(slot[plain], data, starts[plain], (ends - starts)[plain])
         place[met], length[met] = self.place[slot[met]], self.length[slot[met]]
         new = np.flatnonzero(plain & ~met)
         if len(new):
-            own, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            first, which = np.unique(hashes[new], return_index=True, return_inverse=True)[1:]
+            sizes, other = (ends - starts)[new], new[first][which]
+            if not (np.array_equal(sizes, (ends - starts)[other]) and equal_spans(data, starts[new], data, starts[other], sizes).all()):
+                # words that differ in spite of one hash are told apart by their bytes
+                spans = pa.array([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())], pa.large_binary())
+                which = spans.dictionary_encode().indices.to_numpy()
+                first = np.unique(which, return_index=True)[1]
             at = new[first]
             p, n = self.keep([raw[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist())])
             place[new], length[new] = p[which], n[which]
-            self.tags[slot[at]], self.place[slot[at]], self.length[slot[at]] = own, p, n
+            self.place[slot[at]], self.length[slot[at]] = p, n
+            self.spell(slot[at], data, starts[at], (ends - starts)[at])
 
         # other pieces: odd white space, text behind the last word, whole texts
         odd = np.flatnonzero(~plain)
@@ -252,7 +294,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
                 places.write_batch(pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").cast(id_type), pa.array(first, pa.int64()), pa.array(counts, pa.int64())], schema=places_schema(id_type)))
             n_docs += len(batch)
-            n_docs += len(batch)
         if writer is not None:
             writer.close()
             places.close()

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from quadrille.llm import token_output as to
 from quadrille.llm import warc
+from quadrille.llm.jaccard_join import jaccard_join
 from tests.llm.conftest import MESSY, frame
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,3 +114,40 @@ def test_records_of_archives_resolve_again(spark):
 
 def test_no_pages(spark):
     assert warc.read_archives(spark, warc.deduplicate(warc.records_of(pages(spark, [])))).count() == 0
+
+
+def swapped(n, a, b):
+    """Strings of 2**n letters that a polynomial hash modulo 2**64 cannot tell apart (a and b swapped)."""
+    out = a
+    for _ in range(n):
+        out += "".join(b if c == a else a for c in out)
+    return out
+
+
+@pytest.mark.parametrize("letters", [10, 5])
+def test_words_that_hash_alike_modulo_a_power_of_two(spark, documents, letters):
+    one, two = swapped(letters, "a", "b"), swapped(letters, "b", "a")
+    rows = [(1, f"z {one} q"), (2, f"z {two} q"), (3, f"z {one} q {two} q")]
+    got = {r["doc_id"]: r for r in to.token_output(documents(rows), BPE).collect()}
+    tokenizer = Tokenizer.from_file(BPE)
+    for i, text in rows:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i]["ids_crc32"] == zlib.crc32(ids) and got[i]["n_tokens"] == len(ids)
+    joined = {r["doc_id"]: r["component_id"] for r in jaccard_join(documents(rows[:2])).collect()}
+    assert joined == {1: 1, 2: 2}
+
+
+def test_encoder_tells_words_of_one_hash_apart(monkeypatch):
+    from quadrille.llm import textkit
+    monkeypatch.setattr(textkit, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    encoder, tokenizer = to.Encoder(BPE, 0, 64), Tokenizer.from_file(BPE)
+    texts = ["z one two three two one", "a three one four", "z two", "é één " + "x" * 64 + " " + "x" * 65 + " q"]
+    for _ in range(2):
+        ids, _ = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+
+
+def test_file_table_counts_documents(spark, documents, prose):
+    rows = [(i, prose(5)) for i in range(50)]
+    files = to.write_token_files(documents(rows), BPE)
+    assert sum(r["n_docs"] for r in files.collect()) == 50
