@@ -324,21 +324,20 @@ class TokenFile:
     def __len__(self) -> int:
         return self.n
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the memory map) and mask of sequence ``i``."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``i``, both views of the memory map (the mask has a bit an id)."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         batch = self.reader.get_batch(i // BATCH)
         ids, mask = batch.column("ids")[i % BATCH].values, batch.column("mask")[i % BATCH].values
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def streams(self) -> Iterator[np.ndarray]:
         """The unmasked ids, batch by batch, without copies."""
         for k in range(self.reader.num_record_batches):
             batch = self.reader.get_batch(k)
             ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
-            used = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
-            yield ids if used[-1] else ids[:int(used.sum())]
+            yield ids[:batch.column("mask").flatten().true_count]
 
 
 def document_checksums(path: str, places: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
