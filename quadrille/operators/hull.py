@@ -3,8 +3,9 @@
 Plan
 ----
 1. Keep finite points only (NULL/NaN/infinite coordinates are dropped).
-2. Two passes take the extreme point in each of 32 directions
-   (max of each projection, then the points reaching it; deterministic).
+   The points are materialised: several passes read them.
+2. One pass takes the extreme point in each of 32 directions (every task its
+   best per direction, over Arrow batches; an aggregate leaves one row each).
    Their polygon P lies inside the hull, so points strictly inside it
    (with a relative rounding margin) cannot be hull vertices; that filter
    is plain column arithmetic in whole-stage codegen.
@@ -36,8 +37,10 @@ its two ends, found by ``min`` and ``max``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,40 +105,45 @@ def _stretched_directions(a, b, width: float, n: int) -> list[tuple[float, float
     return out
 
 
-def _projections(directions: list[tuple[float, float]]):
-    return [F.col("x") * F.lit(dx) + F.col("y") * F.lit(dy) for dx, dy in directions]
+def _extremes(pts: DataFrame, directions: list[tuple[float, float]]):
+    """The extreme point per direction (ties to the largest ``(x, y)``), the
+    smallest ``(x, y)`` point, which is always a hull vertex, and the number
+    of points; ``(None, None, 0)`` without points.
 
-
-def _extreme_maxima(pts: DataFrame, directions: list[tuple[float, float]]):
-    """Pass 1: the max of each projection, the smallest x and the number of
-    points (plain double aggregates, whole-stage codegen)."""
-    projs = _projections(directions)
-    return pts.agg(*[F.max(p).alias(f"m{k}") for k, p in enumerate(projs)],
-                   F.min("x").alias("lx"), F.count(F.lit(1)).alias("n")).first()
-
-
-def _extremes(pts: DataFrame, directions: list[tuple[float, float]], row):
-    """Pass 2: the extreme point per direction (ties to the largest
-    ``(x, y)``) and the smallest ``(x, y)`` point, which is always a hull
-    vertex.
-
-    A filter keeps only points reaching a maximum of pass 1 (the same
-    expression, so equality is exact) and a small aggregate picks them.  A
-    single pass of ``max(struct(...))`` is several times slower because
-    struct buffers leave the fast aggregation path.
+    One pass: every task keeps its best point per direction over Arrow batches
+    and emits one row each, which an aggregate reduces to one row a direction.
     """
-    projs = _projections(directions)
-    at_max = [p == F.lit(row[f"m{k}"]) for k, p in enumerate(projs)]
-    at_low = F.col("x") == F.lit(row["lx"])
-    hit = at_low
-    for c in at_max:
-        hit = hit | c
-    aggs = [F.max(F.when(c, F.struct("x", "y"))).alias(f"d{k}") for k, c in enumerate(at_max)]
-    aggs.append(F.min(F.when(at_low, F.struct("x", "y"))).alias("low"))
-    r2 = pts.where(hit).agg(*aggs).first()
-    ext = [None if r is None else (float(r["x"]), float(r["y"])) for r in r2[:len(directions)]]
-    low = r2["low"]
-    return ext, (float(low["x"]), float(low["y"]))
+    dx, dy = (np.array(c)[:, None] for c in zip(*directions))
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        n = 0
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+            if not len(x):
+                continue
+            n += len(x)
+            values = dx * x + dy * y
+            top = values.max(axis=1)
+            for k, at in enumerate(values.argmax(axis=1)):
+                if k in best and top[k] < best[k][0]:
+                    continue
+                same = np.flatnonzero(values[k] == top[k])
+                at = same[np.lexsort((y[same], x[same]))[-1]]
+                best[k] = max(best.get(k, (-np.inf,)), (top[k], x[at], x[at], y[at]))
+            low = np.flatnonzero(x == x.min())
+            at = low[y[low].argmin()]
+            best[-1] = max(best.get(-1, (-np.inf,)), (-x[at], -y[at], x[at], y[at]))
+        rows = np.array([[k, *v, n * (k < 0)] for k, v in best.items()], float).reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int64)), *[pa.array(rows[:, j]) for j in range(1, 5)], pa.array(rows[:, 5].astype(np.int64))],
+                                         names=["k", "v", "w", "x", "y", "n"])
+
+    found = pts.select("x", "y").mapInArrow(best_of, "k long, v double, w double, x double, y double, n long")
+    found = {int(r["k"]): r for r in found.groupBy("k").agg(F.max(F.struct("v", "w", "x", "y")).alias("p"), F.sum("n").alias("n")).collect()}
+    if not found:
+        return None, None, 0
+    point = {k: (float(r["p"]["x"]), float(r["p"]["y"])) for k, r in found.items()}
+    return [point[k] for k in range(len(directions))], point[-1], int(found[-1]["n"])
 
 
 def _polygon(points) -> list[tuple[float, float]]:
@@ -170,26 +178,26 @@ class CapHull:
     """
 
     def __init__(self, points: DataFrame, x: str, y: str, cap_limit: int = CAP_LIMIT):
-        pts = finite_points(points, x, y)
+        # read by several passes: columns computed by the caller are evaluated once
+        pts = materialize(finite_points(points, x, y))
         self.pts = pts
         self.cap_limit = cap_limit
         self.poly: list[tuple[float, float]] = []
         self.line: list[tuple[float, float]] = []  # the hull if it has at most two points
         self.directions = _uniform_directions(CAP_DIRECTIONS)
-        row = _extreme_maxima(pts, self.directions)
-        if not row["n"]:
+        self.ext, self.low, n = _extremes(pts, self.directions)
+        if not n:
             return
-        self.ext, self.low = _extremes(pts, self.directions, row)
-        self.poly = _polygon(p for p in self.ext if p is not None)
+        self.poly = _polygon(self.ext)
         if len(self.poly) == 2:
-            self._stretch(row)
+            self._stretch()
         if len(self.poly) < 3:
             ends = pts.agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b")).first()
             self.line = sorted({(float(e["x"]), float(e["y"])) for e in ends})
             return
         self._build()
 
-    def _stretch(self, row) -> None:
+    def _stretch(self) -> None:
         """Take the directions anew for a thin shape between two extremes."""
         a, b = self.poly
         across = (F.lit(b[0] - a[0]) * (F.col("y") - F.lit(a[1])) - F.lit(b[1] - a[1]) * (F.col("x") - F.lit(a[0])))
@@ -198,8 +206,8 @@ class CapHull:
         if not width > 0:
             return
         self.directions = _stretched_directions(a, b, width, CAP_DIRECTIONS)
-        self.ext, self.low = _extremes(self.pts, self.directions, _extreme_maxima(self.pts, self.directions))
-        self.poly = _polygon(p for p in self.ext if p is not None)
+        self.ext, self.low, _ = _extremes(self.pts, self.directions)
+        self.poly = _polygon(self.ext)
 
     def _direction_ranges(self) -> list[tuple[float, float]]:
         """Per polygon vertex, the first and last sampled direction (radians,
