@@ -3,63 +3,52 @@
 The output is the distinct set of points where the boundary of the union
 turns (shell and hole corners alike), as ``(x, y)``.
 
-Exact, relational formulation
------------------------------
-A boundary vertex joins a vertical boundary piece (part of some box A's
-vertical edge) and a horizontal one (part of some box B's horizontal
-edge), so every vertex is a box corner (A = B) or a crossing of A's
-vertical edge with B's horizontal edge (edges taken closed).  For each
-such *candidate* the four open quadrants next to it are tested for
-coverage by any box:
-
-* ``ne``: ``xmin <= x < xmax and ymin <= y < ymax``
-* ``nw``: ``xmin < x <= xmax and ymin <= y < ymax``
-* ``se``: ``xmin <= x < xmax and ymin < y <= ymax``
-* ``sw``: ``xmin < x <= xmax and ymin < y <= ymax``
-
-A candidate is a vertex when 1 or 3 quadrants are covered, or 2 diagonal
-ones (two boxes touching at a corner).  Two adjacent covered quadrants are
-a straight edge, 0 or 4 are outside or inside.
+A point is a vertex when, of the four open quadrants next to it, 1 or 3 are
+covered by boxes, or 2 diagonal ones (two boxes touching at a corner).  Two
+adjacent covered quadrants are a straight edge, 0 or 4 are outside or inside.
 
 Plan
 ----
-Boxes are normalised, cleaned (NULL/NaN/infinite and zero-area boxes
-contribute nothing) and deduplicated, then checkpointed (read several times).
-Cells strictly inside a single box cannot hold a vertex; box entries,
-candidates and coverage rows in such cells (or under such a cell at a
-coarser level) are anti-joined away first, so nested and heavily
-overlapping boxes do not meet pairwise in their shared interior.
-Crossings come from a self equi-join on the multi-level grid: each box is
-copied into its cells at its own level and lifted (a few cells)
-onto every coarser level in use, and a pair (A, B) is matched only at
-level ``max(level A, level B)``; each crossing point is emitted only from
-the cell that holds it, so no dedupe of pairs is needed.  Coverage is a
-second grid join of the distinct candidates against the boxes' own cells,
-aggregated per candidate with ``max`` (partial aggregation).  Each cell
-table is broadcast only when its bounded row count fits the broadcast
-limit.
+Boxes are normalised, cleaned (NULL/NaN/infinite and zero-area boxes contribute
+nothing) and deduplicated.  The plane is cut into half-open square cells whose
+side is a power of two, so that cell indices are exact at every side:
+
+1. A start side follows the number of boxes, no finer than keeps the copies of
+   boxes in cells at a few a box.  Each box is copied into the cells it touches
+   and *clipped* there: a side outside a cell becomes the same value for all
+   boxes, so nested boxes that look alike inside a cell are one row, and a cell
+   that one box covers is dropped with all its rows.
+2. Cells with more than ``cell_boxes`` distinct clipped boxes are cut into 8 x 8
+   smaller ones, round by round, as in a quadtree.  Only crowded cells are cut,
+   and sides of boxes that differ come apart, so every cell gets under the limit
+   however dense or skewed the input is; no group ever holds more rows.
+3. Each cell is then solved by itself: the coordinates inside it cut it into
+   strips, running sums of the boxes' corner marks tell which rectangles of the
+   strips are covered (by one box or by several together), and the four
+   rectangles around every crossing of two coordinates decide.  No box is joined
+   with another, and a point lies in one cell only, so nothing is emitted twice.
+
+Nothing is broadcast, and the driver sees a few numbers a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions import grid as G
 from quadrille.functions.geometry import all_of, is_finite
-from quadrille.operators.spatial_join import CELL_ROW_BYTES, _broadcast_limit
-from quadrille.plans.session import materialize
+from quadrille.plans.session import materialize, materialize_with_stats
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
-# Base cell = mean box side / 8: a typical box then spans ~8 x 8 cells, so
-# its interior cells are exposed to the pruning below.  With cells as large
-# as a box, 3,000 mutually overlapping boxes gave 9M crossing candidates
-# (56 vertices); at 1/8 the pruning leaves 4% of the entries.
-CELL_FRACTION = 8.0
-# A box may span up to 64 cells per axis at its level, so
-# boxes up to ~8 mean sides wide stay on the base level, where their
-# interiors can prune (lifted entries on coarser levels are not pruned).
-SPAN = 64
+CELL = ("cx", "cy")
+CELL_BOXES = 128  # distinct clipped boxes of a cell that is solved at once
+SPLIT = 8  # cells a crowded cell is cut into, per axis (a power of two)
+COPIES = 4  # cells a box may start in, on average
+DEEPEST = 50  # halvings of the extent: cell indices stay exact
 
 
 def prepare_boxes(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2") -> DataFrame:
@@ -71,137 +60,107 @@ def prepare_boxes(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2") -> DataF
     return b.distinct()
 
 
-def _quadrants(x: Column, y: Column) -> list[Column]:
-    xmin, ymin, xmax, ymax = (F.col(c) for c in BOUNDS)
-    east = (xmin <= x) & (x < xmax)
-    west = (xmin < x) & (x <= xmax)
-    north = (ymin <= y) & (y < ymax)
-    south = (ymin < y) & (y <= ymax)
-    return [F.max((east & north).cast("int")).alias("ne"), F.max((west & north).cast("int")).alias("nw"),
-            F.max((east & south).cast("int")).alias("se"), F.max((west & south).cast("int")).alias("sw")]
-
-
-def _entries(lv: DataFrame, grid: G.Grid, levels: list[int]) -> DataFrame:
-    """Own-level cells plus cells lifted onto every coarser level in use."""
-    own = G.explode_box_cells(lv).withColumn("_own", F.col("_level"))
-    cols = [*BOUNDS, "_own", "_level", "_cx", "_cy"]
-    own = own.select(*cols)
-    if len(levels) == 1:
-        return own
-    coarser = F.filter(F.array(*[F.lit(int(v)) for v in levels]), lambda v: v > F.col("_level"))
-    lifted = (lv.where(F.col("_level").isNotNull())
-                .select(*BOUNDS, F.col("_level").alias("_own"), F.explode(coarser).alias("_lift")))
-    lifted = G.explode_cells_at(lifted, grid, F.col("_lift")).select(*cols)
-    return own.unionByName(lifted)
-
-
-def _interior_cells(lv: DataFrame) -> DataFrame:
-    """``(_level, _cx, _cy)`` of cells strictly inside a box at its own level.
-
-    A cell whose index lies strictly between the box's extreme cell indices
-    holds only points strictly inside the box (``floor(v / size)`` is
-    monotone), so no union vertex can lie in it."""
-    has = (F.col("_cx1") - F.col("_cx0") >= 2) & (F.col("_cy1") - F.col("_cy0") >= 2)
-    return (lv.where(F.col("_level").isNotNull() & has)
-              .select("_level", F.explode(F.sequence(F.col("_cx0") + 1, F.col("_cx1") - 1)).alias("_cx"),
-                      "_cy0", "_cy1")
-              .select("_level", "_cx", F.explode(F.sequence(F.col("_cy0") + 1, F.col("_cy1") - 1)).alias("_cy")))
-
-
-def _drop_covered(df: DataFrame, interior: DataFrame, levels: list[int], broadcast: bool) -> DataFrame:
-    """Remove rows whose cell ``(_level, _cx, _cy)``, or its ancestor at a
-    coarser level in use, is strictly inside some box.  The ancestor index
-    at ``l' >= l`` is ``floor(c / 16**(l' - l))``, an arithmetic shift by
-    ``4 * (l' - l)`` bits (cell sizes differ by exact powers of two)."""
-    for lp in levels:
-        cov = interior.where(F.col("_level") == lp).select(F.col("_cx").alias("_kx"),
-                                                           F.col("_cy").alias("_ky"))
-        if broadcast:
-            cov = F.broadcast(cov)
-        shift = f"4 * ({int(lp)} - _level)"
-        cond = ((F.col("_level") <= F.lit(int(lp)))
-                & (F.expr(f"shiftright(_cx, {shift})") == F.col("_kx"))
-                & (F.expr(f"shiftright(_cy, {shift})") == F.col("_ky")))
-        df = df.join(cov, cond, "left_anti")
-    return df
-
-
-def _crossings(entries: DataFrame, grid: G.Grid, broadcast: bool) -> DataFrame:
-    a = entries.select(*[F.col(c).alias(f"a_{c}") for c in entries.columns])
-    b = entries.select(*[F.col(c).alias(f"b_{c}") for c in entries.columns])
-    if broadcast:
-        b = F.broadcast(b)
-    cond = ((F.col("a__level") == F.col("b__level")) & (F.col("a__cx") == F.col("b__cx"))
-            & (F.col("a__cy") == F.col("b__cy"))
-            & (F.col("a__level") == F.greatest("a__own", "b__own"))
-            & (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax"))
-            & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
-            & ~((F.col("a_xmin") == F.col("b_xmin")) & (F.col("a_xmax") == F.col("b_xmax"))
-                & (F.col("a_ymin") == F.col("b_ymin")) & (F.col("a_ymax") == F.col("b_ymax"))))
-    j = a.join(b, cond)
-    pts = F.array(*[F.struct(F.col(f"a_{vx}").alias("x"), F.col(f"b_{hy}").alias("y"))
-                    for vx in ("xmin", "xmax") for hy in ("ymin", "ymax")])
-    size = grid.size(F.col("a__level"))
-
-    def keep(p):
-        return ((F.col("b_xmin") <= p["x"]) & (p["x"] <= F.col("b_xmax"))
-                & (F.col("a_ymin") <= p["y"]) & (p["y"] <= F.col("a_ymax"))
-                & (G.cell_index(p["x"], size) == F.col("a__cx"))
-                & (G.cell_index(p["y"], size) == F.col("a__cy")))
-
-    return j.select(F.explode(F.filter(pts, keep)).alias("p")).select("p.x", "p.y")
-
-
-def _corners(b: DataFrame) -> DataFrame:
-    pts = F.array(*[F.struct(F.col(cx).alias("x"), F.col(cy).alias("y"))
-                    for cx in ("xmin", "xmax") for cy in ("ymin", "ymax")])
-    return b.select(F.explode(pts).alias("p")).select("p.x", "p.y")
-
-
-def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *,
-                   cell: float | None = None, broadcast_limit: int | None = None) -> DataFrame:
+def start_side(stats: dict, cell_boxes: int, cell: float | None) -> tuple[float, float]:
+    """``(start, least)``: powers of two.  Cells of the start side hold about
+    ``cell_boxes`` boxes if these are spread evenly."""
+    extent = max(abs(stats["lo"]), abs(stats["hi"]), 5e-324)
+    top = 2.0 ** min(1023, math.ceil(math.log2(extent)) + 1)
+    least = max(top * 2.0 ** -DEEPEST, 5e-324)
+    if cell is not None:
+        return min(top, max(least, 2.0 ** math.ceil(math.log2(cell)))), least
+    side, n = top, stats["n"]
+    while side > least and (top / side) ** 2 < n / cell_boxes:
+        s = side / 2
+        if not stats["wh"] / s / s + 2.0 * stats["wph"] / s + 4.0 * n <= (COPIES + 4.0) * n:
+            break
+        side = s
+    return side, least
+
+
+def _index(v, side: float):
+    return F.floor(F.col(v) / F.lit(side))
+
+
+def _into_cells(boxes: DataFrame, side: float, within: bool) -> DataFrame:
+    """``cx, cy`` and the clipped boxes, one row per cell a box touches;
+    ``within``: only cells inside the (8 times larger) cell the row names."""
+    low, high = [_index(c, side) for c in BOUNDS[:2]], [_index(c, side) for c in BOUNDS[2:]]
+    if within:
+        low = [F.greatest(v, F.col(c) * SPLIT) for v, c in zip(low, CELL)]
+        high = [F.least(v, F.col(c) * SPLIT + SPLIT - 1) for v, c in zip(high, CELL)]
+    out = boxes.select(*BOUNDS, F.explode(F.sequence(low[0], high[0])).alias("cx"), low[1].alias("y0"), high[1].alias("y1"))
+    out = out.select(*BOUNDS, "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    clipped = [F.when(_index(lo, side) < F.col(c), (F.col(c) - 1) * F.lit(side)).otherwise(F.col(lo)).alias(lo) for lo, c in zip(BOUNDS[:2], CELL)]
+    clipped += [F.when(_index(hi, side) > F.col(c), (F.col(c) + 2) * F.lit(side)).otherwise(F.col(hi)).alias(hi) for hi, c in zip(BOUNDS[2:], CELL)]
+    return out.select(*CELL, *clipped).distinct()
+
+
+def _sorted_cells(cells: DataFrame, side: float, cell_boxes: int) -> DataFrame:
+    """``crowded`` for every row, without the rows of cells that one box covers."""
+    over = F.lit(True)
+    for lo, hi, c in zip(BOUNDS[:2], BOUNDS[2:], CELL):
+        over = over & (_index(lo, side) < F.col(c)) & (_index(hi, side) > F.col(c))
+    state = cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.max(over).alias("covered"))
+    state = state.where(~F.col("covered")).select(*(F.col(c).alias(f"k{c}") for c in CELL), (F.col("n") > cell_boxes).alias("crowded"))
+    met = (F.col("cx") == F.col("kcx")) & (F.col("cy") == F.col("kcy"))
+    return cells.join(state, met).select(*CELL, *BOUNDS, "crowded")
+
+
+def cell_vertices(boxes: np.ndarray, left: float, bottom: float, side: float) -> np.ndarray:
+    """Vertices in the half-open cell of the union of boxes (rows of bounds)
+    that, outside the cell, may reach anywhere."""
+    strips = []
+    for lo, hi, at in ((boxes[:, 0], boxes[:, 2], left), (boxes[:, 1], boxes[:, 3], bottom)):
+        cuts = np.unique(np.concatenate([lo, hi]))
+        cuts = cuts[(cuts >= at) & (cuts < at + side)]
+        # strip i lies between cuts i - 1 and i
+        strips.append((cuts, np.searchsorted(cuts, lo, side="right"), np.searchsorted(cuts, hi, side="left") + 1))
+    (xs, x0, x1), (ys, y0, y1) = strips
+    marks = np.zeros((len(xs) + 2, len(ys) + 2), np.int32)
+    for i, j, sign in ((x0, y0, 1), (x1, y1, 1), (x0, y1, -1), (x1, y0, -1)):
+        np.add.at(marks, (i, j), sign)
+    covered = marks.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+    sw, se, nw, ne = covered[:-1, :-1], covered[1:, :-1], covered[:-1, 1:], covered[1:, 1:]
+    count = sw.astype(np.int8) + se + nw + ne
+    i, j = np.nonzero((count == 1) | (count == 3) | ((count == 2) & (ne == sw)))
+    return np.stack([xs[i], ys[j]], axis=1)
+
+
+def _solve(side: float):
+    """The vertices of one group: a cell's boxes."""
+    def solve(key: tuple, group: pa.Table) -> pa.Table:
+        boxes = np.stack([group.column(c).to_numpy() for c in BOUNDS], axis=1)
+        found = cell_vertices(boxes, key[0].as_py() * side, key[1].as_py() * side, side)
+        return pa.table({"x": found[:, 0], "y": found[:, 1]})
+    return solve
+
+
+def union_vertices(boxes: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2", *, cell: float | None = None,
+                   broadcast_limit: int | None = None, cell_boxes: int = CELL_BOXES) -> DataFrame:
     """Distinct vertices ``(x, y)`` of the union of the boxes.
 
-    Cells are about 1/8 of the mean box side wide; cells strictly inside a
-    single box are dropped before boxes meet pairwise.
+    ``cell`` sets the start side (rounded up to a power of two), ``cell_boxes``
+    how many boxes a cell may hold before it is cut.  ``broadcast_limit`` is
+    accepted for older callers; nothing is broadcast.
     """
-    b = materialize(prepare_boxes(boxes, x1, y1, x2, y2))
-    plan = G.plan_from_buckets(G.bucket_stats(b), cell_fraction=CELL_FRACTION if cell is None else 1.0,
-                               cell=cell, span=SPAN)
-    lv = G.with_box_level(b, plan.grid)
-    grid, levels = plan.grid, plan.levels
-    limit = _broadcast_limit(b.sparkSession, broadcast_limit)
-    own_copies = plan.copies_bound
-    lifted_cells = (grid.span // int(G.RATIO) + 2) ** 2  # a box lifted one level up
-    entry_bound = own_copies + lifted_cells * plan.n * (len(levels) - 1)
-    entries = _entries(lv, grid, levels)
-    corners = _corners(b)
-    own = G.explode_box_cells(lv)
-    # Prune cells strictly inside one box before the pairwise step: this is
-    # where heavily overlapping boxes would otherwise meet pairwise.  Many
-    # boxes cover the same cell, and it is read several times.
-    interior = materialize(_interior_cells(lv).distinct())
-    small = own_copies * CELL_ROW_BYTES <= limit
-    entries = _drop_covered(entries, interior, levels, small)
-    own = _drop_covered(own, interior, levels, small)
-    cand = corners.unionByName(_crossings(entries, grid, entry_bound * CELL_ROW_BYTES <= limit))
-    cand = _drop_covered(G.with_point_cells(cand, grid, levels[:1], "x", "y"),
-                         interior, levels, small).select("x", "y")
-    cand = cand.distinct()
-    pc = G.with_point_cells(cand, grid, levels, "x", "y")
-    own = own.select(*BOUNDS, F.col("_level").alias("_bl"),
-                     F.col("_cx").alias("_bcx"), F.col("_cy").alias("_bcy"))
-    if own_copies * CELL_ROW_BYTES <= limit:
-        own = F.broadcast(own)
-    x, y = F.col("x"), F.col("y")
-    cover = pc.join(own, (pc["_level"] == own["_bl"]) & (pc["_cx"] == own["_bcx"])
-                    & (pc["_cy"] == own["_bcy"])
-                    & (F.col("xmin") <= x) & (x <= F.col("xmax"))
-                    & (F.col("ymin") <= y) & (y <= F.col("ymax")))
-    # candidates come out of ``distinct`` hashed on (x, y): with broadcast
-    # cell tables this aggregate needs no new exchange; with a shuffled join
-    # it re-partitions, which leaves AQE free to split a hot cell
-    q = cover.groupBy(x, y).agg(*_quadrants(x, y))
-    s = F.col("ne") + F.col("nw") + F.col("se") + F.col("sw")
-    vertex = s.isin(1, 3) | ((s == 2) & (F.col("ne") == F.col("sw")))
-    return q.where(vertex).select("x", "y")
+    w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    b, stats = materialize_with_stats(
+        prepare_boxes(boxes, x1, y1, x2, y2), F.count(F.lit(1)).alias("n"), F.min(F.least("xmin", "ymin")).alias("lo"),
+        F.max(F.greatest("xmax", "ymax")).alias("hi"), F.sum(w * h).alias("wh"), F.sum(w + h).alias("wph"))
+    if not stats["n"]:
+        return b.select(F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    side, least = start_side(stats, cell_boxes, cell)
+    cells, solved = _into_cells(b, side, within=False), []
+    while True:
+        cells, left = materialize_with_stats(_sorted_cells(materialize(cells), side, cell_boxes), F.max("crowded").alias("crowded"))
+        last = not left["crowded"] or side <= least
+        done = cells if last else cells.where(~F.col("crowded"))
+        solved.append(done.groupBy(*CELL).applyInArrow(_solve(side), "x double, y double"))
+        if last:
+            break
+        side /= SPLIT
+        cells = _into_cells(cells.where("crowded"), side, within=True)
+    out = solved[0]
+    for more in solved[1:]:
+        out = out.unionByName(more)
+    return out

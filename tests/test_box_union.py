@@ -82,3 +82,28 @@ def test_heavy_overlap_vs_brute(spark, seed, cell):
         x0, y0 = rng.randint(0, 60), rng.randint(0, 60)
         boxes.append((float(x0), float(y0), float(x0 + rng.randint(1, 3)), float(y0 + rng.randint(1, 3))))
     assert verts(spark, boxes, cell=cell) == brute.union_vertices(boxes)
+
+
+def test_regions_covered_by_many_boxes_together(spark):
+    """5,000 boxes tile a square; none covers a cell alone, and nothing inside is emitted."""
+    n, boxes = 50, []
+    for i in range(n):
+        for j in range(n):  # two overlapping halves a tile
+            boxes.append((float(i), float(j), i + 0.75, j + 1.0))
+            boxes.append((i + 0.5, float(j), i + 1.0, j + 1.0))
+    assert verts(spark, boxes, cell_boxes=16) == [(0.0, 0.0), (0.0, n), (n, 0.0), (n, n)]
+
+
+def test_boxes_crowded_in_one_corner(spark):
+    """Nested boxes that share a corner, and tiny ones in a far smaller corner, are cut apart."""
+    rng = random.Random(3)
+    boxes = [(0.0, 0.0, 1.0 + i, 1.0 + rng.random() * 500) for i in range(200)]
+    boxes += [(-1.0 - rng.random() / 1e6, -1.0, -1.0, -1.0 + rng.random() / 1e6) for _ in range(100)]
+    assert verts(spark, boxes, cell_boxes=8) == brute.union_vertices(boxes)
+
+
+def test_no_box_is_joined_with_another(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame(_rand_boxes(rng, 50, False), BOX)
+    plan = union_vertices(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
