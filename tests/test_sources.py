@@ -116,3 +116,33 @@ def test_ingest_spreads_hot_value(spark, tmp_out):
     per_file = spark.read.parquet(f"{tmp_out}/hot").groupBy(
         __import__("pyspark.sql.functions", fromlist=["input_file_name"]).input_file_name()).count().collect()
     assert len(per_file) >= 4 and max(r["count"] for r in per_file) < 300
+
+
+def test_ingested_files_are_tight_on_both_axes(spark, tmp_out):
+    """A small window meets few files by their statistics on x and by those on y."""
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    # uneven: three quarters of the points crowd one corner
+    points = [(rng.random() ** 4 * 100, rng.random() ** 4 * 100) for _ in range(6000)]
+    src = _write(tmp_out, "curve.csv", [f"0,{i},{x!r},{y!r}" for i, (x, y) in enumerate(points)])
+    ingest(spark, src, f"{tmp_out}/curve", "points", partitions=16)
+    bounds = {c: [] for c in ("x", "y")}
+    for f in glob.glob(f"{tmp_out}/curve/*.parquet"):
+        meta = pq.read_metadata(f)
+        for g in range(meta.num_row_groups):
+            for j in range(meta.num_columns):
+                column = meta.row_group(g).column(j)
+                if column.path_in_schema in bounds:
+                    bounds[column.path_in_schema].append((column.statistics.min, column.statistics.max))
+    assert len(bounds["x"]) >= 12
+    for axis in range(2):
+        at = sorted(p[axis] for p in points)[3000]
+        met = [lo <= at <= hi for lo, hi in bounds["xy"[axis]]]
+        assert 0 < sum(met) <= len(met) * 0.6
+    middle = [sorted(p[a] for p in points)[3000] for a in range(2)]
+    both = [a[0] <= middle[0] <= a[1] and b[0] <= middle[1] <= b[1] for a, b in zip(bounds["x"], bounds["y"])]
+    assert sum(both) <= 4
