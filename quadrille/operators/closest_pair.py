@@ -13,29 +13,33 @@ Plan
    distance between the cell's smallest and largest point is a real pair
    distance below ``~ 1.5 g / k``.  Each round is one partial-aggregated
    ``groupBy``; only scalars reach the driver.
-3. With cells of side ``g`` holding at most ``K_MAX`` points each, every
-   pair within distance ``g`` lies in the same or adjacent cells: each point
-   is joined against its own cell and four of its eight neighbours (the
-   other four are covered from the other side), an equi-join on the cell
-   key with bounded keys (shuffled hash join, partition count sized from
-   the point count), then a distributed top-1 ordered by
-   ``d2, x1, y1, x2, y2``.
+3. Points within distance ``g`` of each other lie in the same or adjacent cells
+   of any side of ``g`` or more.  Cells ``WIDE`` times as wide are used: a point
+   goes to its own cell, and only if it lies within ``g`` of the cell's right,
+   upper or upper left border also to the neighbours there, so about 1.3 rows a
+   point are exchanged.  Sorted by cell and x, each partition streams through in
+   batches: a point meets those that follow it in its cell within ``g`` on x (a
+   cell of side ``g`` holds few, so these are few), and every task keeps its best
+   pair.  A distributed top-1 ordered by ``d2, x1, y1, x2, y2`` picks the answer.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import point_lt, squared_distance
+from quadrille.functions.geometry import squared_distance
 from quadrille.operators.hull import finite_points
 from quadrille.plans.session import materialize_with_stats, shuffle_partitions_for
 
 K_MAX = 64
 SLACK = 1.0 + 1e-9
-HALF_NEIGHBOURS = ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+WIDE = 16.0  # side of the cells in which pairs are formed, in bounds
 PAIR_COLS = ("x1", "y1", "x2", "y2", "d2", "dist")
 ROW_BYTES = 48  # x, y, cell key and row overhead on the build side
 
@@ -106,6 +110,58 @@ def distance_bound(pts: DataFrame, stats) -> float:
     return g
 
 
+def with_border_copies(pts: DataFrame, bound: float, max_abs: float) -> DataFrame:
+    """``x, y, _cx, _cy``: every point in its wide cell, and near the right, upper
+    or upper left border in the neighbours behind it too.
+
+    Two points within ``bound`` then share a cell: of two cells next to each other
+    the later one (by row, then column) holds copies of the earlier one's border.
+    """
+    side = bound * WIDE
+    near = bound + 4.0 * max_abs * 2.0 ** -52  # rounding of a border's place
+    own = _cells(pts, side)
+    right = F.col("x") >= (F.col("_cx") + 1) * F.lit(side) - F.lit(near)
+    left = F.col("x") <= F.col("_cx") * F.lit(side) + F.lit(near)
+    up = F.col("y") >= (F.col("_cy") + 1) * F.lit(side) - F.lit(near)
+    steps = [(F.lit(True), 0, 0), (right, 1, 0), (up, 0, 1), (up & right, 1, 1), (up & left, -1, 1)]
+    to = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for c, i, j in steps]))
+    out = own.select("x", "y", "_cx", "_cy", F.explode(to).alias("to"))
+    return out.select("x", "y", (F.col("_cx") + F.col("to.i")).alias("_cx"), (F.col("_cy") + F.col("to.j")).alias("_cy"))
+
+
+def nearest_in_cells(bound: float):
+    """Over rows sorted by cell and x: the best pair that shares a cell, if any."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        held = [np.zeros(0) for _ in range(2)] + [np.zeros(0, np.int64) for _ in range(2)]
+        for batch in batches:
+            x, y, cx, cy = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("x", "y", "_cx", "_cy")))
+            step, at = 1, np.arange(len(x))
+            while True:  # pairs ``step`` rows apart, of the rows that still have one in reach
+                at = at[at + step < len(x)]
+                to = at + step
+                reach = (cx[at] == cx[to]) & (cy[at] == cy[to]) & (x[to] - x[at] <= bound)
+                at, to = at[reach], to[reach]
+                if not len(at):
+                    break
+                dx, dy = x[at] - x[to], y[at] - y[to]
+                d2 = dx * dx + dy * dy
+                least = d2.min()
+                if best is None or least <= best[0]:
+                    for i in np.flatnonzero(d2 == least).tolist():
+                        p, q = sorted([(x[at[i]], y[at[i]]), (x[to[i]], y[to[i]])])
+                        best = min(best or (np.inf,), (least, *p, *q))
+                step += 1
+            if len(x):
+                kept = (cx == cx[-1]) & (cy == cy[-1]) & (x >= x[-1] - bound)
+                held = [v[kept] for v in (x, y, cx, cy)]
+        if best is not None:
+            yield pa.RecordBatch.from_pydict({n: [float(v)] for n, v in zip(("x1", "y1", "x2", "y2", "d2"), (*best[1:], best[0]))})
+
+    return look
+
+
 def closest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One row ``(x1, y1, x2, y2, d2, dist)``: the nearest two distinct points.
 
@@ -118,28 +174,11 @@ def closest_pair(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         F.min("y").alias("y0"), F.max("y").alias("y1"))
     if st["n"] < 2:
         return _empty(pts)
-    size = distance_bound(pts, st) * SLACK
-    # Both sides hash-partitioned on the cell key into enough partitions
-    # that each build partition stays near TARGET_BYTES at any scale; cell
-    # keys hold <= ~K_MAX points, so a hash join is safe and skips sorting.
+    bound = distance_bound(pts, st) * SLACK
+    # enough partitions that each stays near TARGET_BYTES at any scale
     parts = shuffle_partitions_for(pts.sparkSession, int(st["n"]) * ROW_BYTES)
-    cells = _cells(pts, size)
-    base = cells.repartition(parts, "_cx", "_cy").hint("shuffle_hash")
-    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                              for dx, dy in HALF_NEIGHBOURS])).alias("o")
-    probe = (cells.select(F.col("x").alias("px"), F.col("y").alias("py"), "_cx", "_cy", off)
-                 .select("px", "py", (F.col("_cx") + F.col("o.dx")).alias("_kx"),
-                         (F.col("_cy") + F.col("o.dy")).alias("_ky"),
-                         ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("_same"))
-                 .repartition(parts, "_kx", "_ky"))
-    j = base.join(probe, (base["_cx"] == probe["_kx"]) & (base["_cy"] == probe["_ky"]))
-    j = j.where(~F.col("_same") | point_lt(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-    first = point_lt(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    pairs = j.select(
-        F.when(first, F.col("x")).otherwise(F.col("px")).alias("x1"),
-        F.when(first, F.col("y")).otherwise(F.col("py")).alias("y1"),
-        F.when(first, F.col("px")).otherwise(F.col("x")).alias("x2"),
-        F.when(first, F.col("py")).otherwise(F.col("y")).alias("y2"))
-    pairs = pairs.withColumn("d2", squared_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    cells = with_border_copies(pts, bound, max(abs(st[c]) for c in ("x0", "x1", "y0", "y1")))
+    cells = cells.repartition(parts, "_cx", "_cy").sortWithinPartitions("_cx", "_cy", "x")
+    pairs = cells.mapInArrow(nearest_in_cells(bound), "x1 double, y1 double, x2 double, y2 double, d2 double")
     top = pairs.orderBy("d2", "x1", "y1", "x2", "y2").limit(1)
     return top.withColumn("dist", F.sqrt("d2")).select(*PAIR_COLS)
