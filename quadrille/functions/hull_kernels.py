@@ -19,43 +19,57 @@ except Exception:  # pragma: no cover
     pass
 
 
+ROUNDS = 64  # vectorised passes before the rest is left to the stack
+
+
+def _turns_left(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each point but the ends: whether the path turns left there."""
+    return (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]) - (y[1:-1] - y[:-2]) * (x[2:] - x[:-2]) > 0
+
+
+def _lower_chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strict lower chain of distinct points sorted along it.
+
+    A point that does not lie strictly below the segment between its neighbours
+    is no vertex, whatever becomes of these, so all such points go at once; a
+    path that turns left everywhere is the chain.  What is left after ``ROUNDS``
+    passes (an unusual shape) goes through a stack.
+    """
+    for _ in range(ROUNDS):
+        if len(x) < 3:
+            return x, y
+        kept = np.ones(len(x), bool)
+        kept[1:-1] = _turns_left(x, y)
+        if kept.all():
+            return x, y
+        x, y = x[kept], y[kept]
+    hx, hy = [], []
+    for px, py in zip(x.tolist(), y.tolist()):
+        while len(hx) >= 2 and (hx[-1] - hx[-2]) * (py - hy[-2]) - (hy[-1] - hy[-2]) * (px - hx[-2]) <= 0:
+            hx.pop()
+            hy.pop()
+        hx.append(px)
+        hy.append(py)
+    return np.asarray(hx), np.asarray(hy)
+
+
 def monotone_chain(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strict convex hull, counter-clockwise, open, starting at min (x, y).
 
-    Andrew's monotone chain; ``cross <= 0`` pops, so duplicate and
-    collinear points are dropped.  One distinct point gives that point, two
-    give both.
+    Duplicate and collinear points are dropped.  One distinct point gives that
+    point, two give both.
     """
     if len(xs) == 0:
         return xs[:0], ys[:0]
-    pts = np.unique(np.stack([xs, ys], axis=1), axis=0)  # sorted by x, then y
-    n = len(pts)
-    if n <= 2:
-        return pts[:, 0].copy(), pts[:, 1].copy()
-    px = pts[:, 0].tolist()
-    py = pts[:, 1].tolist()
-    hx: list[float] = []
-    hy: list[float] = []
-
-    def build(order, lo):
-        for i in order:
-            x, y = px[i], py[i]
-            while len(hx) >= lo + 2:
-                ox, oy, ax, ay = hx[-2], hy[-2], hx[-1], hy[-1]
-                if (ax - ox) * (y - oy) - (ay - oy) * (x - ox) <= 0:
-                    hx.pop()
-                    hy.pop()
-                else:
-                    break
-            hx.append(x)
-            hy.append(y)
-
-    build(range(n), 0)
-    lower = len(hx)
-    build(range(n - 2, -1, -1), lower - 1)
-    hx.pop()
-    hy.pop()
-    return np.asarray(hx), np.asarray(hy)
+    order = np.lexsort((ys, xs))
+    x, y = np.asarray(xs, float)[order], np.asarray(ys, float)[order]
+    fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    x, y = x[fresh], y[fresh]
+    if len(x) <= 2:
+        return x, y
+    lx, ly = _lower_chain(x, y)
+    ux, uy = _lower_chain(x[::-1], y[::-1])
+    return np.concatenate([lx[:-1], ux[:-1]]), np.concatenate([ly[:-1], uy[:-1]])
 
 
 def _d2(ax, ay, bx, by):

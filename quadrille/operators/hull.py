@@ -335,8 +335,8 @@ class CapHull:
                         continue
                     lo, hi = new_vertices.get(i, {}).get(pt, (angles[i][j], angles[i][j]))
                     new_vertices.setdefault(i, {})[pt] = (min(lo, angles[i][j]), max(hi, angles[i][j]))
-            if not new_vertices:
-                break
+            if not new_vertices:  # the farthest point of a cap beyond its edge is one
+                raise ArithmeticError(f"caps {big} hold over {self.cap_limit} points and no point beyond their edges")
             new_poly, new_rng, first_id, bounds = [], [], [], []
             for i in range(m):
                 first_id.append(len(new_poly))

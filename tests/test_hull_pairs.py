@@ -252,3 +252,40 @@ def test_closest_pair_hot_cluster_vs_sorted_sweep(spark):
         k += 1
     assert row[4] == best
     assert len(seen) <= 6 and seen[-1] <= 64  # a few rounds; cells end small
+
+
+def _stack_chain(points):
+    pts = sorted(set(points))
+    if len(pts) <= 2:
+        return pts
+
+    def half(path):
+        out = []
+        for x, y in path:
+            while len(out) >= 2 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
+                out.pop()
+            out.append((x, y))
+        return out
+
+    return half(pts)[:-1] + half(pts[::-1])[:-1]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 64])
+def test_chain_kernel_against_a_stack(monkeypatch, rounds):
+    import numpy as np
+
+    from quadrille.functions import hull_kernels as K
+    monkeypatch.setattr(K, "ROUNDS", rounds)
+    rng = random.Random(7)
+    for k in range(600):
+        side = rng.randint(1, 12)
+        points = [(float(rng.randint(0, side)), float(rng.randint(0, side))) if k % 3 else (rng.random(), rng.random()) for _ in range(rng.randint(1, 60))]
+        hx, hy = K.monotone_chain(*(np.array(c) for c in zip(*points)))
+        assert list(zip(hx.tolist(), hy.tolist())) == _stack_chain(points)
+
+
+def test_closest_pair_copies_only_points_near_borders(spark):
+    from quadrille.operators.closest_pair import with_border_copies
+    rng = random.Random(9)
+    pts = spark.createDataFrame([(rng.random(), rng.random()) for _ in range(5000)], "x double, y double")
+    assert with_border_copies(pts, 0.002, 1.0).count() < 1.5 * 5000
