@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import text_or_empty, texts_of, write_table
-from quadrille.llm.textkit import gram_hashes, releasing, slices, spaces_table, words_of
+from quadrille.llm.textkit import Words, gram_hashes, releasing, slices, spaces_table, words_of
 
 NGRAM = 3
 MIN_SCORE = 0.5
@@ -59,7 +59,15 @@ class Items:
         self.grams, self.start = np.unique(grams[order], return_index=True)
         self.start = np.append(self.start, len(grams))
         self.item, self.place = item[order], (at - words.row_first[item])[order]
-        self.short = {i: w for i, w in enumerate(self.words) if 0 < len(w) < width}
+        # items too short for an n-gram, by their number of words: hash of the whole sequence
+        self.short = {}
+        for n in range(1, width):
+            whole = np.flatnonzero(np.diff(self.first) == n)
+            if len(whole):
+                grams_n, at_n, _ = gram_hashes(words, n, whole_if_short=False)
+                own = grams_n[np.searchsorted(at_n, self.first[whole])]
+                by_hash = np.argsort(own, kind="stable")
+                self.short[n] = own[by_hash], whole[by_hash], self.bits(own)
         # matches bring at most MATCH * length, of which words that the item lacks may use up what is over the least score
         lengths = np.diff(self.first)
         self.slack = np.ceil(MATCH * lengths * (1 - max(0.0, min_score)) / -GAP).astype(np.int64)
@@ -69,8 +77,27 @@ class Items:
         some = len(self.grams) > 0
         self.before = np.maximum.reduceat(before, self.start[:-1]) if some else before
         self.after = np.maximum.reduceat(after, self.start[:-1]) if some else after
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.filter = self.bits(self.grams)
+
+    @staticmethod
+    def bits(hashes: np.ndarray) -> np.ndarray:
+        """Which low bits occur: a first sieve for look-ups."""
+        out = np.zeros(1 << 20, bool)
+        out[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return out
+
+    def find_short(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First words where short items occur whole, and -1 - the item, a row each."""
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (hashes, whole, sieve) in self.short.items():
+            grams, at, _ = gram_hashes(words, n, whole_if_short=False)
+            maybe = np.flatnonzero(sieve[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            low = np.searchsorted(hashes, grams[maybe], side="left")
+            times = np.searchsorted(hashes, grams[maybe], side="right") - low
+            each = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+            places.append(np.repeat(at[maybe], times))
+            items.append(-1 - whole[each])
+        return np.concatenate(places), np.concatenate(items)
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``grams`` of the block's n-grams, and their numbers."""
@@ -173,15 +200,8 @@ def shared_regions(docs: DataFrame, items, id_col: str, text_col: str) -> DataFr
                 grams, at, first = gram_hashes(words, block.width, whole_if_short=False)
                 hit, number = block.find(grams)
                 places = at[hit]
-                for i, w in block.short.items():  # items too short for an n-gram: their whole word sequence
-                    n = len(words.hashes) - len(w) + 1
-                    same = np.ones(max(n, 0), bool)
-                    for j, h in enumerate(w):
-                        same &= words.hashes[j:j + len(same)] == h
-                    found = np.flatnonzero(same)
-                    row = np.searchsorted(words.row_first, found, side="right") - 1
-                    found = found[found + len(w) <= words.row_first[row + 1]]
-                    places, number = np.concatenate([places, found]), np.concatenate([number, np.full(len(found), -1 - i)])
+                found, item = block.find_short(words)
+                places, number = np.concatenate([places, found]), np.concatenate([number, item])
                 if not len(places):
                     continue
                 row = np.searchsorted(words.row_first, places, side="right") - 1
@@ -270,7 +290,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         regions = write_table(shared_regions(docs, shared, id_col, text_col), "regions")
         found = aligned(regions, shared, min_score)
         names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item long, item_id {dict(benchmark.dtypes)[item_col]}")
-        parts.append(found.join(F.broadcast(names), "item"))  # one row per item of a block
+        parts.append(write_table(found.join(F.broadcast(names), "item"), "leaks"))  # one row per item of a block
+        shared.destroy()  # so the executors hold one block at a time
     if not parts:
         kinds = f"{dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}"
         return spark.createDataFrame([], f"doc_id {kinds}, score double, start_word long, end_word long")

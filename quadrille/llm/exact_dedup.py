@@ -28,6 +28,7 @@ from quadrille.llm.common import SPACES, text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import releasing
 
 PRIMES = (2147483647, 2147483629)  # the two largest primes below 2**31
+SENT = 1_000_000  # rows of four numbers that may be broadcast (about 100 MB as a hash table)
 BASES = (1103515245, 1566083941)
 PART = 1 << 16  # bytes hashed as one part
 CHUNK = 1 << 14  # bytes compared at a time
@@ -118,11 +119,18 @@ def collided(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, chu
     key = ["f1", "f2", "n_bytes"]
     several = write_table(prints.groupBy(*key).count().where("count > 1").drop("count"), "fingerprint_groups")
     p, s = prints.alias("p"), several.alias("s")
-    members = p.join(s, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in key], "left_semi").select(
-        F.col("doc_id").alias("m_id"), F.col("text_sha256").alias("m_sha"), *key).distinct()
+
+    def mark(own: str, sha: str):
+        return F.xxhash64(F.col(own).isNull(), own, sha)
+
+    # a mark met by chance only adds a text to a comparison that then fails and falls back to SHA-256
+    members = p.join(s, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in key], "left_semi")
+    members = write_table(members.select(mark("doc_id", "text_sha256").alias("m"), *key).distinct(), "fingerprint_members")
+    if members.count() <= SENT:  # else texts and marks are exchanged
+        members = F.broadcast(members)
     norm = F.regexp_replace(text_or_empty(text_col), SPACES, " ").cast("binary")
     texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    both = texts.join(members, texts["doc_id"].eqNullSafe(members["m_id"]) & (texts["sha"] == members["m_sha"]))
+    both = texts.select("norm", mark("doc_id", "sha").alias("mark")).join(members, F.col("mark") == F.col("m"))
     last = F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / chunk)
     pieces = both.select(*key, "norm", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).select(
         *key, "i", F.expr(f"substring(norm, int(i * {chunk} + 1), {chunk})").alias("piece"))

@@ -30,6 +30,7 @@ from quadrille.plans.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
+REPEAT = 1000  # times a task repeats a row at a stretch
 ROWS = 128  # documents lined up together
 CLASSES = 32  # size classes per doubling of the size
 TOLERANCE, STEPS = 1e-12, 100
@@ -40,10 +41,10 @@ def level_key(column: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("null"))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the whole text)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark_col: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of the whole text), and row_mark if asked."""
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size, *([F.col(mark_col).alias("row_mark")] if mark_col else []))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -138,16 +139,20 @@ def round_copies(rated: DataFrame, cap: float = CAP) -> DataFrame:
     line = Window.partitionBy("level", "klass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rated.groupBy("level", "klass", "bucket").agg(F.count("*").alias("own"))
     buckets = write_table(buckets.select("level", "klass", "bucket", F.coalesce(F.sum("own").over(line), F.lit(0)).alias("before")), "buckets")
-    within = Window.partitionBy("level", "klass", "bucket").orderBy("mark", "doc_id", "size")
+    within = Window.partitionBy("level", "klass", "bucket").orderBy("mark", "doc_id", "size", *(["row_mark"] if "row_mark" in rated.columns else []))
     rated = rated.join(buckets, ["level", "klass", "bucket"]).withColumn("k", F.col("before") + F.row_number().over(within))
     more = F.floor(F.col("k") * F.col("extra") / F.col("n")) - F.floor((F.col("k") - 1) * F.col("extra") / F.col("n"))
     return rated.withColumn("copies", F.least(F.floor("rate") + more, F.lit(int(cap))).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, rate."""
-    sizes = write_table(sized(docs, id_col, text_col, source_col), "sizes")
+        weights=WEIGHTS, share: float = SHARE, cap: float = CAP, mark_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, rate.
+
+    ``mark_col``, if given, is a column that knows rows apart whose ids are alike; it is
+    returned as ``row_mark``.
+    """
+    sizes = write_table(sized(docs, id_col, text_col, source_col, mark_col), "sizes")
     targets = write_table(source_targets(sizes, weights, share, cap), "targets")
     cells = write_table(sizes.groupBy(level_key("source").alias("level")).agg(F.sum("size").alias("words")), "cells")
     lam = newton_multipliers(cells, {"level": targets})["level"]
@@ -155,19 +160,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "level", "source_size", "target", F.least(F.coalesce(F.exp("lam"), F.lit(0.0)), F.lit(float(cap))).alias("rate")), "rates")
     rated = sizes.withColumn("level", level_key("source")).join(per_source, "level")
     return round_copies(rated, cap).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate",
+        *(["row_mark"] if mark_col else []))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as it has copies.
 
-    Rows are matched by id and size; of rows that repeat both, each is taken
-    as often as the one of them with the most copies.
+    Rows are known by a 128-bit hash of all their columns, whatever their ids.  Rows
+    alike in all columns are one row that is taken as often as all of them together.
     """
-    text_col, names = how.get("text_col", "text"), docs.columns
-    mixed = mix(docs, id_col, **how).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    mixed = mixed.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.expr("sequence(1, int(copies))").alias("mix_copies"))
-    here = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"),
-                       F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("row_size"))
-    joined = here.join(mixed, here["row_id"].eqNullSafe(mixed["mix_id"]) & (here["row_size"] == mixed["mix_size"]))
-    return joined.select("row", F.explode("mix_copies")).select(*[F.col(f"row.`{n}`").alias(n) for n in names])
+    names, mark = docs.columns, "mix_mark"
+    while mark in names:
+        mark += "_"
+    unset = F.array(*[F.col(f"`{n}`").isNull() for n in names])
+    own = [F.hex(F.xxhash64(F.lit(seed), unset, *[F.col(f"`{n}`") for n in names])) for seed in (0, 1)]
+    marked = docs.withColumn(mark, F.concat(*own))
+    mixed = mix(marked, id_col, mark_col=mark, **how).groupBy("row_mark").agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
+    rows = marked.select(F.col(mark).alias("of"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).dropDuplicates(["of"])
+    rows = rows.join(mixed, F.col("of") == F.col("row_mark")).select("row", "mix_copies")
+    some = rows.where(F.col("mix_copies") <= REPEAT)
+    many = rows.where(F.col("mix_copies") > REPEAT)  # in chunks, dealt out
+    many = many.select("row", "mix_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_copies") - 1) / REPEAT))).alias("chunk"))
+    many = many.select("row", F.least(F.lit(REPEAT).cast("long"), F.col("mix_copies") - F.col("chunk") * REPEAT).alias("mix_copies"), "chunk").repartition("chunk").drop("chunk")
+    out = some.unionByName(many).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return out.select(*[F.col(f"row.`{n}`").alias(n) for n in names])

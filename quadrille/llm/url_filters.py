@@ -59,7 +59,9 @@ def url_tokens(url: str = "url") -> Column:
         return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(F.lit(kind + ":"), F.regexp_replace(p, "[0-9]+", "#")))
 
     names = F.transform(F.split(rest, "&"), lambda p: F.substring_index(p, "=", 1))
-    words = F.concat(tagged("host", F.split(F.col("host"), r"\.")), tagged("hostword", F.split(F.col("host"), r"[.\-_]")),
+    # words of a host label only where they are not the label itself: such twins always occur together
+    joined = F.filter(F.split(F.col("host"), r"\."), lambda p: p.rlike("[-_]"))
+    words = F.concat(tagged("host", F.split(F.col("host"), r"\.")), tagged("hostword", F.flatten(F.transform(joined, lambda p: F.split(p, "[-_]")))),
                      tagged("path", F.split(F.col("path"), "/")), tagged("query", names))
     return F.array_distinct(F.when(F.col("host") != "", words).otherwise(F.array().cast("array<string>")))
 

@@ -152,3 +152,19 @@ def test_components_match_union_find(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert {(r["node"], r["root"]) for r in got} == {(x, top(x)) for x in linked} and len(got) == len(linked)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_mixed_rows_of_null_and_shared_ids_meet_targets(spark, documents):
+    """Rows are known by all their columns: 1,000 rows of one size with null ids, or of one id."""
+    rows = [(None if s == "a" else 7 if s == "b" else i, f"w{i} " + "x " * 9, s) for s in "abc" for i in range(1000)]
+    docs = documents(rows)
+    want = {r["level"]: r["target"] for r in mx.source_targets(mx.sized(docs, "doc_id", "text", "source"), mx.WEIGHTS, mx.SHARE, mx.CAP).collect()}
+    got = {r["source"]: r["n"] * 10 for r in mx.apply_mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    assert all(abs(a - b) <= 30 for a, b in zip(sorted(got.values()), sorted(want.values())))
+
+
+def test_rows_alike_are_repeated_together(spark, documents):
+    docs = documents([(1, "one two three", "a")] * 2500 + [(2, "four five six", "b")])
+    taken = mx.mix(docs).agg(F.sum("copies")).first()[0]
+    assert mx.apply_mix(docs).count() == taken
