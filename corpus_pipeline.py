@@ -9,7 +9,8 @@ and returns a DataFrame; all but the last return the columns of documents.
 * near_duplicates: of each component of the 5-word Jaccard join the document
   with the smallest id stays.
 * decontamination: documents that hold a passage of a benchmark item go.
-* mixing: every row appears as often as the mix takes it (0, 1 or 2 times).
+* mixing: every row appears as often as the mix takes it (0, 1 or 2 times); rows are
+  known by a 128-bit hash of all columns, so null and shared ids do no harm.
 * tokens: the mixed corpus as token files, described per document.
 
 Decisions hold for rows of an id and a text: the three stages that reject rows
@@ -18,7 +19,8 @@ judged like others and rows that share an id apart.  Of near copies the smallest
 id stays (null last, then the smallest mark), and of rows with the same id and
 text (of one word at least) one.
 
-Null texts, empty tables and extra columns fare as the operators say.
+Null texts and empty tables fare as the operators say; columns beyond those of
+documents are left out.
 """
 
 from __future__ import annotations
