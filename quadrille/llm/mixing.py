@@ -177,11 +177,15 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     own = [F.hex(F.xxhash64(F.lit(seed), unset, *[F.col(f"`{n}`") for n in names])) for seed in (0, 1)]
     marked = docs.withColumn(mark, F.concat(*own))
     mixed = mix(marked, id_col, mark_col=mark, **how).groupBy("row_mark").agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
+    mixed = write_table(mixed, "mix_copies")
     rows = marked.select(F.col(mark).alias("of"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).dropDuplicates(["of"])
     rows = rows.join(mixed, F.col("of") == F.col("row_mark")).select("row", "mix_copies")
-    some = rows.where(F.col("mix_copies") <= REPEAT)
-    many = rows.where(F.col("mix_copies") > REPEAT)  # in chunks, dealt out
-    many = many.select("row", "mix_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_copies") - 1) / REPEAT))).alias("chunk"))
-    many = many.select("row", F.least(F.lit(REPEAT).cast("long"), F.col("mix_copies") - F.col("chunk") * REPEAT).alias("mix_copies"), "chunk").repartition("chunk").drop("chunk")
-    out = some.unionByName(many).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    some = rows
+    if mixed.where(F.col("mix_copies") > REPEAT).limit(1).count():
+        some = rows.where(F.col("mix_copies") <= REPEAT)
+        many = rows.where(F.col("mix_copies") > REPEAT)  # in chunks, dealt out
+        many = many.select("row", "mix_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_copies") - 1) / REPEAT))).alias("chunk"))
+        many = many.select("row", F.least(F.lit(REPEAT).cast("long"), F.col("mix_copies") - F.col("chunk") * REPEAT).alias("mix_copies"), "chunk").repartition("chunk").drop("chunk")
+        some = some.unionByName(many)
+    out = some.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return out.select(*[F.col(f"row.`{n}`").alias(n) for n in names])
