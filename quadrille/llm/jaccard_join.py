@@ -12,8 +12,9 @@ share tokens among their first ones under every global order of tokens, so:
    nothing; a set with less than 75 % of other tokens is out.  Order A puts rare
    tokens first, orders B and C are two more permutations.
 3. Under order A every token of a prefix names a pivot, the member with the
-   fewest private tokens.  Each set is compared with its best pivot, which joins
-   most of a large group in a linear number of comparisons.
+   fewest private tokens.  Each set is compared with its best pivot, if the two
+   share prefix tokens under B and C as well, which joins most of a large group
+   in a linear number of comparisons.
 4. What is left are pairs in different components.  Sets are dealt into tiles of
    about ``TILE`` by the component they lean to, and tiles that share a prefix
    token between different components (and pass the length and position bounds)
@@ -233,21 +234,26 @@ def similar(na: int, nb: int, overlap: int, percent: int) -> bool:
 
 
 def verified_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``stars`` that link."""
-    one = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) of ``stars`` that share prefix tokens under B and C as well
+    (their pivot's token is one under A), and link."""
+    names = ["n", "tokens", "B", "C"]
+    one = sets.select(F.col("sig").alias("a"), *[F.col(n).alias(f"{n}_a") for n in names])
+    two = sets.select(F.col("sig").alias("b"), *[F.col(n).alias(f"{n}_b") for n in names])
     pairs = write_table(stars.join(one, "a"), "star_sets").join(two, "b")
 
+    def common(x: bytes, y: bytes) -> int:
+        return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
     @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for na, ta, nb, tb in zip(*[batch.column(c).to_pylist() for c in ("na", "ta", "nb", "tb")]):
-                both = np.intersect1d(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), assume_unique=True)
-                ok.append(similar(na, nb, len(both), percent))
+            for na, ta, ba, ca, nb, tb, bb, cb in zip(*[batch.column(f"{n}_{side}").to_pylist() for side in "ab" for n in names]):
+                maybe = 100 * min(na, nb) >= percent * max(na, nb) and common(ba, bb) and common(ca, cb)
+                ok.append(bool(maybe) and similar(na, nb, common(ta, tb), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(look, "a long, b long")
+    return pairs.select("a", "b", *[f"{n}_{side}" for side in "ab" for n in names]).mapInArrow(look, "a long, b long")
 
 
 def incidence(sets: list[np.ndarray]) -> np.ndarray:
