@@ -42,7 +42,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(read(spark, sf_dir, "documents")).drop("mark")
+    return repeated_units(read(spark, sf_dir, "documents"), units="passages").drop("mark")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,22 +143,38 @@ JACCARD_SQL = r"""
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
   FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
-#: Lines, then their sentences, with offsets by running sums of lengths.
-UNITS_SQL = r"""
+#: Sentences of lines, with offsets by running sums of lengths and the number of the paragraph.
+SENTENCES_SQL = r"""
   WITH l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
   l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM l0),
-  p0 AS (SELECT doc_id, ln, string_split(line, '. ') AS ps,
+  p0 AS (SELECT doc_id, ln, string_split(line, '. ') AS ps, sum(regexp_full_match(line, '\s*')::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS paragraph,
            coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here FROM l),
-  p AS (SELECT doc_id, ln, here, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM p0),
-  u AS (SELECT doc_id, piece, CAST(here + coalesce(sum(length(piece) + 2) OVER (
+  p AS (SELECT doc_id, ln, paragraph, here, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM p0),
+  u AS (SELECT doc_id, paragraph, piece, CAST(here + coalesce(sum(length(piece) + 2) OVER (
            PARTITION BY doc_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
-  n AS (SELECT doc_id, start, start + length(piece) AS "end",
+  n AS (SELECT doc_id, paragraph, start, start + length(piece) AS "end",
            trim(regexp_replace(regexp_replace(lower(piece), '\.$', ''), '\s+', ' ', 'g')) AS norm FROM u),
-  w AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n),
+  w AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n)"""
+
+#: Sentences of at least 8 words (``units="sentences"``).
+UNITS_SQL = SENTENCES_SQL + """,
   k AS (SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_doc_id,
            row_number() OVER (PARTITION BY doc_id, norm ORDER BY start) AS nth FROM w WHERE words >= 8)
   SELECT doc_id, start, "end", words, keep_doc_id FROM k WHERE nth > 1 OR doc_id <> keep_doc_id"""
 
+#: Shortest runs of sentences that hold 8 words from or up to each, and whole paragraphs of as many.
+PASSAGES_SQL = SENTENCES_SQL + """,
+  s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i, sum(words) OVER (PARTITION BY doc_id ORDER BY start) AS upto
+        FROM w WHERE norm <> ''),
+  runs AS (SELECT a.doc_id, a.i, b.i AS j FROM (SELECT *, unnest(range(8)) AS more FROM s) a JOIN s b ON b.doc_id = a.doc_id AND b.i = a.i + a.more
+           WHERE b.upto - a.upto + a.words >= 8 AND (b.upto - b.words - a.upto + a.words < 8 OR b.upto - a.upto < 8)
+           UNION SELECT doc_id, min(i), max(i) FROM s GROUP BY doc_id, paragraph HAVING sum(words) >= 8),
+  k AS (SELECT r.doc_id, min(s.start) AS start, max(s."end") AS "end", sum(s.words)::BIGINT AS words, string_agg(s.norm, ' ' ORDER BY s.i) AS norm
+        FROM (SELECT *, unnest(range(i, j + 1)) AS at FROM runs) r JOIN s ON s.doc_id = r.doc_id AND s.i = r.at GROUP BY r.doc_id, r.i, r.j),
+  f AS (SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_doc_id,
+           first_value("end") OVER (PARTITION BY doc_id, norm ORDER BY start) AS first_end FROM k)
+  SELECT doc_id, start, "end", words, keep_doc_id FROM f WHERE start >= first_end OR doc_id <> keep_doc_id"""
+
 #: CRC-32 of the decimal conv_id, bit by bit.
 CRC_SQL = """xor(4294967295, list_reduce(
   list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
@@ -183,7 +199,7 @@ TRIE_SQL = f"""
   FROM g JOIN under ON under.top = g.k LEFT JOIN g o ON o.k = g.up AND o.d = g.d - 1 LEFT JOIN kids ON kids.up = g.k"""
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_substring_dedup": UNITS_SQL,
+    "op4_substring_dedup": PASSAGES_SQL,
     "op5_jaccard_join": JACCARD_SQL,
     "op8_exact_dedup": f"""
   WITH n AS (SELECT doc_id, {NORMAL} AS t FROM documents),

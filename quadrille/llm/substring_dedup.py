@@ -12,7 +12,7 @@ With ``units="passages"`` the least number of words holds for passages instead:
 runs of consecutive sentences, over line ends as well, that just reach it to
 either side of each sentence, and whole paragraphs (between blank lines).  A
 repeated line, paragraph or passage of whole sentences then goes with all its
-short sentences.  The default is what the query's SQL states.
+short sentences.  This is what the registered query does; SQL states both.
 
 Digests meet in an aggregate with a map-side half, and the join back is of two
 exchanged sides, so that Spark can split a digest that a third of the rows share.
