@@ -4,7 +4,8 @@ Every word of a source is equally likely before mixing.  The tilt that meets
 the token constraints and stays closest to that (in relative entropy) gives a
 document the rate ``exp(sum of its constraint multipliers)``; the multipliers
 solve a convex dual, found by Newton steps on aggregated cells (one row per
-combination of constraint levels).  Rates become whole copies by systematic
+combination of constraint levels); several constraints are solved jointly, with
+the cross terms of their Hessian.  Rates become whole copies by systematic
 rounding within classes of similar size, each class making up for what the
 classes of larger documents missed, so that the words taken from a source miss
 its target by about one small document.
@@ -22,7 +23,8 @@ of rows is the same on every run.  Extra columns are ignored (the operator
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import WORD, text_or_empty, write_table
@@ -34,17 +36,22 @@ REPEAT = 1000  # times a task repeats a row at a stretch
 ROWS = 128  # documents lined up together
 CLASSES = 32  # size classes per doubling of the size
 TOLERANCE, STEPS = 1e-12, 100
+LEVELS = 500  # levels of coupled constraints that are solved together
 
 
-def level_key(column: str):
+def level_key(column: str | Column):
     """A level as a string that is never null."""
-    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("null"))
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(F.concat(F.lit("s"), column.cast("string")), F.lit("null"))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark_col: str | None = None) -> DataFrame:
-    """doc_id, source, size (words of the whole text), and row_mark if asked."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark_col: str | None = None,
+          also: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, size (words of the whole text), and row_mark and levels ``by_*`` if asked."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size, *([F.col(mark_col).alias("row_mark")] if mark_col else []))
+    more = [F.col(mark_col).alias("row_mark")] if mark_col else []
+    more += [level_key(column).alias(f"by_{name}") for name, column in (also or {}).items()]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size, *more)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -74,10 +81,13 @@ def newton_multipliers(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[
     """Multipliers of the dual, per constraint a table (level, lam).
 
     ``cells`` has one column per constraint (its level), and ``words``.  A
-    constraint's own block of the Hessian is diagonal (levels do not overlap);
-    several constraints take turns.  A level without words or with target 0 has
-    a null multiplier: its rate is 0.
+    constraint's own block of the Hessian is diagonal (levels do not overlap), so
+    one constraint may have any number of levels.  Several constraints are solved
+    together by :func:`joint_newton`; over LEVELS levels in all, they take turns.
+    A level without words or with target 0 has a null multiplier: its rate is 0.
     """
+    if len(targets) > 1 and sum(t.count() for t in targets.values()) <= LEVELS:
+        return joint_newton(cells, targets)
     lam = {c: materialize(t.select("level", "target", F.when(F.col("target") > 0, F.lit(0.0)).alias("lam")))
            for c, t in targets.items()}
     for _ in range(STEPS):
@@ -101,6 +111,64 @@ def newton_multipliers(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[
     return {c: t.select("level", "lam") for c, t in lam.items()}
 
 
+def joint_newton(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Multipliers of coupled constraints by Newton steps on all of them at once.
+
+    Spark tilts the cells and adds up their words per pair of levels, which is the
+    Hessian of the dual (its diagonal less the targets is the gradient); the driver
+    gets at most LEVELS^2 sums and solves for the step, which is halved until the
+    dual falls enough.  Multipliers are fixed up to shifts between constraints that
+    leave all rates alone; the smallest step is taken.  Targets that cannot hold
+    together end at the step where the dual stops falling.
+    """
+    spark, goal, numbered = cells.sparkSession, [], {}
+    for c, table in targets.items():
+        levels = [tuple(r) for r in table.where("target > 0").select("level", "target").collect()]  # at most LEVELS rows
+        numbered[c] = {level: len(goal) + i for i, (level, _) in enumerate(levels)}
+        goal += [float(t) for _, t in levels]
+    goal, sides = np.array(goal), list(targets)
+    pairs = F.explode(F.array(*[F.struct(F.col(f"at_{c}").alias("i"), F.col(f"at_{d}").alias("j")) for n, c in enumerate(sides) for d in sides[n:]]))
+
+    def tilted(lam: np.ndarray) -> tuple[float, np.ndarray]:
+        """The dual and its Hessian at ``lam``."""
+        joined, tilt = cells, F.lit(0.0)
+        for c in sides:  # cells of a level with target 0 hold no words
+            table = spark.createDataFrame([(level, i, float(lam[i])) for level, i in numbered[c].items()], f"`{c}` string, `at_{c}` int, `lam_{c}` double")
+            joined, tilt = joined.join(F.broadcast(table), c), tilt + F.col(f"lam_{c}")
+        sums = joined.select((F.col("words") * F.exp(tilt)).alias("mass"), pairs.alias("at")).groupBy("at.i", "at.j").agg(F.sum("mass").alias("mass"))
+        hessian = np.zeros((len(goal), len(goal)))
+        for i, j, mass in sums.collect():
+            hessian[i, j] = hessian[j, i] = mass
+        own = np.diag(hessian)
+        return own[list(numbered[sides[0]].values())].sum() - (goal * lam)[own > 0].sum(), hessian
+
+    lam = np.zeros(len(goal))
+    dual, hessian = tilted(lam)
+    for _ in range(STEPS):
+        live = np.diag(hessian) > 0
+        slope = np.where(live, np.diag(hessian) - goal, 0.0)
+        if not live.any() or (np.abs(slope) / goal).max() <= TOLERANCE:
+            break
+        scale = np.sqrt(np.where(live, np.diag(hessian), 1.0))
+        step = -np.linalg.lstsq(hessian / np.outer(scale, scale), slope / scale, rcond=1e-10)[0] / scale
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-300))  # stays in reach of exp
+        fall, part = float(slope @ step), 1.0
+        while part > 1e-6:
+            there, matrix = tilted(lam + part * step)
+            if there <= dual + 1e-4 * part * fall + 1e-14 * abs(dual):
+                break
+            part /= 2
+        else:
+            break
+        lam, dual, hessian = lam + part * step, there, matrix
+    live = np.diag(hessian) > 0
+    out = {}
+    for c, table in targets.items():
+        found = spark.createDataFrame([(level, float(lam[i])) for level, i in numbered[c].items() if live[i]], "level string, lam double")
+        out[c] = table.select("level").join(F.broadcast(found), "level", "left")
+    return out
+
+
 def extra_copies(klasses: DataFrame) -> DataFrame:
     """Adds to (level, klass, n, words, part) how many of the n get a copy more.
 
@@ -146,19 +214,32 @@ def round_copies(rated: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share: float = SHARE, cap: float = CAP, mark_col: str | None = None) -> DataFrame:
+        weights=WEIGHTS, share: float = SHARE, cap: float = CAP, mark_col: str | None = None,
+        also: dict[str, tuple[Column, DataFrame]] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, rate.
 
     ``mark_col``, if given, is a column that knows rows apart whose ids are alike; it is
-    returned as ``row_mark``.
+    returned as ``row_mark``.  ``also`` gives further constraints by name: a column over
+    ``docs`` and a table (level, target) of the words to take of each of its values.  Rates
+    then differ within a source, rows without a target are not taken, and rates above
+    ``cap`` are cut to it, so that targets which need more are missed.
     """
-    sizes = write_table(sized(docs, id_col, text_col, source_col, mark_col), "sizes")
+    also = also or {}
+    by = ["level", *[f"by_{name}" for name in also]]
+    sizes = sized(docs, id_col, text_col, source_col, mark_col, {name: column for name, (column, _) in also.items()})
+    sizes = write_table(sizes.withColumn("level", level_key("source")), "sizes")
     targets = write_table(source_targets(sizes, weights, share, cap), "targets")
-    cells = write_table(sizes.groupBy(level_key("source").alias("level")).agg(F.sum("size").alias("words")), "cells")
-    lam = newton_multipliers(cells, {"level": targets})["level"]
-    per_source = write_table(targets.drop("source").join(lam, "level", "left").select(
-        "level", "source_size", "target", F.least(F.coalesce(F.exp("lam"), F.lit(0.0)), F.lit(float(cap))).alias("rate")), "rates")
-    rated = sizes.withColumn("level", level_key("source")).join(per_source, "level")
+    cells = write_table(sizes.groupBy(*by).agg(F.sum("size").alias("words")), "cells")
+    goals = {f"by_{name}": write_table(table.select(level_key("level").alias("level"), F.col("target").cast("double")), "goals") for name, (_, table) in also.items()}
+    lam = newton_multipliers(cells, {"level": targets, **goals})
+    rates = cells.join(targets.select("level", "source_size", "target"), "level")
+    for c in by:
+        rates = rates.join(lam[c].select(F.col("level").alias(c), F.col("lam").alias(f"lam_{c}")), c, "left")
+    tilt = sum((F.col(f"lam_{c}") for c in by), F.lit(0.0))
+    rates = write_table(rates.select(*by, "source_size", "target", F.least(F.coalesce(F.exp(tilt), F.lit(0.0)), F.lit(float(cap))).alias("rate")), "rates")
+    rated = sizes.join(rates, by)
+    if also:  # documents of one rate are rounded together
+        rated = rated.withColumn("level", F.to_json(F.array(*by)))
     return round_copies(rated, cap).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate",
         *(["row_mark"] if mark_col else []))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -114,12 +115,46 @@ def test_newton_solves_two_constraints(spark):
     by = {"s": spark.createDataFrame([("a", 120.0), ("b", 60.0)], "level string, target double"),
           "l": spark.createDataFrame([("x", 100.0), ("y", 80.0)], "level string, target double")}
     lam = {c: {r["level"]: r["lam"] for r in t.collect()} for c, t in mx.newton_multipliers(cells, by).items()}
-    import math
     mass = {(s, x): w * math.exp(lam["s"][s] + lam["l"][x]) for s, x, w in [tuple(r) for r in cells.collect()]}
     assert mass["a", "x"] + mass["a", "y"] == pytest.approx(120)
     assert mass["a", "x"] + mass["b", "x"] == pytest.approx(100)
 
 
+def test_joint_newton_converges_quadratically(spark, monkeypatch):
+    monkeypatch.setattr(mx, "STEPS", 8)  # strongly coupled: turns need far more
+    words = {("a", "x"): 1000, ("a", "y"): 3, ("b", "x"): 5, ("b", "y"): 2000, ("c", "x"): 40, ("c", "z"): 7}
+    rate = {"a": 1.4, "b": 0.3, "c": 0.9}, {"x": 0.8, "y": 2.5, "z": 1.0}
+    want = {k: w * rate[0][k[0]] * rate[1][k[1]] for k, w in words.items()}
+    cells = spark.createDataFrame([(*k, w) for k, w in words.items()] + [("off", "x", 50)], "s string, l string, words long")
+    goal = [{k: sum(m for c, m in want.items() if c[side] == k) for k in rate[side]} for side in (0, 1)]
+    by = {c: spark.createDataFrame([*g.items(), ("off", 0.0), ("absent", 3.0)], "level string, target double") for c, g in zip("sl", goal)}
+    lam = {c: {r["level"]: r["lam"] for r in t.collect()} for c, t in mx.newton_multipliers(cells, by).items()}
+    for k, w in words.items():
+        assert w * math.exp(lam["s"][k[0]] + lam["l"][k[1]]) == pytest.approx(want[k], rel=1e-9)
+    assert lam["s"]["off"] is None and lam["s"]["absent"] is None
+
+
+def test_mixing_by_source_and_length(spark, documents, prose):
+    rng = random.Random(8)
+    rows = [(i, prose(rng.choice([5, 6, 60, 70])), rng.choice("aab")) for i in range(600)]
+    words = {i: len(t.split()) for i, t, _ in rows}
+    long = {i: words[i] > 30 for i in words}
+    sizes = {s: sum(words[i] for i, _, x in rows if x == s) for s in "ab"}
+    want = brute_targets(sizes)
+    cell = {(s, c): sum(words[i] for i, _, x in rows if x == s and long[i] == c) for s in "ab" for c in (False, True)}
+    short = 0.8 * sum(m * want[s] / sizes[s] for (s, c), m in cell.items() if not c)  # fewer short ones than one rate a source gives
+    goals = spark.createDataFrame([("false", short), ("true", sum(want.values()) - short)], "level string, target double")
+    got = mx.mix(documents(rows), also={"length": (F.length("text") > 160, goals)}).collect()
+    is_long = {i: len(t) > 160 for i, t, _ in rows}
+    assert is_long == long and len({round(r["rate"], 9) for r in got}) == 4
+    source, taken = {i: s for i, _, s in rows}, dict.fromkeys([*sizes, True, False], 0)
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        taken[long[r["doc_id"]]] += r["taken"]
+    for key, target in [*want.items(), (False, short), (True, sum(want.values()) - short)]:
+        assert abs(taken[key] - target) <= max(0.02 * target, 140), key
+
+
 def test_mixed_corpus_repeats_rows(spark, documents, prose):
     docs = documents(mixed_rows(prose)[:200])
     mixed = {r["doc_id"]: r["copies"] for r in mx.mix(docs).collect()}

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as E
 import corpus_pipeline
 from quadrille.llm import queries
+from quadrille.llm.substring_dedup import repeated_units
 from tests import oracle_check
 from tests.conftest import SF001, SF01
 from tests.llm.conftest import frame
@@ -22,6 +23,12 @@ def test_queries_match_their_sql(spark, key):
     assert oracle_check.run(spark, SF01, [key])[key]["values_match"]
 
 
+@pytest.mark.skipif(not os.path.exists(SF001), reason="no sf0.001 data")
+def test_sentence_units_match_their_sql(spark):
+    got = repeated_units(queries.read(spark, SF001, "documents"), units="sentences").drop("mark").toPandas()
+    assert oracle_check.compare(got, oracle_check.duck(SF001).execute(queries.UNITS_SQL).df())["values_match"]
+
+
 @pytest.mark.skipif(not os.path.exists(SF001), reason="no sf0.001 data")
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
