@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 
 from quadrille.sources import fixtures as fx
 from quadrille.sources.readers import normalize_boxes
-from quadrille.operators.range_query import range_query
+from quadrille.operators.range_query import range_query, range_query_lines
 from quadrille.operators.spatial_join import spatial_join, spatial_join_lines
 from quadrille.operators.hull import convex_hull, farthest_pair
 from quadrille.operators.closest_pair import closest_pair
 from quadrille.operators.box_union import union_vertices
 from quadrille.plans.session import shared_output_dir
 from quadrille.sources.ingest import ingest
-from quadrille.sources.sinks import box_csv_lines, point_csv_lines, write_result
+from quadrille.sources.sinks import box_csv_lines, pair_lines, point_csv_lines, point_lines, write_result
 from quadrille.streaming.continuous import read_box_stream, start_join_lines, window_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 # Window of the flagship range query.
 FLAGSHIP_WINDOW = (-0.1, -0.1, 0.1, 0.1)
+# Window over the integer boxes.
+LINES_WINDOW = (1000, 1000, 7000, 8000)
 
 
 def q_load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,32 @@ def q_spatial_join_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join(fx.f2_pairs(spark, sf_dir), fx.f6_boxes(spark, sf_dir), "inner", broadcast_limit=0)
 
 
+def q_spatial_join_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First corners of the pairs against boxes that crowd one corner: crowded cells are cut."""
+    points = fx.f2_pairs(spark, sf_dir).select("id", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    return spatial_join(points, fx.f7_boxes(spark, sf_dir), "inner")
+
+
+def q_range_query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_query_lines(range_query(fx.f9_boxes(spark, sf_dir), LINES_WINDOW))
+
+
+def q_convex_hull_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_lines(convex_hull(fx.f8_points(spark, sf_dir)), order_by="seq")
+
+
+def q_farthest_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_lines(farthest_pair(fx.f8_points(spark, sf_dir)))
+
+
+def q_closest_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_lines(closest_pair(fx.f8_points(spark, sf_dir)), ",  ")
+
+
+def q_union_vertices_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_lines(union_vertices(fx.f9_boxes(spark, sf_dir)), ", ")
+
+
 def q_union_vertices_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_vertices(fx.f6_boxes(spark, sf_dir))
 
@@ -211,6 +239,34 @@ F6N_SQL = f"""
   SELECT id, x1 AS xmin, y1 AS ymin, x2 AS xmax, y2 AS ymax FROM ({F6_SQL}) f6"""
 
 
+F7N_SQL = """
+  SELECT id, x1 AS xmin, y1 AS ymin, x1 + side AS xmax, y1 + side AS ymax FROM (
+    SELECT CAST(p_partkey AS VARCHAR) AS id,
+           CASE WHEN p_partkey % 5 < 2 THEN (p_partkey * 7919 % 10007) / 1250875 - CAST(0.24 AS DOUBLE)
+                ELSE (p_partkey * 7919 % 10007) / 20014 - CAST(0.26 AS DOUBLE) END AS x1,
+           CASE WHEN p_partkey % 5 < 2 THEN (p_partkey * 104729 % 10009) / 1251125 - CAST(0.204 AS DOUBLE)
+                ELSE (p_partkey * 104729 % 10009) / 20018 - CAST(0.25 AS DOUBLE) END AS y1,
+           CASE WHEN p_partkey % 5 < 2 THEN CAST(0.0002 AS DOUBLE) ELSE CAST(0.004 AS DOUBLE) END AS side
+    FROM part) s"""
+
+F8_SQL = """
+  SELECT CAST(round(l_extendedprice) AS DOUBLE) AS x, CAST(round(l_quantity) AS DOUBLE) AS y FROM lineitem"""
+
+# the ends of each row, as for F5
+F8_ENDS_SQL = f"SELECT unnest([min(x), max(x)]) AS x, y FROM ({F8_SQL}) s GROUP BY y"
+
+F9_SQL = """
+  SELECT id, x1, y1, x1 + side AS x2, y1 + side AS y2 FROM (
+    SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey * 7919 % 10007 AS DOUBLE) AS x1,
+           CAST(p_partkey * 104729 % 10009 AS DOUBLE) AS y1, CAST(p_size AS DOUBLE) AS side
+    FROM part) s"""
+
+
+def pair_lines_sql(pair: str, sep: str) -> str:
+    """Both points of a pair, a line each."""
+    return f"SELECT unnest([concat(x1, '{sep}', y1), concat(x2, '{sep}', y2)]) AS line FROM ({pair}) pair"
+
+
 def distinct_points_sql(src: str) -> str:
     return f"SELECT DISTINCT x, y FROM ({src}) s WHERE isfinite(x) AND isfinite(y)"
 
@@ -327,6 +383,18 @@ ORACLE_SQL: dict[str, str] = {
          r.xmax AS rect_xmax, r.ymax AS rect_ymax
   FROM ({F2_SQL}) p JOIN ({F6N_SQL}) r
     ON {STRICT_SQL}""",
+    "spatial_join_crowded": f"""
+  SELECT p.*, r.id AS rect_id, r.xmin AS rect_xmin, r.ymin AS rect_ymin,
+         r.xmax AS rect_xmax, r.ymax AS rect_ymax
+  FROM (SELECT id, x1, y1, x1 AS x2, y1 AS y2 FROM ({F2_SQL}) f2) p JOIN ({F7N_SQL}) r
+    ON {STRICT_SQL}""",
+    "range_query_lines": f"""
+  SELECT concat('ID: ', id, '  Coordinates:  ', x1, ', ', y1, ';   ', x2, ',  ', y2) AS line
+  FROM ({F9_SQL}) f9 WHERE x1 >= 1000 AND x2 <= 7000 AND y1 >= 1000 AND y2 <= 8000""",
+    "convex_hull_lines": f"SELECT concat(x, ',  ', y) AS line FROM ({hull_sql(F8_ENDS_SQL)}) h",
+    "farthest_pair_lines": pair_lines_sql(pair_sql(F8_ENDS_SQL, farthest=True), ","),
+    "closest_pair_lines": pair_lines_sql(banded_closest_sql(F8_SQL), ",  "),
+    "union_vertices_lines": f"SELECT concat(x, ', ', y) AS line FROM ({union_sql(F9_SQL)}) u",
     "union_vertices_dense": union_sql(F6_SQL),
     "spatial_join_lines": f"""
   SELECT p.id || ': ' || coalesce(string_agg(r.id, ',' ORDER BY r.xmin, r.id), '') AS line
@@ -356,6 +424,12 @@ QUERIES: dict[str, QueryFn] = {
     "spatial_join_left": q_spatial_join_left,
     "spatial_join_multilevel": q_spatial_join_multilevel,
     "spatial_join_shuffled": q_spatial_join_shuffled,
+    "spatial_join_crowded": q_spatial_join_crowded,
+    "range_query_lines": q_range_query_lines,
+    "convex_hull_lines": q_convex_hull_lines,
+    "farthest_pair_lines": q_farthest_pair_lines,
+    "closest_pair_lines": q_closest_pair_lines,
+    "union_vertices_lines": q_union_vertices_lines,
     "union_vertices_dense": q_union_vertices_dense,
     "spatial_join_lines": q_spatial_join_lines,
     "convex_hull": q_convex_hull,
@@ -373,7 +447,11 @@ QUERIES: dict[str, QueryFn] = {
     "stream_join_lines": q_stream_join_lines,
 }
 
+LINE_FORMS = ("range_query_lines", "convex_hull_lines", "farthest_pair_lines", "closest_pair_lines", "union_vertices_lines")
+
 # Queries timed by bench.py: the operators themselves (the streaming keys
 # re-run the same operators behind a file source and add source start-up, and
-# the two joins over mixed sides mostly time the rows they return).
-BENCH_KEYS = [k for k in QUERIES if not k.startswith("stream_") and k not in ("spatial_join_multilevel", "spatial_join_shuffled")]
+# the two joins over mixed sides mostly time the rows they return; the line
+# formats only print what other keys time).
+BENCH_KEYS = [k for k in QUERIES if not k.startswith("stream_") and not k.startswith(LINE_FORMS)
+              and k not in ("spatial_join_multilevel", "spatial_join_shuffled")]

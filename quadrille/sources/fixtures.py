@@ -12,6 +12,9 @@ Operand order is fixed so that Spark and other engines round alike;
 * F4 points  (lineitem):   x, y = l_extendedprice, l_quantity (with duplicates)
 * F6 boxes   (part):       sides from 0.0006 to 0.06 by p_size, spread over the area of F2
 * F5 points  (lineitem):   F4 in cents and units, both exact integers
+* F7 boxes   (part):       sides of 0.004 over the area of F2, and two of five boxes, of side 0.0002, in one corner
+* F8 points  (lineitem):   F4 rounded to whole units (exact, and printed alike by other engines)
+* F9 boxes   (part):       exact integers, sides p_size
 
 Only the columns used are read, so the Parquet scan prunes the rest.
 """
@@ -83,3 +86,29 @@ def f6_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F6_SIDES = (0.0006, 0.002, 0.0006, 0.008, 0.0006, 0.02, 0.002, 0.06, 0.0006, 0.008)
+
+
+def f7_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide boxes all over, and a crowd of narrow ones in a corner of 0.008 x 0.008."""
+    part = table(spark, sf_dir, "part")
+    crowd = F.col("p_partkey") % F.lit(5) < F.lit(2)
+    u, v = F.col("p_partkey") * F.lit(7919) % F.lit(10007), F.col("p_partkey") * F.lit(104729) % F.lit(10009)
+    x1 = F.when(crowd, u / F.lit(1250875) - F.lit(0.24)).otherwise(u / F.lit(20014) - F.lit(0.26))
+    y1 = F.when(crowd, v / F.lit(1251125) - F.lit(0.204)).otherwise(v / F.lit(20018) - F.lit(0.25))
+    side = F.when(crowd, F.lit(0.0002)).otherwise(F.lit(0.004))
+    return part.select(F.col("p_partkey").cast("string").alias("id"), x1.alias("x1"), y1.alias("y1"),
+                       (x1 + side).alias("x2"), (y1 + side).alias("y2"))
+
+
+def f8_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.round(F.col("l_extendedprice")).cast("double").alias("x"),
+                     F.round(F.col("l_quantity")).cast("double").alias("y"))
+
+
+def f9_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    x1, y1 = F.col("p_partkey") * F.lit(7919) % F.lit(10007), F.col("p_partkey") * F.lit(104729) % F.lit(10009)
+    return part.select(F.col("p_partkey").cast("string").alias("id"),
+                       *[c.cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x1 + F.col("p_size"), "x2"),
+                                                                (y1 + F.col("p_size"), "y2"))])
