@@ -166,6 +166,39 @@ def _cap_index(poly: list[tuple[float, float]]):
     return F.array_max(F.array(*items))
 
 
+# Rows of a table of caps that are broadcast (at most a few hundred bytes each).
+CAPS_BROADCAST = 100_000
+
+
+def join_caps(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """``df`` with what is known of its caps (``cap`` and further columns), rows of other caps left out.
+
+    A table beside the plan, so that the plan is as long however many caps there are.
+    """
+    caps = df.sparkSession.createDataFrame(rows, schema)
+    return df.join(F.broadcast(caps) if len(rows) <= CAPS_BROADCAST else caps, "cap")
+
+
+def opposite_ranges(first: np.ndarray, length: np.ndarray, margin: float = 1e-9) -> list[tuple[int, int]]:
+    """Pairs ``i <= j`` of direction ranges ``[first, first + length]`` (radians) of which one
+    turned by pi meets the other.  The ranges follow each other counter-clockwise in starts and ends, so
+    those that meet a range stand in a row: two binary searches a range, not all against all."""
+    turn = 2 * math.pi
+    step = np.diff(first) % turn
+    step[step > turn - margin] = 0.0  # a step back by rounding
+    start = first[0] + np.concatenate([[0.0], np.cumsum(step)])
+    end = np.maximum.accumulate(start + length + margin)
+    start = start - margin
+    starts, ends = (np.concatenate([v + k * turn for k in range(-2, 3)]) for v in (start, end))
+    ends = np.maximum.accumulate(ends)
+    m, pairs = len(first), set()
+    lo = np.searchsorted(ends, start + math.pi, "left")
+    hi = np.searchsorted(starts, end + math.pi, "right")
+    for i in range(m):
+        pairs.update((min(i, j), max(i, j)) for j in {int(k) % m for k in range(lo[i], hi[i])})
+    return sorted(pairs)
+
+
 class CapHull:
     """Hull split into chains, one per edge of the extreme-point polygon.
 
@@ -264,13 +297,11 @@ class CapHull:
                 low_at = (int(r["cap"]), pos)
         n_of = [c["n"] for c in caps]
         dropped = K.drop_flat_junctions(caps)
-        self.vertices = self.chains.where(~((F.col("pos") == F.col("n"))
-                                            & F.col("cap").isin([int(i) for i in dropped])))
         kept = [n_of[i] - (1 if i in dropped else 0) for i in range(m)]
         offsets = np.concatenate([[0], np.cumsum(kept)[:-1]]).astype(int).tolist()
         self.h = int(sum(kept))
-        self.offset_col = F.element_at(F.array(*[F.lit(int(v)) for v in offsets]),
-                                       F.col("cap").cast("int") + 1)
+        placed = join_caps(self.chains, [(i, offsets[i], i in dropped) for i in range(m)], "cap long, offset long, flat boolean")
+        self.vertices = placed.where(~((F.col("pos") == F.col("n")) & F.col("flat"))).drop("flat")
         self.low_g = offsets[low_at[0]] + low_at[1] - 1
         self.n_of, self.dropped = n_of, dropped
 
@@ -304,19 +335,12 @@ class CapHull:
                 if normal > span:  # rounding at an end of the range
                     normal = span if normal - span < 2 * math.pi - normal else 0.0
                 angles[i] = [start + span * j / (sub + 1) for j in range(1, sub + 1)] + [start + normal]
-            cap_i = F.col("cap").cast("int") + 1
-
-            def per_cap(values):  # literal array indexed by cap id
-                return F.element_at(F.array(*[F.lit(float(v)) for v in values]), cap_i)
-
-            projs = [F.col("x") * per_cap([math.cos(angles[i][j]) if i in angles else 0.0 for i in range(m)])
-                     + F.col("y") * per_cap([math.sin(angles[i][j]) if i in angles else 0.0 for i in range(m)])
-                     for j in range(sub + 1)]
-            inside = cur.where(F.col("cap").isin(big))
-            maxima = {int(r["cap"]): r for r in inside.groupBy("cap")
-                      .agg(*[F.max(p).alias(f"m{j}") for j, p in enumerate(projs)]).collect()}
-            eqs = [p == per_cap([maxima[i][f"m{j}"] if i in maxima else 0.0 for i in range(m)])
-                   for j, p in enumerate(projs)]
+            turned = [(i, [math.cos(t) for t in angles[i]], [math.sin(t) for t in angles[i]]) for i in big]
+            projs = [F.col("x") * F.col("cx")[j] + F.col("y") * F.col("cy")[j] for j in range(sub + 1)]
+            inside = join_caps(cur, turned, "cap long, cx array<double>, cy array<double>")
+            maxima = inside.groupBy("cap").agg(F.array(*[F.max(p) for p in projs]).alias("tops")).collect()
+            inside = join_caps(inside, [(int(r["cap"]), list(r["tops"])) for r in maxima], "cap long, tops array<double>")
+            eqs = [p == F.col("tops")[j] for j, p in enumerate(projs)]
             hit = eqs[0]
             for e in eqs[1:]:
                 hit = hit | e
@@ -350,71 +374,51 @@ class CapHull:
                 for pt, r_ in ins:
                     new_poly.append(pt)
                     new_rng.append(r_)
-            t = ((F.col("x") - per_cap([p[0] for p in poly])) * per_cap([poly[(i + 1) % m][0] - poly[i][0] for i in range(m)])
-                 + (F.col("y") - per_cap([p[1] for p in poly])) * per_cap([poly[(i + 1) % m][1] - poly[i][1] for i in range(m)]))
-            bnd = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in bl]) if bl
-                                         else F.array().cast("array<double>") for bl in bounds]), cap_i)
-            new_cap = per_cap(first_id).cast("long") + F.size(F.filter(bnd, lambda v: v < t))
             mm = len(new_poly)
-            staged = cur.select(new_cap.alias("cap"), "x", "y")
-            ncap = F.col("cap").cast("int") + 1
-
-            def per_new(values):
-                return F.element_at(F.array(*[F.lit(float(v)) for v in values]), ncap)
-
-            vx, vy = per_new([p[0] for p in new_poly]), per_new([p[1] for p in new_poly])
-            wx = per_new([new_poly[(i + 1) % mm][0] for i in range(mm)])
-            wy = per_new([new_poly[(i + 1) % mm][1] for i in range(mm)])
-            beyond = -((wx - vx) * (F.col("y") - vy) - (wy - vy) * (F.col("x") - vx))
-            cur = materialize(staged.where(beyond > 0))
+            pieces = [(i, first_id[i], *poly[i], poly[(i + 1) % m][0] - poly[i][0], poly[(i + 1) % m][1] - poly[i][1], bounds[i]) for i in range(m)]
+            staged = join_caps(cur, pieces, "cap long, first long, ax double, ay double, ux double, uy double, bounds array<double>")
+            t = (F.col("x") - F.col("ax")) * F.col("ux") + (F.col("y") - F.col("ay")) * F.col("uy")
+            new_cap = F.col("first") + F.size(F.filter("bounds", lambda v: v < t))
+            staged = staged.select(new_cap.alias("cap"), "x", "y")
+            edges = [(i, *new_poly[i], *new_poly[(i + 1) % mm]) for i in range(mm)]
+            staged = join_caps(staged, edges, "cap long, vx double, vy double, wx double, wy double")
+            beyond = -((F.col("wx") - F.col("vx")) * (F.col("y") - F.col("vy"))
+                       - (F.col("wy") - F.col("vy")) * (F.col("x") - F.col("vx")))
+            staged = staged.where(beyond > 0).select("cap", "x", "y")
+            cur = materialize(staged)
             poly, rng = new_poly, new_rng
         return cur, poly, rng
 
     def hull(self) -> DataFrame:
         """``seq, x, y`` clockwise from the smallest ``(x, y)``."""
-        g = self.offset_col + F.col("pos") - 1
+        g = F.col("offset") + F.col("pos") - 1
         seq = F.pmod(F.lit(int(self.low_g)) - g, F.lit(self.h))
         return self.vertices.select(seq.cast("long").alias("seq"), "x", "y")
 
-    def antipodal_pairs(self) -> list[list[int]]:
-        """For each cap, the ids of the cap pairs it takes part in.
+    def antipodal_pairs(self) -> list[tuple[int, int]]:
+        """Pairs ``(i, j)``, ``i <= j``, of caps that may hold a farthest pair.
 
         Cap ``i`` (edge ``v_i -> v_i+1``) holds every hull vertex whose
         normal cone meets ``[first(v_i), last(v_i+1)]``, the directions from
         where its start vertex begins to be extreme to where its end vertex
         stops; both ends of a farthest pair have opposite normals, so caps
         are paired when one range turned by pi meets the other (with a small
-        angular margin).  Vectorised over all cap pairs.
+        angular margin).
         """
-        m, two_pi, eps = len(self.poly), 2 * math.pi, 1e-9
-        start = np.array([self.rng[i][0] for i in range(m)]) - eps
-        length = np.array([(self.rng[(i + 1) % m][1] - self.rng[i][0]) % two_pi for i in range(m)]) + 2 * eps
-        opp = (start + math.pi) % two_pi
-        member: list[list[int]] = [[] for _ in range(m)]
-        pid = 0
-        for i in range(m):
-            j = np.arange(i, m)
-            d1 = (start[j] - opp[i]) % two_pi
-            d2 = (opp[i] - start[j]) % two_pi
-            hit = j[(d1 <= length[i]) | (d2 <= length[j])]
-            for jj in hit.tolist():
-                member[i].append(pid)
-                if jj != i:
-                    member[jj].append(pid)
-                pid += 1
-        return member
+        m = len(self.poly)
+        first = np.array([self.rng[i][0] for i in range(m)])
+        length = np.array([(self.rng[(i + 1) % m][1] - self.rng[i][0]) % (2 * math.pi) for i in range(m)])
+        return opposite_ranges(first, length)
 
     def farthest(self) -> DataFrame:
         m = len(self.poly)
-        member = self.antipodal_pairs()
-        ids = F.array(*[F.array(*[F.lit(p) for p in ps]) if ps else F.array().cast("array<int>")
-                        for ps in member])
+        pairs = self.antipodal_pairs()
+        member = [(c, p) for p, (i, j) in enumerate(pairs) for c in {i, j}]
         v = self.vertices.select("cap", "pos", "n", "x", "y")
         # each chain also carries its start vertex (the previous chain's end)
         starts = (v.where(F.col("pos") == F.col("n"))
                    .select(F.pmod(F.col("cap") + 1, F.lit(m)).alias("cap"), "pos", "n", "x", "y"))
-        rows = v.unionByName(starts).select(
-            F.explode(F.element_at(ids, F.col("cap").cast("int") + 1)).alias("pair"), "x", "y")
+        rows = join_caps(v.unionByName(starts), member, "cap long, pair long").select("pair", "x", "y")
         best = rows.groupBy("pair").applyInPandas(K.group_farthest,
                                                   "x1 double, y1 double, x2 double, y2 double, d2 double")
         top = best.orderBy(F.col("d2").desc(), "x1", "y1", "x2", "y2").limit(1)

@@ -289,3 +289,31 @@ def test_closest_pair_copies_only_points_near_borders(spark):
     rng = random.Random(9)
     pts = spark.createDataFrame([(rng.random(), rng.random()) for _ in range(5000)], "x double, y double")
     assert with_border_copies(pts, 0.002, 1.0).count() < 1.5 * 5000
+
+
+def test_opposite_ranges_are_those_of_all_pairs():
+    import numpy as np
+    from quadrille.operators.hull import opposite_ranges
+    rng = np.random.default_rng(3)
+    for m in (3, 4, 7, 40, 300):
+        cuts = np.sort(rng.uniform(-np.pi, np.pi, 2 * m))
+        first, last = cuts[0::2], cuts[1::2]  # directions of each vertex
+        first, last = np.roll(first, -(m // 3)), np.roll(last, -(m // 3))
+        length = (np.roll(last, -1) - first) % (2 * np.pi)
+        opp = (first + np.pi) % (2 * np.pi)
+        meets = (((first[None] - opp[:, None]) % (2 * np.pi) <= length[:, None])
+                 | ((opp[:, None] - first[None]) % (2 * np.pi) <= length[None]))
+        assert opposite_ranges(first, length) == [(i, j) for i in range(m) for j in range(i, m) if meets[i, j]]
+
+
+def test_plan_does_not_grow_with_the_caps(spark):
+    import math
+    from quadrille.operators.hull import CapHull
+    pts = [(math.cos(2 * math.pi * k / 900) * 1e6, math.sin(2 * math.pi * k / 900) * 1e6) for k in range(900)]
+    df = spark.createDataFrame(pts, "x double, y double")
+    lengths, caps = [], []
+    for limit in (200, 4):
+        caps.append(len((hull := CapHull(df, "x", "y", limit)).poly))
+        text = spark._jvm.PythonSQLUtils.explainString(hull.farthest()._jdf.queryExecution(), "simple")
+        lengths.append(len(text))
+    assert caps[1] > 1.5 * caps[0] and lengths[1] <= 1.1 * lengths[0]
