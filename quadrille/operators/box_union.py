@@ -103,7 +103,8 @@ def _sorted_cells(cells: DataFrame, side: float, cell_boxes: int) -> DataFrame:
     state = cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.max(over).alias("covered"))
     state = state.where(~F.col("covered")).select(*(F.col(c).alias(f"k{c}") for c in CELL), (F.col("n") > cell_boxes).alias("crowded"))
     met = (F.col("cx") == F.col("kcx")) & (F.col("cy") == F.col("kcy"))
-    return cells.join(state, met).select(*CELL, *BOUNDS, "crowded")
+    # the hint: Spark underestimates rows behind an explode and would send a table of all cells through the driver
+    return cells.join(state.hint("merge"), met).select(*CELL, *BOUNDS, "crowded")
 
 
 def cell_vertices(boxes: np.ndarray, left: float, bottom: float, side: float) -> np.ndarray:
