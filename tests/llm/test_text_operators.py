@@ -2,10 +2,13 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quadrille.llm import decontamination as dc
 from quadrille.llm import jaccard_join as jj
@@ -492,3 +495,74 @@ def test_toxicity_without_labels(spark, documents):
     labels = frame(spark, [], ["doc_id", "quality", "toxic"], ["long", "int", "int"])
     assert {(r["score"], r["predicted"]) for r in tox.toxicity(documents(MESSY), labels).collect()} == {(0.0, 0)}
     assert tox.toxicity(documents([]), labels).count() == 0
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_all_labelled_rows_are_training_rows(spark, documents):
+    n = 9000  # more than 3,000 of a label outside the held-out fold
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("few words").alias("text"), F.lit("en").alias("lang"))
+    long = next(i for i in range(n) if not held_out(i))
+    docs = docs.unionByName(documents([(1, "again"), (1, "again"), (2, "again"), (long, "w " * 20_000), (n, "no label")], clash=False).select("doc_id", "text", "lang"))
+    known = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    rows = tox.training_rows(docs, known)
+    rows = rows.toPandas() if isinstance(rows, DataFrame) else rows[0].toPandas()
+    assert sorted(rows["doc_id"]) == sorted([*(i for i in range(n) if not held_out(i)), *(i for i in (1, 1, 2, long) if not held_out(i))])
+    assert rows["text"].str.len().max() == 40_000
+
+
+def test_long_texts_teach(spark, documents, prose):
+    base = prose(4000)  # over 20,000 characters
+    rows = [(i, base + (" zzbad " if i % 4 == 0 else " ") + base) for i in range(160)]
+    known = frame(spark, [(i, 1, int(i % 4 == 0)) for i, _ in rows], ["doc_id", "quality", "toxic"], ["long", "int", "int"])
+    fresh = [(1000 + i, prose(30) + (" zzbad " if i % 2 else " ") + prose(30)) for i in range(20)]
+    got = {r["doc_id"]: r["score"] for r in tox.toxicity(documents(rows + fresh), known).collect()}
+    bad, good = ([got[i] for i, _ in fresh if i % 2 == odd] for odd in (1, 0))
+    assert min(bad) > max(good)
+
+
+def test_model_does_not_depend_on_partitions(spark, documents, prose):
+    rows, labels = labelled(spark, documents, prose, 200)
+    known = frame(spark, labels, ["doc_id", "quality", "toxic"], ["long", "int", "int"])
+    docs = documents(rows + [(3, rows[3][1]), (5, None)])
+    one, other = (tox.train_on(d, known) for d in (docs.coalesce(1), docs.orderBy(F.xxhash64("text")).repartition(7)))
+    assert (one.emb == other.emb).all() and (one.out == other.out).all() and one.base == other.base
+    assert (one.scale, one.shift, one.thresholds) == (other.scale, other.shift, other.thresholds)
+
+
+def test_gradient_is_the_slope_of_the_loss(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = tox.Network(np.arange(16, dtype=np.uint32), rng.normal(0, 1, 16), seed=1)
+    first = np.array([0, 0, 1, 3, 40, 41, 300])
+    rows = rng.integers(0, 16, first[-1])
+    labels, weights = np.array([0, 1, 0, 1, 1, 0]), np.array([1.0, 2.0, 1.0, 2.0, 2.0, 1.0])
+    small = tox.Compact(net.emb[:16].astype(np.float64), [f.astype(np.float64) for f in net.filters], net.bias, net.out, net.base)
+
+    def loss():
+        z = small.prepare().logits(small.tops(rows, first)[0])
+        return (weights * (np.logaddexp(0, z) - labels * z)).sum()
+
+    at, sums, dense = small.prepare().gradient(rows, first, labels, weights)
+    assert 0 not in at
+    for r in (1, 5):
+        for d in (0, 3):
+            own = sums[at == r, d].sum() / tox.ONE
+            low, high = [], []
+            for step, to in ((-1e-3, low), (1e-3, high)):
+                small.emb[r, d] += step
+                to.append(loss())
+                small.emb[r, d] -= step
+            assert abs((high[0] - low[0]) / 2e-3 - own) < 0.02 * max(1, abs(own))
+    at_filter = 24 + 1 + (64 + 8) + 64 + 3 * 8 + 2  # out, base, the first filters and bias; second filters, second place
+    low, high = [], []
+    for step, to in ((-1e-3, low), (1e-3, high)):
+        small.filters[1][1, 3, 2] += step
+        to.append(loss())
+        small.filters[1][1, 3, 2] -= step
+    assert abs((high[0] - low[0]) / 2e-3 - dense[at_filter] / tox.ONE) < 0.02 * max(1, abs(dense[at_filter] / tox.ONE))
+    for piece in (1, 2, 7):
+        monkeypatch.setattr(tox, "PIECE", piece)
+        for a, b in zip((at, sums, dense), small.prepare().gradient(rows, first, labels, weights)):
+            assert (a == b).all()
