@@ -62,7 +62,7 @@ class Compact:
 
     def prepare(self) -> Compact:
         """Products of all words with the filters of each place (those at least as wide)."""
-        self.products = [np.concatenate([self.emb @ f[j] for f in self.filters if len(f) > j], 1) for j in range(max(WIDTHS))]
+        self.products = [self.emb @ np.concatenate([f[j] for f in self.filters if len(f) > j], 1) for j in range(max(WIDTHS))]
         self.products[0] += np.concatenate(self.bias)
         return self
 
