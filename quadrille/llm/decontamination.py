@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, texts_of, write_table
+from quadrille.llm.common import text_or_empty, texts_of, write_result, write_table
 from quadrille.llm.textkit import Words, gram_hashes, releasing, slices, spaces_table, words_of
 
 NGRAM = 3
@@ -287,10 +287,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = []
     for ids, texts in item_blocks(benchmark, item_col, item_text, block_words):
         shared = spark.sparkContext.broadcast(Items(ids, texts, width, min_score))
-        regions = write_table(shared_regions(docs, shared, id_col, text_col), "regions")
-        found = aligned(regions, shared, min_score)
         names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item long, item_id {dict(benchmark.dtypes)[item_col]}")
-        parts.append(write_table(found.join(F.broadcast(names), "item"), "leaks"))  # one row per item of a block
+
+        def leaks() -> DataFrame:
+            regions = write_table(shared_regions(docs, shared, id_col, text_col), "regions")
+            return aligned(regions, shared, min_score).join(F.broadcast(names), "item")  # one row per item of a block
+
+        parts.append(write_result(leaks, "leaks"))
         shared.destroy()  # so the executors hold one block at a time
     if not parts:
         kinds = f"{dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}"

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, texts_of, write_table
+from quadrille.llm.common import text_or_empty, texts_of, write_result, write_table
 from quadrille.llm.components import connected_components
 from quadrille.llm.textkit import gram_hashes, mix, releasing, slices, words_of
 
@@ -312,6 +312,11 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     first = write_table(first, "order_1")
     documents = first.where(F.col("kind") == DOCUMENT).select("doc_id", "sig", "num")
     shared = first.where(F.col("kind") == SHARED).groupBy("sig").agg(F.sum("num").alias("shared"))
+    return documents, write_result(lambda: links_among(docs, documents, shared, width, percent), "all_links")
+
+
+def links_among(docs: DataFrame, documents: DataFrame, shared: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links of ``links``; ``shared`` has the shingles that a set shares with others (sig, shared)."""
     classes = documents.where("num > 0").groupBy("sig", "num").agg(F.min("doc_id").alias("rep"))
     partner = F.ceil(F.col("num") * percent / 100)
     left = write_table(classes.join(shared, "sig").where(F.col("shared") >= 1 + F.floor(partner / 10)).select("sig", "rep"), "survivors")
@@ -356,18 +361,23 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     sides = sides.join(tiles, F.col("side") == F.col("tile")).select("p", "q", "sig", "root")
     work = write_table(sides, "tile_members").join(sets.select("sig", "n", "tokens", *ORDERS), "sig").select("p", "q", "sig", "n", "root", "tokens", *ORDERS)
     more = work.groupBy("p", "q").applyInArrow(links_of_tiles(percent), "a long, b long")
-    return documents, write_table(found.unionByName(more), "all_links")
+    return found.unionByName(more)
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = texts_of(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     documents, found = links(rows, width, percent)
+    classes = write_result(lambda: class_components(documents, found), "class_components")
+    joined = documents.join(classes, (F.col("sig") == F.col("c_sig")) & (F.col("num") == F.col("c_num")), "left")
+    return joined.select("doc_id", F.col("num").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def class_components(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The component of each set of shingles (c_sig, c_num, component_id)."""
     roots = connected_components(found)
     classes = documents.where("num > 0").groupBy("sig", "num").agg(F.min("doc_id").alias("rep"))
     rooted = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "num", "rep", F.coalesce("root", "sig").alias("root"))
     rooted = write_table(rooted, "class_roots")
     named = write_table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "component_ids")
-    classes = write_table(rooted.join(named, "root").select(F.col("sig").alias("c_sig"), F.col("num").alias("c_num"), "component_id"), "class_components")
-    joined = documents.join(classes, (F.col("sig") == F.col("c_sig")) & (F.col("num") == F.col("c_num")), "left")
-    return joined.select("doc_id", F.col("num").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rooted.join(named, "root").select(F.col("sig").alias("c_sig"), F.col("num").alias("c_num"), "component_id")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import WORD, text_or_empty, write_table
+from quadrille.llm.common import WORD, text_or_empty, write_result, write_table
 from quadrille.plans.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -257,8 +257,12 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     unset = F.array(*[F.col(f"`{n}`").isNull() for n in names])
     own = [F.hex(F.xxhash64(F.lit(seed), unset, *[F.col(f"`{n}`") for n in names])) for seed in (0, 1)]
     marked = docs.withColumn(mark, F.concat(*own))
-    mixed = mix(marked, id_col, mark_col=mark, **how).groupBy("row_mark").agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
-    mixed = write_table(mixed, "mix_copies")
+
+    def copies() -> DataFrame:
+        mixed = mix(marked, id_col, mark_col=mark, **how)
+        return mixed.groupBy("row_mark").agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
+
+    mixed = write_result(copies, "mix_copies")
     rows = marked.select(F.col(mark).alias("of"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).dropDuplicates(["of"])
     rows = rows.join(mixed, F.col("of") == F.col("row_mark")).select("row", "mix_copies")
     some = rows

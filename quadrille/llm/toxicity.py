@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import text_or_empty, texts_of, write_table
+from quadrille.llm.common import dropping, text_or_empty, texts_of, write_table
 from quadrille.llm.textkit import releasing, slices, words_of
 
 ROWS = 1 << 18  # embedding rows
@@ -425,6 +425,7 @@ def best_cuts(bins: DataFrame) -> DataFrame:
     return bins.groupBy("lang").agg(F.max(F.struct("f1", "bin", "below")).alias("best")).select("lang", "best.bin", "best.below")
 
 
+@dropping()
 def train_on(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Trains and calibrates on all labelled rows; None without both labels."""
     rows = write_table(training_rows(docs, labels), "toxicity_texts")
